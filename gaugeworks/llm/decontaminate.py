@@ -12,7 +12,8 @@
 
 Items are taken in blocks of at most ``BLOCK_BYTES``, and each block is scored
 against all documents; only a block and its seeds travel to the executors.
-Texts are lower-cased (ASCII) and whole.  Null or empty texts match nothing;
+Texts are whole, in lower case, and words are runs of letters and digits, so
+shouting and marks around words do not hide a copy.  Null or empty texts match nothing;
 items of fewer than three words have no seed and match nothing.  Rows with
 equal doc_ids are scored by themselves; equal rows give equal results; extra
 columns are ignored; an empty table or benchmark gives no hits.
@@ -67,7 +68,7 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None]):
         values = []
-        for w in W.scan(pa.array(texts, pa.string()), lower=True):
+        for w in W.scan(pa.array(texts, pa.string()), letters=True):
             values += [w.value[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
         self.ids, self.values = ids, values
         self.vocabulary = np.unique(np.concatenate(values)) if values else np.zeros(0, dtype=np.uint64)
@@ -117,7 +118,7 @@ def _word_counts(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums, total = _Filter(vocabulary), np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
         for batch in batches:
-            for w in W.scan(batch.column("text"), lower=True):
+            for w in W.scan(batch.column("text"), letters=True):
                 total += len(w.value)
                 np.add.at(sums, np.searchsorted(vocabulary, w.value[known.hits(w.value)]), 1)
         sums[-1] = total
@@ -137,7 +138,7 @@ def _matcher(items: Items, seeds):
 
     def match(column: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         out = []
-        for w in W.scan(column, lower=True):
+        for w in W.scan(column, letters=True):
             rows, its, diagonals = [], [], []
             for n, known, value, item, place in tables:
                 grams, first, at = W.grams(w, n)
@@ -178,7 +179,7 @@ def _matcher(items: Items, seeds):
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """Items in blocks of bounded bytes, in the order of item_id."""
     ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.select("item_id", F.lower("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1] or "")
@@ -190,7 +191,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame):
-    texts = docs.select("text")
+    texts = docs.select(F.lower("text").alias("text"))
     for items in _blocks(benchmark):
         if len(items.vocabulary):
             yield items, _matcher(items, items.seeds(*_word_counts(texts, items)))
@@ -203,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id long, item_id {item_type}, score double, doc_start long, doc_end long, n_seeds long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for items, match in _prepared(docs, benchmark):
 
@@ -228,10 +229,10 @@ def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def clean(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[f[0] for f in match(batch.column("text"))]] = False
-                yield batch.filter(pa.array(keep))
+                keep[[f[0] for f in match(batch.column("_lower"))]] = False
+                yield batch.filter(pa.array(keep)).drop_columns(["_lower"])
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(clean, docs.schema)
     return docs
 
 

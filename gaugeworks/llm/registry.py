@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import near_dedup, sharding
+from gaugeworks.llm import decontaminate, html_text, media, mixing, near_dedup, sharding, substring_dedup, token_shards, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_warc": warc.op4_warc,
+    "op5_html_extraction": html_text.op5_html_extraction,
+    "op6_token_shards": token_shards.op6_token_shards,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_media": media.op9_media,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE}

@@ -41,8 +41,8 @@ def row_at(shard: int, slot: int, n_rows: int, n_shards: int, key: int) -> int:
 
 def shard(df: DataFrame, order: list[str], n_shards: int = N_SHARDS, key: int = KEY) -> DataFrame:
     """``df`` with row_number, shard and slot; rows are numbered in the order of ``order``."""
-    numbered = number_rows(df, order)
-    return place(numbered, df.count(), n_shards, key)
+    numbered, n_rows = number_rows(df, order)
+    return place(numbered, n_rows, n_shards, key)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

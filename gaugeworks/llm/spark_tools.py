@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,25 +72,24 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, hot
     return warm.unionByName(rows.where(~is_hot).join(table.where(~is_hot), key, "left"))
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
-    """Add dense global row numbers from 0 in the order of ``order``.
+def number_rows(df: DataFrame, order: list[str], name: str = "row_number", weight: str | None = None) -> tuple[DataFrame, int]:
+    """Add dense global row numbers from 0 in the order of ``order``; also gives the total.
 
     Range partitions are sorted and written once; the number of a row is its
-    place in its partition plus the rows of the partitions before it.  Only
-    one count per partition reaches the driver.
+    place in its partition plus the rows of the partitions before it.  With
+    ``weight``, a row takes that many numbers and gets the first of them.
+    Only one count per partition reaches the driver.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = stored(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = sorted((r[0], r[1]) for r in kept.groupBy(part.alias("p")).count().collect())
-    before, total = [], 0
-    for p, n in sizes:
+    kept = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
+    total, before = 0, []
+    for p, n in sorted(tuple(r) for r in kept.groupBy("_p").agg(F.sum(weight) if weight else F.count("*")).collect()):
         before.append((p, total))
         total += n
     offsets = spark.createDataFrame(before, "_p long, _before long")
-    numbered = kept.withColumn("_p", part).join(F.broadcast(offsets), "_p")
-    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_before", "_at")
+    inner = F.sum(weight).over(Window.partitionBy("_p").orderBy("_at")) - F.col(weight) if weight else F.col("_at").bitwiseAND((1 << 33) - 1)
+    numbered = kept.withColumn(name, inner).join(F.broadcast(offsets), "_p")
+    return numbered.withColumn(name, F.col("_before") + F.col(name)).drop("_p", "_before", "_at"), total
 
 
 def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -20,6 +20,8 @@ SLICE = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Letters and digits only: every other ASCII byte parts words, so marks around a word do not count.
+_MARKS = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -82,8 +84,12 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def scan(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator[Words]:
-    """Words of every text of a string column, slice by slice; null is empty."""
+def scan(column: pa.Array, lower: bool = False, size: int = SLICE, letters: bool = False) -> Iterator[Words]:
+    """Words of every text of a string column, slice by slice; null is empty.
+
+    With ``letters``, words are runs of ASCII letters and digits and of all
+    bytes above ASCII.
+    """
     column = text_array(column)
     if not len(column):
         return
@@ -95,16 +101,16 @@ def scan(column: pa.Array, lower: bool = False, size: int = SLICE) -> Iterator[W
     while row < len(column):
         stop = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         stop = min(max(stop, row + 1), len(column))
-        yield _slice(data, offsets[row : stop + 1], row, lower)
+        yield _slice(data, offsets[row : stop + 1], row, lower, _MARKS if letters else _BLANK)
         row = stop
 
 
-def _slice(data: np.ndarray, offsets: np.ndarray, row0: int, lower: bool) -> Words:
+def _slice(data: np.ndarray, offsets: np.ndarray, row0: int, lower: bool, parting: np.ndarray) -> Words:
     part = data[offsets[0] : offsets[-1]]
     if lower:
         part = _LOWER[part]
     edge = offsets - offsets[0]
-    solid = ~_BLANK[part]
+    solid = ~parting[part]
     n = len(part)
     opens, closes = solid.copy(), solid.copy()
     if n:
@@ -155,6 +161,13 @@ def grams(w: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray
     return mix(sums), first, at
 
 
+def heads(w: Words, n: int) -> np.ndarray:
+    """Values of the first n bytes of each word; of the whole word where it is shorter."""
+    sums = np.zeros(len(w.data) + 1, dtype=np.uint64)
+    np.cumsum((w.data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(w.data)), out=sums[1:])
+    return mix((sums[np.minimum(w.start + n, w.end)] - sums[w.start]) * _powers(_INVERSE, len(w.data) + 1)[w.start] + np.uint64(n))
+
+
 def strings(w: Words, chosen: np.ndarray) -> list[bytes]:
     """The bytes of chosen words."""
     blob = w.data.tobytes()
