@@ -13,7 +13,9 @@ empty table gives an empty result.  Extra input columns are ignored.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,15 @@ N_SHARDS, KEY = 8, 20240607
 def place(numbered: DataFrame, n_rows: int, n_shards: int, key: int, number: str = "row_number") -> DataFrame:
     """Add ``shard`` and ``slot`` to rows that carry dense numbers below ``n_rows``."""
 
-    @F.pandas_udf("long")
-    def permuted(r: pd.Series) -> pd.Series:
-        return pd.Series(Feistel(n_rows, key).permute(r.to_numpy()))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Feistel(n_rows, key)
+        for batch in batches:
+            spot = order.permute(batch.column(number).to_numpy())
+            columns = [pa.array(spot % n_shards, pa.int32()), pa.array(spot // n_shards)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "shard", "slot"])
 
-    spot = numbered.withColumn("_place", permuted(number))
-    return spot.withColumn("shard", (F.col("_place") % n_shards).cast("int")).withColumn("slot", F.expr(f"_place div {n_shards}")).drop("_place")
+    schema = numbered.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).schema
+    return numbered.mapInArrow(placed, schema)
 
 
 def row_at(shard: int, slot: int, n_rows: int, n_shards: int, key: int) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,16 +40,19 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
 
     The table survives lost executors, is computed once however often it is
-    read, and goes when the driver ends.
+    read, and goes when the driver ends.  Collecting the driver's garbage lets
+    Spark remove the shuffle files of the step that has just ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -154,12 +154,13 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
     repeated = seeds.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
     places = seeds.join(repeated, "seed").select("doc_id", F.shiftright("at", _POS).alias("tie"), F.expr(f"at & {(1 << _POS) - 1}").alias("place"))
     places = places.groupBy("doc_id", "tie").agg(F.collect_list("place").alias("places"))
-    split = stored(rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, "doc_id long, tie long, n_words long, kept_sha256 string, text string, places array<long>"))
+    split = stored(rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, "doc_id long, tie long, n_words long, kept_sha256 string, text string, places array<long>"), "zstd")
     open_ = split.where("places is not null")
     windows = open_.select("doc_id", "tie", "text", "places").mapInArrow(_windows, "value long, doc_id long, at long")
-    first = windows.groupBy("value").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("value", F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_at"))
+    first = windows.groupBy("value").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    first = stored(first.select("value", F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_at")))
     later = windows.join(first, "value").where("doc_id <> source or at <> source_at")
-    found = later.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(F.struct(F.expr(f"at & {(1 << _POS) - 1}").alias("start"), "source", "source_at")).alias("found"))
+    found = stored(later.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(F.struct(F.expr(f"at & {(1 << _POS) - 1}").alias("start"), "source", "source_at")).alias("found")))
     parsed = open_.select("doc_id", "tie", "text").join(found, ["doc_id", "tie"], "left").mapInArrow(_parse, PARSED)
     whole = split.where("places is null").select("doc_id", "tie", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.expr("cast(array() as array<struct<start:long,words:long,source:long,source_start:long>>)").alias("factors"))
     return parsed.unionByName(whole).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
