@@ -129,14 +129,38 @@ def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Ite
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning star forest of the edges of one partition: repeats and cycles go before the shuffle."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while up[root] != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            a, b = find(u), find(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if find(x) != x]
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of (u, v) long edges, root the least node.
 
     Alternating large-star and small-star steps; every round is two grouped
     minima and two joins, and ends in a written table.
     """
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, seen = stored(now), None
+    now, seen = stored(edges.select("u", "v").mapInArrow(_forest, "u long, v long").distinct()), None
     while True:
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(state) == seen:
