@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,7 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)  # the cleaner looks every tenth of a second
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 Every document is parsed into factors that copy an earlier place of the
 collection.  Reference blocks are indexed by content-defined seeds: of the
 fifteen 6-word sequences in a 20-word window the least hash is its seed, so
-equal windows have equal seeds, and about one word in eight starts a seed.
+equal windows have equal seeds, and about one word in six starts a seed.
 Seeds that occur once end there.  Around the others, each 20-word window is
 looked up by hash; its source is its first place in (doc_id, start) order.
 The parse is greedy: a factor runs as long as the source runs along, and at a
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm import words as W
 from gaugeworks.llm.spark_tools import documents, stored
 
-WINDOW, SEED = 20, 6
+WINDOW, SEED = 20, 8
 SPREAD = WINDOW - SEED + 1
 _PLACE = 28  # low bits that hold a place within a slice
 _POS = 40  # bits of a word position; a tie stands above them
@@ -68,6 +68,13 @@ def window_seeds(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row, window - first[row], at[seed] - w.first[row], values[seed]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that what is built per row stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ties = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
@@ -82,7 +89,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of documents without repeated seeds; the others pass, with the seeds' places."""
-    for batch in batches:
+    for batch in pieces(batches):
         texts, done = W.text_array(batch.column("text")), batch.column("places").is_null()
         n, digest = [], []
         for text, alone in zip(texts, done.to_pylist()):
@@ -126,7 +133,7 @@ PARSED = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 strin
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found, texts, out = batch.column("found"), W.text_array(batch.column("text")), []
         for i in range(batch.num_rows):
             words = texts[i].as_py().encode().split()
