@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +95,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = text.as_py().encode().split() if alone else []
             n.append(len(kept))
             digest.append(hashlib.sha256(b" ".join(kept)).hexdigest() if alone else None)
-        text = pc.if_else(done, pa.scalar(None, texts.type), texts)
+        text = pa.array([None if alone else text.as_py() for text, alone in zip(texts, done.to_pylist())], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), text, batch.column("places")], names=["doc_id", "tie", "n_words", "kept_sha256", "text", "places"])
 
 
