@@ -4,8 +4,10 @@ Every document is parsed into factors that copy an earlier place of the
 collection.  Reference blocks are indexed by content-defined seeds: of the
 fifteen 6-word sequences in a 20-word window the least hash is its seed, so
 equal windows have equal seeds, and about one word in six starts a seed.
-Seeds that occur once end there.  Around the others, each 20-word window is
-looked up by hash; its source is its first place in (doc_id, start) order.
+Seeds that occur once end there.  If all runs of windows around a seed are
+equal, the first run is the source of the others; at the boundaries, where they
+differ, each 20-word window is looked up by hash.  A window's source is its
+first place in (doc_id, start) order.
 The parse is greedy: a factor runs as long as the source runs along, and at a
 factor's boundary the next window is looked up again, so windows that cross a
 boundary are checked too.  Words of a factor of 20 words or more are removed.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,42 +77,75 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def runs_of(w: W.Words) -> tuple[np.ndarray, ...]:
+    """(row, seed place, seed value, span value, first start, windows) of each seed's run of windows.
+
+    The span value stands for all words of the run's windows and for where the
+    seed is in them: runs of equal seed and span hold the same windows.
+    """
+    row, start, place, value = window_seeds(w)
+    if not len(row):
+        return row, place, value, value, start, start
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])]))
+    many = np.diff(np.append(head, len(row)))
+    row, place, value, start = row[head], place[head], value[head], start[head]
+    n = len(w.value)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(w.value * W._powers(W._BASE, n), out=sums[1:])
+    a = w.first[row] + start
+    span = (sums[a + many + WINDOW - 1] - sums[a]) * W._powers(W._INVERSE, n + 1)[a]
+    span = W.mix(span + (many * 64 + place - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return row, place, value, span, start, many
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ties = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
         for w in W.scan(batch.column("text")):
-            row, _, place, value = window_seeds(w)
-            if not len(row):
-                continue
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1])])
-            row, place = row[new] + w.row0, place[new]
-            yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(ids[row]), pa.array(ties[row] << _POS | place)], names=["seed", "doc_id", "at"])
+            row, place, value, span, _, _ = runs_of(w)
+            if len(row):
+                row = row + w.row0
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row]), pa.array(ties[row] << _POS | place)], names=["seed", "span", "doc_id", "at"])
+
+
+_LOW = (1 << _POS) - 1
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of documents without repeated seeds; the others pass, with the seeds' places."""
+    """Digests of documents whose repeated seeds all have one source; the others pass, with their list."""
     for batch in pieces(batches):
-        texts, done = W.text_array(batch.column("text")), batch.column("places").is_null()
-        n, digest = [], []
-        for text, alone in zip(texts, done.to_pylist()):
-            kept = text.as_py().encode().split() if alone else []
-            n.append(len(kept))
-            digest.append(hashlib.sha256(b" ".join(kept)).hexdigest() if alone else None)
-        text = pa.array([None if alone else text.as_py() for text, alone in zip(texts, done.to_pylist())], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), text, batch.column("places")], names=["doc_id", "tie", "n_words", "kept_sha256", "text", "places"])
+        texts, listed = W.text_array(batch.column("text")), batch.column("places")
+        passed, rows = [], []
+        for i in range(batch.num_rows):
+            mine = listed[i].values if listed[i].is_valid else None
+            ready = mine is None or not mine.field("source").null_count
+            passed.append(None if ready else texts[i].as_py())
+            rows.append(_digest(texts[i].as_py(), mine, None) if ready else (None, None, None, None))
+        n, removed, digest, found = zip(*rows)
+        kept = pa.array([x is None for x in passed])
+        lists = listed.filter(pc.invert(kept)).to_pylist()
+        lists = pa.array([None if k else lists.pop(0) for k in kept.to_pylist()], listed.type)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(found, _FACTORS), pa.array(passed, pa.string()), lists],
+            names=["doc_id", "tie", "n_words", "n_removed", "kept_sha256", "factors", "text", "places"],
+        )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the seeds whose sources are open."""
     for batch in batches:
         ids, ties, places = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy(), batch.column("places")
-        offsets, flat = places.offsets.to_numpy(), places.values.to_numpy()
+        counts = np.diff(places.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(counts)), counts)
+        flat = places.flatten()
+        open_ = flat.field("source").is_null().to_numpy(zero_copy_only=False)
+        wanted = np.sort(owner[open_] << np.int64(40) | flat.field("place").to_numpy()[open_])
         for w in W.scan(batch.column("text")):
             row, start, place, _ = window_seeds(w)
             if not len(row):
                 continue
-            a, b = offsets[w.row0], offsets[w.row0 + len(w.first) - 1]
-            owner = np.repeat(np.arange(len(w.first) - 1), np.diff(offsets[w.row0 : w.row0 + len(w.first)]))
-            repeated = np.isin(row << np.int64(32) | place, owner << np.int64(32) | flat[a:b])
+            key = (row + w.row0) << np.int64(40) | place
+            repeated = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
             values, first, _ = W.grams(w, WINDOW)
             row, start = row[repeated], start[repeated]
             value = values[first[row] + start].view(np.int64)
@@ -128,48 +164,76 @@ def factors(start: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> lis
 
 
 _FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
-PARSED = "doc_id long, tie long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,words:long,source:long,source_start:long>>"
+_LIST = "array<struct<start:long,words:long,source:long,source_start:long>>"
+_PLACES = "array<struct<place:long,source:long,source_at:long>>"
+
+
+def _digest(text: str, listed: pa.StructArray | None, found: pa.StructArray | None) -> tuple[int, int, str, list[dict]]:
+    """(words, removed, sha256, factors) of a text.
+
+    ``listed`` has the seeds whose runs are known whole, ``found`` windows one by one.
+    """
+    words = text.encode().split()
+    start, source, source_at = [], [], []
+    if listed is not None:
+        known = listed.filter(listed.field("source").is_valid())
+        for w in W.scan(pa.array([text], pa.string())):
+            _, place, _, _, first, many = runs_of(w)
+            at = np.searchsorted(place, known.field("place").to_numpy())
+            start.append(W.spans(first[at], many[at]))
+            source.append(np.repeat(known.field("source").to_numpy(), many[at]))
+            source_at.append(start[-1] + np.repeat(known.field("source_at").to_numpy() - place[at], many[at]))
+    if found is not None:
+        start.append(found.field("start").to_numpy())
+        source.append(found.field("source").to_numpy())
+        source_at.append(found.field("source_at").to_numpy())
+    parsed: list[tuple[int, int, int, int]] = []
+    keep = np.ones(len(words), dtype=bool)
+    if start:
+        begin = np.concatenate(start)
+        order = np.argsort(begin, kind="stable")
+        parsed = factors(begin[order], np.concatenate(source)[order], np.concatenate(source_at)[order])
+        for a, length, _, _ in parsed:
+            keep[a : a + length] = False
+    kept = words if keep.all() else [words[k] for k in np.flatnonzero(keep)]
+    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [dict(zip(("start", "words", "source", "source_start"), f)) for f in parsed]
+
+
+PARSED = f"doc_id long, tie long, n_words long, n_removed long, kept_sha256 string, factors {_LIST}"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        found, texts, out = batch.column("found"), W.text_array(batch.column("text")), []
+        texts, rows = W.text_array(batch.column("text")), []
         for i in range(batch.num_rows):
-            words = texts[i].as_py().encode().split()
-            mine = found[i].values if found[i].is_valid else None
-            parsed: list[tuple[int, int, int, int]] = []
-            keep = np.ones(len(words), dtype=bool)
-            if mine is not None:
-                start, source, source_at = (mine.field(k).to_numpy() for k in ("start", "source", "source_at"))
-                order = np.argsort(start, kind="stable")
-                parsed = factors(start[order], source[order], source_at[order])
-                for begin, length, _, _ in parsed:
-                    keep[begin : begin + length] = False
-            kept = words if keep.all() else [words[k] for k in np.flatnonzero(keep)]
-            named = [dict(zip(("start", "words", "source", "source_start"), f)) for f in parsed]
-            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), named))
-        if out:
-            n, removed, digest, named = zip(*out)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(named, _FACTORS)], names=["doc_id", "tie", "n_words", "n_removed", "kept_sha256", "factors"])
+            listed, found = (batch.column(c)[i] for c in ("places", "found"))
+            rows.append(_digest(texts[i].as_py(), listed.values, found.values if found.is_valid else None))
+        n, removed, digest, named = zip(*rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(named, _FACTORS)], names=["doc_id", "tie", "n_words", "n_removed", "kept_sha256", "factors"])
 
 
 def substring_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, n_words, n_removed, kept_sha256, factors) for each row of docs(doc_id, text)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.expr("pmod(xxhash64(text), 65536)").alias("tie"), "text")
-    seeds = rows.mapInArrow(_seeds, "seed long, doc_id long, at long")
+    seeds = rows.mapInArrow(_seeds, "seed long, span long, doc_id long, at long")
     repeated = seeds.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
-    places = seeds.join(repeated, "seed").select("doc_id", F.shiftright("at", _POS).alias("tie"), F.expr(f"at & {(1 << _POS) - 1}").alias("place"))
-    places = places.groupBy("doc_id", "tie").agg(F.collect_list("place").alias("places"))
-    split = stored(rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, "doc_id long, tie long, n_words long, kept_sha256 string, text string, places array<long>"), "zstd")
-    open_ = split.where("places is not null")
-    windows = open_.select("doc_id", "tie", "text", "places").mapInArrow(_windows, "value long, doc_id long, at long")
+    repeated = stored(seeds.join(repeated, "seed"))
+    # where all runs of a seed are equal, the first is the source of all; elsewhere windows decide
+    first = repeated.groupBy("seed").agg((F.min("span") == F.max("span")).alias("one"), F.min(F.struct("doc_id", "at")).alias("f"))
+    runs = repeated.select("seed", "doc_id", "at").join(first, "seed").where("not one or f.doc_id <> doc_id or f.at <> at")
+    place = F.struct(F.expr(f"at & {_LOW}").alias("place"), F.expr("if(one, f.doc_id, null)").alias("source"), F.expr("if(one, f.at, null)").alias("source_at"))
+    places = runs.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(place).alias("places"))
+    split = stored(rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, f"{PARSED}, text string, places {_PLACES}"), "zstd")
+    open_ = split.where("places is not null").select("doc_id", "tie", "text", "places")
+    windows = open_.mapInArrow(_windows, "value long, doc_id long, at long")
     first = windows.groupBy("value").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
     first = stored(first.select("value", F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_at")))
     later = windows.join(first, "value").where("doc_id <> source or at <> source_at")
-    found = stored(later.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(F.struct(F.expr(f"at & {(1 << _POS) - 1}").alias("start"), "source", "source_at")).alias("found")))
-    parsed = open_.select("doc_id", "tie", "text").join(found, ["doc_id", "tie"], "left").mapInArrow(_parse, PARSED)
-    whole = split.where("places is null").select("doc_id", "tie", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.expr("cast(array() as array<struct<start:long,words:long,source:long,source_start:long>>)").alias("factors"))
-    return parsed.unionByName(whole).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+    window = F.struct(F.expr(f"at & {_LOW}").alias("start"), "source", "source_at")
+    found = stored(later.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(window).alias("found")))
+    parsed = open_.join(found, ["doc_id", "tie"], "left").mapInArrow(_parse, PARSED)
+    ready = split.where("places is null").drop("text", "places")
+    return parsed.unionByName(ready).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
