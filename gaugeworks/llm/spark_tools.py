@@ -41,6 +41,15 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 documents unless the session has its own size; the default of 10,000 holds too much text."""
+    if spark.conf.get(ARROW) == "10000":
+        spark.conf.set(ARROW, "1000")
+
+
 def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
 
@@ -49,6 +58,7 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     Spark remove the shuffle files of the step that has just ended.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.option("compression", codec).parquet(path)
@@ -59,6 +69,7 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
