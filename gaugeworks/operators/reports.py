@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import ReportError
 from gaugeworks.schemas import NO_RESPONSE, PARSE_FAIL
 
-SCORE = F.lit(100.0) * F.avg("score")
-MEASURES = [
-    F.count("*").alias("n_cells"),
-    F.count("score").alias("n_scored"),
-    F.count_distinct("item_id").alias("n_items"),
-    F.round(SCORE, 6).alias("suite_score"),
-    F.count_if(F.col("scorer") == NO_RESPONSE).alias("n_no_response"),
-    F.count_if(F.col("parsed") == PARSE_FAIL).alias("n_parse_fail"),
-    F.count("error").alias("n_error"),
-]
+
+
+def score() -> Column:
+    """100 times the mean of the scored rows."""
+    return F.lit(100.0) * F.avg("score")
+
+
+def measures() -> list[Column]:
+    return [
+        F.count("*").alias("n_cells"),
+        F.count("score").alias("n_scored"),
+        F.count_distinct("item_id").alias("n_items"),
+        F.round(score(), 6).alias("suite_score"),
+        F.count_if(F.col("scorer") == NO_RESPONSE).alias("n_no_response"),
+        F.count_if(F.col("parsed") == PARSE_FAIL).alias("n_parse_fail"),
+        F.count("error").alias("n_error"),
+    ]
 
 
 def suite_score(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.round(SCORE, 6).alias("suite_score"))
+    return rows.agg(F.round(score(), 6).alias("suite_score"))
 
 
 def model_report(rows: DataFrame) -> DataFrame:
     """One row per model; error rows count as cells and items, not as scores."""
-    return rows.groupBy("model").agg(*MEASURES)
+    return rows.groupBy("model").agg(*measures())
 
 
 def run_totals(report: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def parse_fail_rate(rows: DataFrame) -> DataFrame:
 def compare_runs(rows: DataFrame, run_ids: list[str]) -> DataFrame:
     """Models against runs: score cells, null where a model has no score or no rows, with presence flags."""
     cells = rows.where(F.col("run_id").isin(run_ids)).groupBy("model").pivot("run_id", run_ids)
-    wide = cells.agg(F.round(SCORE, 6).alias("score"), F.count(F.lit(1)).alias("n"))
+    wide = cells.agg(F.round(score(), 6).alias("score"), F.count(F.lit(1)).alias("n"))
     return wide.select("model", *(F.col(f"{r}_score").alias(r) for r in run_ids), *((F.coalesce(F.col(f"{r}_n"), F.lit(0)) > 0).alias(f"has_{r}") for r in run_ids))
 
 

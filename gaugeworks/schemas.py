@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ITEM = T.StructType.fromDDL("id string, tags array<string>, prompt string, expected string, difficulty_prior double, provenance string")
-ROW = T.StructType.fromDDL(
-    "run_id string, model string, model_id_resolved string, item_id string, sample_k int, response_raw string, parsed string, score double, scorer string, judge_scores array<double>, elapsed_s double, error string"
-)
-MANIFEST = T.StructType.fromDDL(
-    "run_id string, suite string, suite_hash string, roster array<string>, samples_per_cell int, judges array<string>, started_utc string, config_source string, budgets struct<max_calls:int>, preregistration string"
-)
-CLAIM = T.StructType.fromDDL(
-    "claim_id string, statement string, decision_surface string, sources array<struct<file:string,lines:string,quote_sha256:string>>, status string, evidence array<string>, verdict string, preregistration string, last_verified_utc string"
-)
+S, D, I = T.StringType(), T.DoubleType(), T.IntegerType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+ITEM = _struct(id=S, tags=T.ArrayType(S), prompt=S, expected=S, difficulty_prior=D, provenance=S)
+ROW = _struct(
+    run_id=S, model=S, model_id_resolved=S, item_id=S, sample_k=I, response_raw=S, parsed=S, score=D, scorer=S, judge_scores=T.ArrayType(D), elapsed_s=D, error=S
+)
+MANIFEST = _struct(
+    run_id=S, suite=S, suite_hash=S, roster=T.ArrayType(S), samples_per_cell=I, judges=T.ArrayType(S), started_utc=S, config_source=S, budgets=_struct(max_calls=I), preregistration=S
+)
+CLAIM = _struct(
+    claim_id=S, statement=S, decision_surface=S, sources=T.ArrayType(_struct(file=S, lines=S, quote_sha256=S)), status=S, evidence=T.ArrayType(S), verdict=S, preregistration=S, last_verified_utc=S
+)
 
 # The vocabularies of the data model.
 SCORING_TYPES = ("verdict", "exact", "rubric")
