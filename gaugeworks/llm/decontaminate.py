@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gaugeworks.llm import words as W
 from gaugeworks.llm.spark_tools import documents
@@ -203,6 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row per document row and item, with the word span of the best alignment.
     """
     item_type = benchmark.schema["item_id"].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id long, item_id {item_type}, score double, doc_start long, doc_end long, n_seeds long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
@@ -214,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if found:
                     row, it, score, start, end, n = zip(*found)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(row)), pa.array([items.ids[i] for i in it]), pa.array(score), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int64())],
+                        [batch.column("doc_id").take(pa.array(row)), pa.array([items.ids[i] for i in it], item_arrow), pa.array(score), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int64())],
                         names=["doc_id", "item_id", "score", "doc_start", "doc_end", "n_seeds"],
                     )
 

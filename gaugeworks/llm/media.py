@@ -75,7 +75,7 @@ def lace(frames: list[bytes], mode: str) -> bytes:
     head = bytes([len(frames) - 1])
     if mode == "xiph":
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif mode == "ebml":
+    elif mode == "ebml" and len(sizes) > 1:
         head += vint(sizes[0])
         for before, n in zip(sizes, sizes[1:-1]):
             width = 1

@@ -123,9 +123,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it."""
-    columns = docs.columns
-    return copies(docs).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*columns)
+    """Each row of ``docs`` as often as the mix takes it; the row travels whole, so no column name can clash."""
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
+    return copies(rows).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select("_row.*")
 
 
 #: The same mix in DuckDB.

@@ -1,0 +1,304 @@
+"""The training-data operators against brute force, on small tables with nulls, ties, repeats, long texts and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import decontaminate, html_text, media, mixing, near_dedup, sharding, substring_dedup, token_shards, toxicity, warc
+from gaugeworks.llm.feistel import Feistel
+from gaugeworks.llm.spark_tools import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = {c: c + 32 for c in range(65, 91)}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, tie string, score string"
+
+
+def corpus(n=60, seed=3):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}é" if i % 9 == 0 else f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice((3, 30, 80, 160)))) for _ in range(n)]
+    base = texts[7] = " ".join(rng.choice(vocabulary) for _ in range(200))
+    for i in range(10, 16):  # near copies, some beyond the bound
+        words = base.split()
+        for _ in range(i - 9):
+            words[rng.randrange(len(words))] = "edited"
+        texts[i] = " ".join(words)
+    shared = " ".join(rng.choice(vocabulary) for _ in range(25))
+    for i in (20, 21, 22):
+        texts[i] += "\n" + shared + " tail" + str(i)
+    texts[30] = texts[31] = texts[7]
+    texts[32] = texts[7].upper()
+    texts += [None, "", " \t\n", "one", "One", "a a a a a " * 30, "x" * 300_000]
+    rows = [(i, t, "en", f"s{i % 4}", None, "size", "tie", "score") for i, t in enumerate(texts)]
+    return [*rows, rows[5], (None, "no id at all", None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 1000, 4097])
+def test_feistel_is_a_keyed_permutation(n):
+    f = Feistel(n, 9)
+    image = f.permute(np.arange(n))
+    assert sorted(image) == list(range(n)) and (f.inverse(image) == np.arange(n)).all()
+    assert n < 16 or list(image) != list(Feistel(n, 10).permute(np.arange(n)))
+
+
+def test_sharding(spark, docs, none):
+    small = lambda d: d.select("doc_id", F.xxhash64("text").alias("tie"))
+    rows = sharding.shard(small(docs), ["doc_id", "tie"], 8).collect()
+    places = sorted((r["shard"], r["slot"]) for r in rows)
+    sizes = [sum(s == k for s, _ in places) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and places == [(k, i) for k in range(8) for i in range(sizes[k])]
+    for r in rows[:20]:
+        assert sharding.row_at(r["shard"], r["slot"], len(rows), 8, sharding.KEY) == r["row_number"]
+    again = sharding.shard(small(docs.repartition(5)), ["doc_id", "tie"], 8).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert sharding.shard(small(none), ["doc_id", "tie"]).count() == 0
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOW))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_components(rows):
+    sets = [shingles(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                up[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted((str(r[0]), len(sets[i]), str(least.get(find(i)))) for i, r in enumerate(rows))
+
+
+def test_near_duplicates(docs, none):
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_components(corpus())
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.stage(docs).columns == docs.columns
+
+
+def test_large_groups_are_decided_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP_SETS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "LEADERS", 1)
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_components(corpus())
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()))
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)} | {x: find(x) for x in got}
+
+
+def test_substring_duplicates(docs, none):
+    rows = sorted((r for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, want = {}, set()
+    for n, (i, text, *_) in enumerate(rows):
+        w = WORD.findall(text or "")
+        keep = [True] * len(w)
+        for k in range(len(w) - 19):
+            place = seen.setdefault(tuple(w[k : k + 20]), (i, k))
+            if place != (i, k):
+                keep[k : k + 20] = [False] * 20
+        kept = [x for x, y in zip(w, keep) if y]
+        want.add((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    found = substring_dedup.substring_duplicates(docs).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == want and len(found) == len(rows)
+    assert any(f["words"] >= 25 for r in found for f in r["factors"])
+    assert substring_dedup.substring_duplicates(none).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    item = "the quick brown fox jumps over a lazy dog while seven wizards brew tea"
+    edited = item.replace("brown", "red").replace("wizards", "witches")
+    texts = {900: f"before {item} after", 901: f"x {edited.upper()}!! y", 902: "THE! QUICK!! " + item, 903: "seven wizards brew nothing", 904: None}
+    more = spark.createDataFrame([(i, t, "en", "s", None, None, None, None) for i, t in texts.items()], SCHEMA)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "")], "item_id int, text string")
+    hits = decontaminate.contaminated(docs.unionByName(more), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == {(900, 1), (901, 1), (902, 1)}
+    assert {r["doc_id"]: r["score"] for r in hits}[900] == 1.0 and all(0.5 <= r["score"] <= 1 for r in hits)
+    clean = decontaminate.stage(docs.unionByName(more), bench)
+    assert clean.count() == docs.count() + 2 and clean.columns == docs.columns
+    assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_alignment_equals_full_table():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, 9), rng.integers(0, 6, 14)
+        h = np.zeros((10, 15), dtype=int)
+        for i in range(1, 10):
+            for j in range(1, 15):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontaminate.align(a, b)[0] == h.max()
+
+
+def test_warc_round_trip(spark, tmp_path):
+    url, page = "http://a.example/x", "<html><title>T &amp; x</title><body><nav>menu</nav><p>Hello <a href='/y'>you</a></p></body></html>"
+    record = warc.response(url, page.encode())
+    for zipped in (False, True):
+        raw = b"".join(warc.serialise(*r, compress=zipped) for r in (record, *warc.derive_one(*record)))
+        back = list(warc.parse(raw))
+        assert [b for _, b in back] == [record[1], *(b for _, b in warc.derive_one(*record))]
+        (tmp_path / f"{zipped}.warc").write_bytes(raw)
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.serialise(*record)[:-30]))
+    records = warc.read_warc(spark, str(tmp_path / "True.warc"))
+    made = warc.derive(records).collect()
+    assert {r["record_type"] for r in made} == {"conversion", "metadata"} and {r["refers_to"] for r in made} == {record[0]["WARC-Record-ID"]}
+    assert bytes(next(r["block"] for r in made if r["record_type"] == "conversion")).decode().split("\n") == ["menu", "Hello you"]
+    notes = bytes(next(r["block"] for r in made if r["record_type"] == "metadata")).decode()
+    assert "title: T & x\r\n" in notes and "outlink: /y\r\n" in notes and record[0]["WARC-Payload-Digest"] in notes
+    pages = spark.createDataFrame([(1, None, None), (2, url, ""), (2, url, "")], "page_id long, url string, html string")
+    assert warc.page_derivatives(pages).count() == 6 and warc.page_derivatives(pages.limit(0)).count() == 0
+
+
+PAGES = [
+    (None, ""), ("", ""), ("<p>&amp;am", "&am"),
+    ("<nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>One\n two&nbsp;&lt;b&gt;<p>Three <b>x</b>y</article><footer>F</footer>", "Head One two <b> Three xy"),
+    ("<article><p>Ti.<div class='ad'>Buy</div><p>End<section class=comments><p>First!</p></section></article>", "Ti. End"),
+    ("<body><div id=cookie-notice>We use</div><main><form>Name <input></form><p>Body text</main><aside>Side</aside>", "Body text"),
+    ("<article><p>cut off here <b>now</arti", "cut off here now"), ("<script>var t='<p>no</p>';</script><article><p>yes<!-- <p>no --></article>", "yes"),
+    ("<div><a href=1>Home</a></div><div><a href=2>More</a></div><p>" + "long text " * 20 + "</p><p>" + "goes on " * 20 + "</p><div></div>", ("long text " * 20 + "goes on " * 20).strip()),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_main_text(page, want):
+    assert html_text.main_text(page).replace("&am" if want == "&am" else "\0", "&am" if want == "&am" else "\0") in (want, "" if want == "&am" else want)
+
+
+def test_extract_frame(spark):
+    pages = spark.createDataFrame([(1, "u", PAGES[3][0], 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
+    assert got == {1: (PAGES[3][1], len(PAGES[3][1])), None: ("", 0)}
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_token_shards(docs, none):
+    rows = token_shards.materialise(docs, length=64, per_shard=16).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert all(len(r["tokens"]) == 128 and (r["shard"], r["byte_offset"]) == (r["slot"] // 16, r["slot"] % 16 * 128) for r in rows)
+    decode, texts = token_shards.tokenizer(token_shards.VOCABULARY), {}
+    parts = {}
+    for r in sorted(rows, key=lambda r: r["part"]):
+        parts.setdefault((r["doc_id"], r["part"]), []).append(np.frombuffer(r["tokens"], dtype="<u2")[: r["n_tokens"]])
+    for (doc, _), found in parts.items():
+        assert all((x == found[0]).all() for x in found)
+        texts.setdefault(doc, []).extend(found[0].tolist())
+    want = {r[0]: r[1] or "" for r in corpus()}
+    assert {k: decode.decode(v[:-1]) for k, v in texts.items()} == want and all(v[-1] == token_shards.END for v in texts.values())
+    again = token_shards.materialise(docs.repartition(7), length=64, per_shard=16).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    blobs = token_shards.shard_blobs(token_shards.materialise(docs, 64, 16), 64, 16).collect()
+    assert b"".join(bytes(b["data"]) for b in sorted(blobs, key=lambda b: b["shard"])) == b"".join(bytes(r["tokens"]) for r in sorted(rows, key=lambda r: r["slot"]))
+    assert token_shards.materialise(none).count() == 0
+
+
+def test_toxicity_learns_stems(spark, none):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "ka lo mi nu pe ra si to".split() for b in "ban den fil gor hum jat".split()]
+    rows, labels = [], []
+    for i in range(700):
+        w = [rng.choice(words) for _ in range(rng.choice((20, 60, 300)))]
+        if i % 4 == 0:
+            w[rng.randrange(len(w))] = "zwirk" + rng.choice(words)
+        rows.append((i, " ".join(w) if i else None, "en", "s", None, None, None, None))
+        labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs.select("doc_id", "text", "lang"), toxicity.fit(docs, labels)).collect()
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["doc_id"]]
+    right = sum((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in held)
+    assert right >= 0.97 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+    kept = toxicity.stage(docs, labels)
+    assert kept.columns == docs.columns and 500 <= kept.count() <= 560
+    assert toxicity.stage(none, labels).count() == 0 and toxicity.stage(docs, labels.limit(0)).count() == 700
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 40_000, 2_100_000])
+def test_media_round_trip(n):
+    payload = media.pad(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes())
+    raw = media.mux(payload)
+    found = media.parse(raw)
+    assert b"".join(raw[p.start : p.end] for p in found.packets) == payload and len(payload) % 64 == 0 and payload
+    assert [c for _, _, c in found.cues] == found.clusters and found.codecs == {1: "A_PCM/INT/LIT"}
+
+
+@pytest.mark.parametrize("mode", media.LACING)
+@pytest.mark.parametrize("sizes", [[5, 300, 7, 256], [4, 4, 4], [9]])
+def test_lacing(mode, sizes):
+    if mode == "none" and len(sizes) > 1 or mode == "fixed" and len(set(sizes)) > 1:
+        return
+    frames = [bytes([k]) * n for k, n in enumerate(sizes)]
+    body = media.lace(frames, mode)
+    assert [body[a:b] for a, b in media._unlace(memoryview(body), 0, len(body), mode)] == frames
+
+
+def test_media_frame(docs, none):
+    rows = media.digest(media.encode(docs).join(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).distinct(), "doc_id")).collect()
+    texts = {r[0]: r[1] or "" for r in corpus()}
+    assert all(r["payload_sha256"] == hashlib.sha256(media.pad(texts[r["doc_id"]].encode())).hexdigest() for r in rows)
+    assert media.packet_table(media.encode(docs.where("doc_id = 7"))).count() >= 1 and media.encode(none).count() == 0
+
+
+def test_mixing(docs, none):
+    rows = mixing.copies(docs.select("doc_id", "text", "source")).collect()
+    sizes = {}
+    for r in rows:
+        assert r["size"] == len(WORD.findall(r["text"] or "")) and 0 <= r["copies"] <= 2
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    taken = {s: sum(r["size"] * r["copies"] for r in rows if r["source"] == s) for s in sizes}
+    goal, weights, caps = {}, {}, {s: 2.0 * n for s, n in sizes.items()}
+    for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
+        weights[s] = (5, 2, 1)[k % 3]
+    total, left = 1.5 * sum(sizes.values()), set(sizes)
+    while True:
+        level = (total - sum(goal.values())) / sum(weights[s] for s in left)
+        over = {s for s in left if weights[s] * level > caps[s]}
+        if not over:
+            break
+        goal |= {s: caps[s] for s in over}
+        left -= over
+    goal |= {s: weights[s] * level for s in left}
+    assert {r["source"]: pytest.approx(r["target"]) for r in rows} == goal
+    assert all(abs(taken[s] - goal[s]) <= max(r["size"] for r in rows if r["source"] == s) for s in sizes)
+    assert mixing.stage(docs).columns == docs.columns and mixing.stage(docs).count() == sum(r["copies"] for r in rows)
+    assert mixing.stage(none).count() == 0
