@@ -22,11 +22,13 @@ doc_id sorts first.  Extra columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,14 @@ def n_sequences(n_tokens: int, length: int) -> int:
     return -(-(n_tokens + 1) // length)
 
 
-def pack(ids: list[int], length: int) -> np.ndarray:
-    """(sequences, length) of 16-bit IDs, the end mark after the text and as filling."""
-    out = np.full(n_sequences(len(ids), length) * length, END, dtype="<u2")
-    out[: len(ids)] = ids
-    return out.reshape(-1, length)
+def pack(ids: list[int], length: int) -> list[bytes]:
+    """Sequences of 16-bit IDs, the end mark after the text and as filling."""
+    row = array("H", ids)
+    row.extend([END] * (n_sequences(len(ids), length) * length - len(ids)))
+    if sys.byteorder == "big":
+        row.byteswap()
+    raw, stride = row.tobytes(), 2 * length
+    return [raw[at : at + stride] for at in range(0, len(raw), stride)]
 
 
 SEQUENCES = "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, tokens binary"
@@ -69,7 +74,9 @@ def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary).encode_ordinary
         for batch in batches:
-            n = [n_sequences(len(encode(x.as_py())), length) for x in batch.column("text")]
+            texts, sizes = batch.column("text"), pc.binary_length(batch.column("text")).to_pylist()
+            # a token has a byte at least, so a text shorter than a sequence is one sequence
+            n = [1 if size < length else n_sequences(len(encode(x.as_py())), length) for x, size in zip(texts, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64())], names=["doc_id", "tie", "each"])
 
     counted = stored(rows.mapInArrow(count, "doc_id long, tie long, each long"))
@@ -93,7 +100,7 @@ def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
                 doc += [doc_id] * len(packed)
                 part += range(len(packed))
                 size += [length] * (len(packed) - 1) + [len(ids) + 1 - (len(packed) - 1) * length]
-                blobs += [x.tobytes() for x in packed]
+                blobs += packed
             if number:
                 slot = order.permute(number)
                 yield pa.RecordBatch.from_arrays(
