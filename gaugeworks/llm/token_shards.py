@@ -64,9 +64,8 @@ def pack(ids: list[int], length: int) -> list[bytes]:
     return [raw[at : at + stride] for at in range(0, len(raw), stride)]
 
 
-#: Sequences of texts that this worker has counted, by hash and bytes: copies are counted once.
+#: Texts of a task, by hash and bytes, whose sequences are remembered: its copies are counted once.
 COUNTED = 100_000
-_counted: dict[tuple[int, int, int, str], int] = {}
 
 SEQUENCES = "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, tokens binary"
 
@@ -76,19 +75,17 @@ def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from gaugeworks.llm.token_shards import _counted  # the worker's own, not a copy sent with the task
-
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode, counted = tokenizer(vocabulary).encode_ordinary, {}
         for batch in batches:
             n = []
             for text, size, tie in zip(batch.column("text"), pc.binary_length(batch.column("text")).to_pylist(), batch.column("tie").to_pylist()):
                 # a token has a byte at least, so a text shorter than a sequence is one sequence
-                many = 1 if size < length else _counted.get((tie, size, length, vocabulary))
+                many = 1 if size < length else counted.get((tie, size))
                 if many is None:
                     many = n_sequences(len(encode(text.as_py())), length)
-                    if len(_counted) == COUNTED:
-                        _counted.clear()
-                    _counted[tie, size, length, vocabulary] = many
+                    if len(counted) == COUNTED:
+                        counted.clear()
+                    counted[tie, size] = many
                 n.append(many)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64())], names=["doc_id", "tie", "each"])
 
