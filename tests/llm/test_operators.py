@@ -212,6 +212,18 @@ def test_extract_frame(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_splitting_pattern_equals_the_plain_one():
+    import tiktoken
+
+    ours = token_shards.tokenizer(token_shards.VOCABULARY)
+    plain = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    other = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ours._mergeable_ranks, special_tokens={})
+    rng, signs = random.Random(5), "aZé9 \t\n\r\u00a0\u3000'sdmtlvre!?_-漢😀½\x00\x0b"
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 24)))
+        assert ours.encode_ordinary(text) == other.encode_ordinary(text)
+
+
 def test_token_shards(docs, none):
     rows = token_shards.materialise(docs, length=64, per_shard=16).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
