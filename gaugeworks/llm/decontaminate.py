@@ -1,15 +1,16 @@
-"""Operator 3, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Words of the benchmark items are counted over all documents.  An n-gram of
-   an item is a seed if, were words independent, it would be expected at most
-   ``CHANCE`` times in the whole corpus; each place of an item takes the
-   shortest such n of ``SEEDS``.  So rarity does not depend on how often an
-   item itself has leaked.
-2. Documents are scanned once for seeds.  Hits on near diagonals give windows.
-3. Each window is aligned with its item word by word: local alignment, match
-   +2, mismatch -1, gap -1.  ``score`` is the best score over the highest an
-   item can reach; at ``MIN_SCORE`` or more the document is contaminated.
-
+"""Operator 3, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Every ``SEED`` neighbouring words of a benchmark item are a seed, however
+   common: a seed left out for being common would lose the edited copies of an
+   item that has leaked often.
+2. Documents are scanned once for seeds.  A hit gives a window as wide as any
+   alignment through it that reaches ``MIN_SCORE``; windows that meet are one.
+3. A window whose words cannot reach ``MIN_SCORE`` in any order is left out.
+4. Each other window is aligned with its item word by word: local alignment,
+   match +2, mismatch -1, gap -1.  ``score`` is the best score over the highest
+   an item can reach; at ``MIN_SCORE`` or more the document is contaminated.
+
+So each alignment of that score with ``SEED`` unchanged words in a row is found.
 Items are taken in blocks of at most ``BLOCK_BYTES``, and each block is scored
 against all documents; only a block and its seeds travel to the executors.
 Texts are whole, in lower case, and words are runs of letters and digits, so
@@ -32,9 +33,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gaugeworks.llm import words as W
 from gaugeworks.llm.spark_tools import documents
 
-SEEDS, CHANCE, MIN_SCORE, BLOCK_BYTES = (3, 5, 8), 1.0, 0.5, 8 << 20
+SEED, MIN_SCORE, BLOCK_BYTES = 3, 0.5, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-SLACK = 8
+#: Seed hits, or words of windows, that are looked at together.
+TOGETHER = 1 << 20
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
@@ -74,28 +76,15 @@ class Items:
         self.ids, self.values = ids, values
         self.vocabulary = np.unique(np.concatenate(values)) if values else np.zeros(0, dtype=np.uint64)
 
-    def seeds(self, counts: np.ndarray, total: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, sorted seed values, item, place) for each n."""
-        found: dict[int, list[tuple[int, int, int]]] = {n: [] for n in SEEDS}
-        rate = np.log(np.maximum(counts, 1) / max(total, 1))
-        for item, value in enumerate(self.values):
-            sums = np.concatenate([[0.0], np.cumsum(rate[np.searchsorted(self.vocabulary, value)])])
-            w = W.Words(0, np.zeros(0, np.uint8), np.array([0, len(value)]), value, value, value)
-            for n in SEEDS:
-                if len(value) >= n:
-                    grams, _, _ = W.grams(w, n)
-                    rare = np.log(max(total, 1)) + sums[n:] - sums[:-n] <= np.log(CHANCE)
-                    if n != SEEDS[0]:
-                        rare &= ~np.isin(np.arange(len(rare)), done)
-                    done = np.flatnonzero(rare) if n == SEEDS[0] else np.union1d(done, np.flatnonzero(rare))
-                    found[n] += [(int(grams[k]), item, int(k)) for k in np.flatnonzero(rare)]
-        out = []
-        for n, rows in found.items():
-            if rows:
-                rows.sort()
-                value, item, place = zip(*rows)
-                out.append((n, np.array(value, dtype=np.uint64), np.array(item), np.array(place)))
-        return out
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted seed values, item, place) of every place of every item."""
+        flat = np.concatenate(self.values) if self.values else self.vocabulary
+        first = np.concatenate([[0], np.cumsum([len(v) for v in self.values])]).astype(np.int64)
+        value, first, _ = W.grams(W.Words(0, np.zeros(0, np.uint8), first, flat, flat, flat), SEED)
+        item = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        place = np.arange(len(value)) - first[item]
+        order = np.lexsort((place, item, value))
+        return value[order], item[order], place[order]
 
 
 class _Filter:
@@ -112,67 +101,80 @@ class _Filter:
         return maybe[self.table[at] == values[maybe]]
 
 
-def _word_counts(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Occurrences of the block's words in all documents, and all words."""
-    vocabulary = items.vocabulary
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, total = _Filter(vocabulary), np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
-        for batch in batches:
-            for w in W.scan(batch.column("text"), letters=True):
-                total += len(w.value)
-                np.add.at(sums, np.searchsorted(vocabulary, w.value[known.hits(w.value)]), 1)
-        sums[-1] = total
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["word", "c"])
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries of about ``TOGETHER`` in all, one entry at least."""
+    sums, a = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sums, sums[a] + TOGETHER, side="right")) - 1)
+        yield a, b
+        a = b
 
-    counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
-    for word, c in texts.mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c")).collect():
-        counts[word] = c
-    return counts[:-1], int(counts[-1])
 
+def _reach(shared: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The most an alignment of each window can score: words of the item match, each other word in between costs."""
+    step = np.where(shared, MATCH, max(MISMATCH, GAP))
+    sums = np.cumsum(step)
+    # a running minimum that starts anew in each window
+    lower = np.repeat(np.arange(len(first) - 1), np.diff(first)) * (2 * MATCH * len(step) + 1)
+    low = np.minimum.accumulate(sums - step - lower) + lower
+    return np.maximum.reduceat(sums - low, first[:-1])
 
 
-def _matcher(items: Items, seeds):
+def _matcher(items: Items):
     """A function of a text column that gives (row, item, score, start, end, seeds) of each aligned pair."""
-    tables = [(n, _Filter(np.unique(value)), value, item, place) for n, value, item, place in seeds]
+    value, item, place = items.seeds()
+    known, words, width = _Filter(np.unique(value)), _Filter(items.vocabulary), len(items.vocabulary)
+    length = np.array([len(v) for v in items.values], dtype=np.int64)
+    owned = np.unique(np.concatenate([i * width + np.searchsorted(items.vocabulary, v) for i, v in enumerate(items.values)]))
 
     def match(column: pa.Array) -> list[tuple[int, int, float, int, int, int]]:
         out = []
-        for w in W.scan(column, letters=True):
-            rows, its, diagonals = [], [], []
-            for n, known, value, item, place in tables:
-                grams, first, at = W.grams(w, n)
-                hit = known.hits(grams)
-                if not len(hit):
-                    continue
-                lo, hi = np.searchsorted(value, grams[hit], "left"), np.searchsorted(value, grams[hit], "right")
-                entry = W.spans(lo, hi - lo)
-                hit = np.repeat(hit, hi - lo)
-                row = np.searchsorted(first, hit, "right") - 1
-                rows.append(row)
-                its.append(item[entry])
-                diagonals.append(at[hit] - w.first[row] - place[entry])
-            if not rows:
+        for w in W.scan(column, letters=True) if len(value) else ():
+            grams, first, at = W.grams(w, SEED)
+            hits = known.hits(grams)
+            if not len(hits):
                 continue
-            row, it, diagonal = (np.concatenate(x) for x in (rows, its, diagonals))
-            order = np.lexsort((diagonal, it, row))
-            row, it, diagonal = row[order], it[order], diagonal[order]
-            cut = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(it) != 0) | (np.diff(diagonal) > SLACK)])
-            starts = np.flatnonzero(cut)
-            best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-            for s, e in zip(starts, np.append(starts[1:], len(row))):
-                r, i = int(row[s]), int(it[s])
-                value = items.values[i]
-                a, b = int(w.first[r]), int(w.first[r + 1])
-                lo = max(0, int(diagonal[s]) - SLACK - len(value) // 4)
-                hi = min(b - a, int(diagonal[e - 1]) + len(value) + SLACK + len(value) // 4)
-                score, start, end = align(value, w.value[a + lo : a + hi])
-                found = (score / (MATCH * len(value)), lo + start, lo + end, int(e - s))
+            named = np.full(len(w.value), -1)
+            mine = words.hits(w.value)
+            named[mine] = np.searchsorted(items.vocabulary, w.value[mine])
+            lows, highs = np.searchsorted(value, grams[hits], "left"), np.searchsorted(value, grams[hits], "right")
+            rows = np.searchsorted(first, hits, "right") - 1
+            # whole rows together
+            change = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+            ends = np.append(change[1:], len(rows))
+            for x, y in _pieces(np.add.reduceat(highs - lows, change)):
+                part = slice(change[x], ends[y - 1])
+                out += windows(w, named, rows[part], at[hits[part]], lows[part], highs[part])
+        return out
+
+    def windows(w: W.Words, named: np.ndarray, row: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list:
+        entry = W.spans(lo, hi - lo)
+        row, at = np.repeat(row, hi - lo), np.repeat(at, hi - lo)
+        it, diagonal = item[entry], at - w.first[row] - place[entry]
+        order = np.lexsort((diagonal, it, row))
+        row, it, diagonal = row[order], it[order], diagonal[order]
+        cut = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(it) != 0) | (np.diff(diagonal) >= 3 * length[it[1:]])])
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(row))
+        row, it, seeds = row[starts], it[starts], ends - starts
+        # at MIN_SCORE, gaps are no more than the item's words
+        lo = w.first[row] + np.maximum(0, diagonal[starts] - length[it])
+        hi = np.minimum(w.first[row + 1], w.first[row] + diagonal[ends - 1] + 2 * length[it])
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        for x, y in _pieces(hi - lo):
+            size = hi[x:y] - lo[x:y]
+            word = named[W.spans(lo[x:y], size)]
+            code = np.repeat(it[x:y], size) * width + word
+            shared = (word >= 0) & (owned[np.minimum(np.searchsorted(owned, code), len(owned) - 1)] == code)
+            reach = _reach(shared, np.concatenate([[0], np.cumsum(size)]))
+            for k in x + np.flatnonzero(reach >= MIN_SCORE * MATCH * length[it[x:y]]):
+                r, i = int(row[k]), int(it[k])
+                score, start, end = align(items.values[i], w.value[lo[k] : hi[k]])
+                before = int(lo[k] - w.first[r])
+                found = (score / (MATCH * int(length[i])), before + start, before + end, int(seeds[k]))
                 if found[0] >= MIN_SCORE and ((r, i) not in best or found > best[r, i]):
                     best[r, i] = found
-            out += [(w.row0 + r, i, *found) for (r, i), found in best.items()]
-        return out
+        return [(w.row0 + r, i, *found) for (r, i), found in best.items()]
 
     return match
 
@@ -191,11 +193,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame):
-    texts = docs.select(F.lower("text").alias("text"))
+def _prepared(benchmark: DataFrame):
     for items in _blocks(benchmark):
         if len(items.vocabulary):
-            yield items, _matcher(items, items.seeds(*_word_counts(texts, items)))
+            yield items, _matcher(items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id long, item_id {item_type}, score double, doc_start long, doc_end long, n_seeds long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for items, match in _prepared(docs, benchmark):
+    for items, match in _prepared(benchmark):
 
         def hits(batches: Iterator[pa.RecordBatch], items=items, match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item, in place: no shuffle."""
-    for _, match in _prepared(docs, benchmark):
+    for _, match in _prepared(benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -159,6 +159,34 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_of_an_item_that_fills_the_corpus():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    item = [rng.choice(words) for _ in range(40)]
+    fifth = [f"new{k}" if k % 5 == 4 else x for k, x in enumerate(item)]
+    apart = [y for k, x in enumerate(item) for y in ((x, "in", "between", "here") if k % 4 == 3 else (x,))]
+    texts = [" ".join(item)] * 60 + [" ".join(fifth), " ".join(apart)] + [" ".join(rng.choice(words) for _ in range(200)) for _ in range(40)] + ["", " ".join([*item[:3], *words[:80]])]
+    texts += [" ".join([*item[:13], *["far"] * 16, *item[13:26], *["off"] * 16, *item[26:]])]
+    items = decontaminate.Items([7], [" ".join(item)])
+    found = {r: f for r, _, *f in decontaminate._matcher(items)(pa.array(texts))}
+    scores = [decontaminate.align(items.values[0], w.value[a:b])[0] / 80 for w in decontaminate.W.scan(pa.array(texts), letters=True) for a, b in zip(w.first[:-1], w.first[1:])]
+    assert {60, 61, 104} <= set(found) and 102 not in found and 103 not in found
+    assert {r: f[0] for r, f in found.items()} == {r: s for r, s in enumerate(scores) if s >= 0.5}
+
+
+def test_edited_copies_stay_found_as_the_corpus_grows(spark):
+    rng = random.Random(9)
+    item = rng.sample([f"w{i}" for i in range(300)], 40)
+    edited = " ".join("changed" if k % 5 == 4 else x for k, x in enumerate(item))
+    texts = [" ".join(item)] * 2000 + [edited] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()} == set(range(2003))
+    assert decontaminate.stage(docs, bench).count() == 0
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(0)
     for _ in range(50):
