@@ -2,11 +2,17 @@
 
 A page becomes lines, one per block element, with references decoded and white
 space collapsed.  Lines inside boilerplate elements (menus, headers, footers,
-sidebars, forms, adverts, notices, comments) and, where a page names its
-article or main part, lines outside it weigh nothing; other lines weigh their
-length outside links.  The weights of ``WINDOW`` neighbouring lines are summed;
-text surges where the sum rises over a threshold and dives where it falls to
-nothing.  Weighing lines between a surge and its dive are kept, in page order.
+sidebars, forms, adverts, notices, comments) weigh nothing; other lines weigh
+their length outside links.  The weights of ``WINDOW`` neighbouring lines are
+summed; text surges where the sum rises over a threshold and dives where it
+falls to nothing.  Weighing lines between a surge and its dive are kept, in
+page order.
+
+Where a page names its article or main part, tags change weights and nothing
+else: lines inside count twice outside links and once inside them, and lines
+outside count for one in ``OUTSIDE``.  If more text lies outside, as with
+teasers that are articles, lines outside count in full and links never.  Text
+dives at the border of the part, and boilerplate in the part does not part it.
 
 The threshold is ``SURGE`` characters, or less on a page whose largest sum is
 small, so short articles are kept.  Null or empty html gives empty text; broken
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm.spark_tools import documents
 
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, OUTSIDE = 3, 86, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(?:/?[a-zA-Z][^<>]*)?\Z", re.S)
 _RAW = re.compile(r"</(script|style|title|textarea|noscript|template|iframe|noembed|noframes|xmp)\s*>", re.I)
@@ -137,8 +143,21 @@ def main_text(page: str | None) -> str:
     """The article of a page."""
     lines = lines_of(page or "")
     framed = any(inside and not bad for _, _, bad, inside in lines)
-    weights = [0 if bad or framed and not inside else (len(text) if framed else free) for text, free, bad, inside in lines]
-    n = len(lines)
+    rows: list[tuple[int, int]] = []  # (line, weight)
+    if framed:
+        within = sum(free for _, free, bad, inside in lines if inside and not bad)
+        around = sum(free for _, free, bad, inside in lines if not inside and not bad)
+        for i, (text, free, bad, inside) in enumerate(lines):
+            if i and inside != lines[i - 1][3]:
+                rows += [(i, 0)] * WINDOW
+            if not inside:
+                rows.append((i, 0 if bad else free if around > within else free // OUTSIDE))
+            elif not bad:
+                rows.append((i, 2 * free if around > within else len(text) + free))
+    else:
+        rows = [(i, 0 if bad else free) for i, (_, free, bad, _) in enumerate(lines)]
+    weights = [weight for _, weight in rows]
+    n = len(rows)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     threshold = min(SURGE, max(sums, default=0))
     kept, at = [], 0
@@ -154,9 +173,7 @@ def main_text(page: str | None) -> str:
                 at += 1
         else:
             at += 1
-    if framed:
-        kept = [i for i in range(n) if weights[i]] if kept else []
-    return " ".join(lines[i][0] for i in kept)
+    return " ".join(lines[rows[k][0]][0] for k in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

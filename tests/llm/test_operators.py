@@ -233,6 +233,18 @@ def test_main_text(page, want):
     assert html_text.main_text(page).replace("&am" if want == "&am" else "\0", "&am" if want == "&am" else "\0") in (want, "" if want == "&am" else want)
 
 
+def test_surge_and_dive_choose_on_framed_pages():
+    body = [f"Paragraph {k} of the main text, " + "which goes on for a while " * 8 for k in range(4)]
+    main = "".join(f"<p>{x}</p>" for x in body)
+    text = " ".join(x.strip() for x in body)
+    teasers = "".join(f"<article><a href=/{k}>Teaser {k} of some other page with a long title</a></article>" for k in range(5))
+    assert html_text.main_text(f"<div>{main}</div><div>{teasers}</div>") == text
+    assert html_text.main_text(f"<article><h2>Short one</h2><p>Few words.</article><div>{main}</div>").endswith(text)
+    # a real article stays whole, and short lines around it stay out
+    assert html_text.main_text(f"<p>Skip to text</p><article><h1><a href=/>Head</a></h1>{main}<p>End.</article><p>Copyright, all rights</p>") == f"Head {text} End."
+    assert html_text.main_text(f"<article>{main}<div class=ad><p>a<p>b<p>c<p>d</div><p>End.</article>") == f"{text} End."
+
+
 def test_extract_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGES[3][0], 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
