@@ -8,6 +8,10 @@ summed; text surges where the sum rises over a threshold and dives where it
 falls to nothing.  Weighing lines between a surge and its dive are kept, in
 page order.
 
+A class, id or role does not mark a wrapper: on a page with no unmarked article
+or main part, an element that holds one with more text than all that is
+unmarked, or else most of the page's text outside links.
+
 Where a page names its article or main part, tags change weights and nothing
 else: lines inside count twice outside links and once inside them, and lines
 outside count for one in ``OUTSIDE``.  If more text lies outside, as with
@@ -55,18 +59,49 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _marked(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    for found in _ATTRIBUTE.finditer(attributes):
+    for found in _ATTRIBUTE.finditer(attributes) if "=" in attributes else ():
         if any(x.lower() in MARKS for x in _SPLIT.split(found[1] or found[2] or found[3] or "")):
             return True
-    return bool(_HIDDEN.search(attributes))
+    return False
+
+
+def _hidden(attributes: str) -> bool:
+    return ("=" in attributes or "hidden" in attributes.lower()) and bool(_HIDDEN.search(attributes))
+
+
+def _wrappers(lines: list[tuple[str, int, bool, bool, tuple[int, ...]]]) -> set[int]:
+    """Marked elements that hold the page's article or most of its text, outer ones first."""
+    wrappers: set[int] = set()
+    while True:
+        held: dict[int, int] = {}  # by outermost mark
+        held_in: dict[int, int] = {}  # of it, inside an article
+        plain = 0
+        for text, free, bad, inside, marks in lines:
+            mark = next((x for x in marks if x not in wrappers), None)
+            if bad:
+                continue
+            if mark is None:
+                if inside:
+                    return wrappers
+                plain += free
+            else:
+                held[mark] = held.get(mark, 0) + free
+                if inside:
+                    held_in[mark] = held_in.get(mark, 0) + len(text)
+        # teasers in a marked box are articles too, but hold less than the text beside it
+        most = max(held_in, key=held_in.get, default=None)
+        if most is None or held_in[most] <= plain:
+            most = max(held, key=held.get, default=None)
+            if most is None or held[most] < SURGE or 2 * held[most] <= plain + sum(held.values()):
+                return wrappers
+        wrappers.add(most)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters outside links, inside boilerplate, inside an article) of each block line."""
-    out: list[tuple[str, int, bool, bool]] = []
-    open_: list[tuple[str, bool]] = []  # open boilerplate and article elements
+    out: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+    open_: list[tuple[str, bool, bool]] = []  # open boilerplate, marked and article elements
+    marks: tuple[int, ...] = ()  # open marked elements, by place
     parts: list[str] = []
     linked = bad = inside = links = at = 0
 
@@ -75,7 +110,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), bad > 0, inside > 0))
+                out.append((text, max(0, len(text) - linked), bad > 0, inside > 0, marks))
         parts, linked = [], 0
 
     def add(piece: str) -> None:
@@ -103,10 +138,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             elif name not in INLINE:
                 close()
                 links = 0
-                if any(x == name for x, _ in open_):
+                if any(x == name for x, _, _ in open_):
                     while open_:
-                        last, kind = open_.pop()
-                        if kind:
+                        last, kind, mark = open_.pop()
+                        if mark:
+                            marks = marks[:-1]
+                        elif kind:
                             bad -= 1
                         elif last in ARTICLE:
                             inside -= 1
@@ -129,14 +166,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         close()
         if name in VOID or attributes.endswith("/"):
             continue
-        boiler = name in BOILERPLATE and not (name == "header" and inside) or name not in ARTICLE and name not in ("html", "body") and _marked(attributes)
+        boiler = name in BOILERPLATE and not (name == "header" and inside)
+        mark = False
+        if not boiler and name not in ARTICLE and name not in ("html", "body"):
+            boiler = _hidden(attributes)
+            mark = not boiler and _marked(attributes)
         # every open block of a name is kept, so that an inner end tag does not close an outer element
-        if boiler or name in ARTICLE or open_ and name in {x for x, _ in open_}:
-            open_.append((name, bool(boiler)))
-            bad += bool(boiler)
+        if boiler or mark or name in ARTICLE or open_ and name in {x for x, _, _ in open_}:
+            open_.append((name, boiler, mark))
+            bad += boiler
+            if mark:
+                marks += (tag.start(),)
             inside += name in ARTICLE and not boiler
     close()
-    return out
+    wrappers = _wrappers(out) if any(marks for *_, marks in out) else set()
+    return [(text, free, bad or not wrappers.issuperset(marks), inside) for text, free, bad, inside, marks in out]
 
 
 def main_text(page: str | None) -> str:

@@ -245,6 +245,21 @@ def test_surge_and_dive_choose_on_framed_pages():
     assert html_text.main_text(f"<article>{main}<div class=ad><p>a<p>b<p>c<p>d</div><p>End.</article>") == f"{text} End."
 
 
+@pytest.mark.parametrize("name", ["page with-sidebar", "no-ads", "comments-enabled", "related"])
+def test_marked_wrappers_hold_the_page(name):
+    text = "The main text goes on for a while. " * 9
+    side, wrapped = "<div class=sidebar><p>" + "Side story. " * 5 + "</div>", text.strip()
+    talk = "<section class=comments><p>" + "A long reply. " * 90 + "</section>"
+    for inner in (f"<article><p>{text}</article>", f"<main><div class={name.split()[0]}></div><p>{text}</main>{talk}", f"<p>{text}</p>"):
+        assert html_text.main_text(f"<nav>menu</nav><div class='{name}'>{inner}{side}</div><footer>end</footer>") == wrapped
+    assert html_text.main_text(f"<div class='{name}'><div id=no-ads><p>{text}</p></div>{side}</div>") == wrapped
+    teasers = "".join(f"<article><p>Teaser {k} with some words of its own</article>" for k in range(6))
+    assert html_text.main_text(f"<p>{text}</p><div class=related>{teasers}</div>") == wrapped
+    # marks of smaller parts and hidden elements stay
+    assert html_text.main_text(f"<p>{text}</p><div class=related><p>Buy this</div>") == wrapped
+    assert html_text.main_text(f"<div class='{name}' hidden><article><p>{text}</article></div>") == ""
+
+
 def test_extract_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGES[3][0], 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}
