@@ -111,6 +111,18 @@ def test_large_groups_are_decided_in_blocks(spark, docs, monkeypatch):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_components(corpus())
 
 
+def test_nodes_of_different_members_are_all_compared(spark):
+    hashes = np.array([r[0] for r in spark.range(4000).selectExpr("xxhash64(id) >> 24").collect()])
+    a, b = np.triu_indices(4000, 1)
+    sums = hashes[a] + hashes[b]
+    order = np.argsort(sums, kind="stable")
+    at = next(k for k in np.flatnonzero(np.diff(sums[order]) == 0) if len({a[order[k]], b[order[k]], a[order[k + 1]], b[order[k + 1]]}) == 4)
+    pairs = [sorted((int(a[k]), int(b[k]))) for k in order[at : at + 2]]
+    rows = [(sk, [key, key + 10], b"") for key, pair in enumerate(pairs) for sk in pair]
+    nodes = near_dedup._nodes(spark.createDataFrame(rows, "sk long, keys array<long>, sig binary")).collect()
+    assert sorted(r["sk"] for r in nodes) == sorted(sum(pairs, []))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
