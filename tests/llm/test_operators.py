@@ -103,6 +103,17 @@ def test_near_duplicates(docs, none):
     assert near_dedup.stage(docs).columns == docs.columns
 
 
+def test_stage_keeps_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice([f"w{i}" for i in range(400)]) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (3, b + " more"), (4, b), (None, c), (None, c), (None, c + " more"), (None, d), (9, d), (3, e), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.stage(docs).collect()]
+    groups = {a: a, b: b, b + " more": b, c: c, c + " more": c, d: d, e: e, None: None, "": ""}
+    assert len(kept) == 7 and {(i, groups[t]) for i, t in kept} == {(1, a), (3, b), (None, c), (9, d), (3, e), (7, None), (8, "")}
+
+
 def test_large_groups_are_decided_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP_SETS", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
