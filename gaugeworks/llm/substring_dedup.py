@@ -1,16 +1,17 @@
-"""Operator 7, substring dedup by relative Lempel-Ziv parsing.
+"""Operator 7, substring dedup by windows' hashes, in place of a relative Lempel-Ziv parse.
 
-Every document is parsed into factors that copy an earlier place of the
-collection.  Reference blocks are indexed by content-defined seeds: of the
-fifteen 6-word sequences in a 20-word window the least hash is its seed, so
-equal windows have equal seeds, and about one word in six starts a seed.
+Every 20-word window that has an earlier place in the collection is found, and
+its words are removed.  Windows are indexed by content-defined seeds: of the
+thirteen 8-word sequences in a 20-word window the least hash is its seed, so
+equal windows have equal seeds, and about one word in seven starts a seed.
 Seeds that occur once end there.  If all runs of windows around a seed are
 equal, the first run is the source of the others; at the boundaries, where they
 differ, each 20-word window is looked up by hash.  A window's source is its
 first place in (doc_id, start) order.
-The parse is greedy: a factor runs as long as the source runs along, and at a
-factor's boundary the next window is looked up again, so windows that cross a
-boundary are checked too.  Words of a factor of 20 words or more are removed.
+``factors`` joins neighbouring windows whose first places are neighbours too.
+No match is extended along a reference document, so these factors can overlap:
+a document that copies B whole, where part of B came from A, has several in
+place of the one of a parse.  The removed words are those of the windows.
 
 Order and ties: a null doc_id comes first; rows that share a doc_id but not
 the text are ordered by a 16-bit hash of the text; rows equal in both are one
@@ -154,7 +155,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def factors(start: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Greedy parse of sorted repeated windows: (start, words, source doc, source start)."""
+    """Sorted repeated windows, joined where their first places run along: (start, words, source doc, source start)."""
     if not len(start):
         return []
     new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(source) != 0) | (np.diff(source_at) != 1)])
