@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,77 +14,91 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured, as in tests."""
+    """The cluster's shared folder; a temporary one only in local mode where none is configured, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="gaugeworks-")
     return f"file://{shared_dir.own}"
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone: the folder is the cluster's to clear
-            return
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone: the folder is the cluster's to clear
+        return
 
 
-atexit.register(_clean)
+def _clean() -> None:
+    for path in list(_written):
+        _delete(path)
 
 
-ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+atexit.register(_clean)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 documents unless the session has its own size; the default of 10,000 holds too much text."""
-    if spark.conf.get(ARROW) == "10000":
-        spark.conf.set(ARROW, "1000")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
 
     The table survives lost executors, is computed once however often it is
-    read, and goes when the driver ends.  Collecting the driver's garbage lets
-    Spark remove the shuffle files of the step that has just ended.
+    read, and goes when the driver ends; Spark removes the shuffle files of the
+    write when it ends.  ``free`` names stored tables whose last reader this
+    is; they go at once.
     """
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.option("compression", codec).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)  # the cleaner looks every tenth of a second
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    release(*free)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path in _written:
+            _delete(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, hot: int = 256) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, hot: int = 256, salts: int = 64) -> DataFrame:
     """Left join of ``rows`` to ``table`` (unique in ``key``), safe for hot keys.
 
     ``counts`` has (key, cnt): rows by key.  At most ``hot`` keys can hold a
-    share of over 1 / hot of all rows, so the entries of those may be
-    broadcast whatever the size of the data; the rest is an ordinary join.
+    share of over 1 / hot of all rows.  Their rows are dealt over ``salts`` by
+    a hash of the row and their entries in ``table`` repeated for each salt;
+    every other key keeps its one place.
     """
     total = counts.agg(F.sum("cnt")).first()[0] or 0
     heavy = [r[0] for r in counts.where((F.col("cnt") * hot > total) & F.col(key).isNotNull()).select(key).collect()]
     if not heavy:
         return rows.join(table, key, "left")
     is_hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    warm = rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key, "left")
-    return warm.unionByName(rows.where(~is_hot).join(table.where(~is_hot), key, "left"))
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0))
+    spread = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_number", weight: str | None = None) -> tuple[DataFrame, int]:
@@ -95,10 +107,14 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number", weigh
     Range partitions are sorted and written once; the number of a row is its
     place in its partition plus the rows of the partitions before it.  With
     ``weight``, a row takes that many numbers and gets the first of them.
+    Rows that are equal in ``order`` are told apart by where they stand in the
+    input, so that many of them are spread over partitions too.
     Only one count per partition reaches the driver.
     """
     spark = df.sparkSession
-    kept = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
+    spread = df.withColumn("_row", F.monotonically_increasing_id())
+    spread = spread.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
+    kept = stored(spread.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
     total, before = 0, []
     for p, n in sorted(tuple(r) for r in kept.groupBy("_p").agg(F.sum(weight) if weight else F.count("*")).collect()):
         before.append((p, total))
@@ -167,23 +183,35 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
     """(node, root): connected components of (u, v) long edges, root the least node.
 
     Alternating large-star and small-star steps; every round is two grouped
-    minima and two joins, and ends in a written table.
+    minima and two joins, and ends in a written table.  The minima of nodes
+    with over ``hub`` edges and over a 256th of all edges, of which there are
+    at most 512, are broadcast, so that the edges of a hub stay where they are.
     """
     now, seen = stored(edges.select("u", "v").mapInArrow(_forest, "u long, v long").distinct()), None
     while True:
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(state) == seen:
+        state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+        if state == seen:
             break
-        seen = tuple(state)
+        seen, before = state, now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        many = max(hub, 2 * state[0] // 256)
+        large = _to_least(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), many)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), free=(before,))
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _to_least(both: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """Edges (u, v) with the least neighbour m of u; edges of hubs are not moved."""
+    hubs = [r[0] for r in both.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") > many).select("u").collect()]
+    if not hubs:
+        return both.join(least, "u")
+    is_hub = F.col("u").isin(hubs)
+    return both.where(is_hub).join(F.broadcast(least.where(is_hub)), "u").unionByName(both.where(~is_hub).join(least.where(~is_hub), "u"))

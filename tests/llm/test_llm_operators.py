@@ -100,7 +100,9 @@ def test_near_duplicates(docs, none):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_components(corpus())
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
     assert near_dedup.near_duplicates(none).count() == 0
-    assert near_dedup.stage(docs).columns == docs.columns
+    clash = docs.withColumns({x: F.lit(1) for x in ("_row", "_own", "sk", "_id", "_tie")})
+    assert near_dedup.stage(clash).columns == clash.columns and near_dedup.stage(clash).count() == near_dedup.stage(docs).count()
+    assert near_dedup.stage(none).count() == 0
 
 
 def test_stage_keeps_one_row_of_each_group(spark):
@@ -130,8 +132,49 @@ def test_nodes_of_different_members_are_all_compared(spark):
     at = next(k for k in np.flatnonzero(np.diff(sums[order]) == 0) if len({a[order[k]], b[order[k]], a[order[k + 1]], b[order[k + 1]]}) == 4)
     pairs = [sorted((int(a[k]), int(b[k]))) for k in order[at : at + 2]]
     rows = [(sk, [key, key + 10], b"") for key, pair in enumerate(pairs) for sk in pair]
-    nodes = near_dedup._nodes(spark.createDataFrame(rows, "sk long, keys array<long>, sig binary")).collect()
-    assert sorted(r["sk"] for r in nodes) == sorted(sum(pairs, []))
+    (nodes,) = near_dedup._nodes(spark.createDataFrame(rows, "sk long, keys array<long>, sig binary"))
+    assert sorted(r["sk"] for r in nodes.collect()) == sorted(sum(pairs, []))
+
+
+def planted_pairs(n=150, seed=6):
+    """(documents, pairs) with shingle sets at a similarity of 0.75 to 0.80."""
+    rng, docs, pairs = random.Random(seed), [], []
+    while len(pairs) < n:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        other = list(words)
+        for at in rng.sample(range(160), 4):
+            other[at] = "edited"
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.80:
+            pairs.append((len(docs), len(docs) + 1))
+            docs += [" ".join(words), " ".join(other)]
+    return docs, pairs
+
+
+@pytest.mark.parametrize("leaf", [2048, 1])
+def test_recall_near_the_bound_with_and_without_branching(spark, monkeypatch, leaf):
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    texts, pairs = planted_pairs()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    recall = sum(found[b] == a for a, b in pairs) / len(pairs)
+    assert recall >= 0.97 and all(found[a] == a for a, _ in pairs)
+
+
+def test_large_nodes_that_no_branching_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    families = []
+    for f in range(2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for k in range(30):
+            words = list(base)
+            words[rng.randrange(400)] = f"edit{f}.{k}"
+            families.append(" ".join(words))
+    for name, value in (("LEAF", 4), ("DEPTH", 2), ("BLOCK", 4), ("LEADERS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    docs = spark.createDataFrame(list(enumerate(families)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {i: i // 30 * 30 for i in range(60)}
 
 
 def test_components(spark):
@@ -150,24 +193,46 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)} | {x: find(x) for x in got}
 
 
-def test_substring_duplicates(docs, none):
-    rows = sorted((r for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, want = {}, set()
-    for n, (i, text, *_) in enumerate(rows):
+def brute_substrings(rows):
+    """{(doc_id, text): (words, removed, sha256)} by every window's first place."""
+    seen, want = {}, {}
+    for doc, tie, text in rows:
         w = WORD.findall(text or "")
         keep = [True] * len(w)
         for k in range(len(w) - 19):
-            place = seen.setdefault(tuple(w[k : k + 20]), (i, k))
-            if place != (i, k):
+            place = seen.setdefault(tuple(w[k : k + 20]), (doc, tie, k))
+            if place != (doc, tie, k):
                 keep[k : k + 20] = [False] * 20
         kept = [x for x, y in zip(w, keep) if y]
-        want.add((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+        want[doc, tie] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return want
+
+
+def in_order(frame):
+    """(doc_id, hash of text, text) of distinct rows: null ids first, then by id and hash."""
+    rows = {(r[0], r[1]): r[2] for r in frame.select("doc_id", F.xxhash64("text"), "text").collect()}
+    return [(*k, rows[k]) for k in sorted(rows, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))]
+
+
+def test_substring_duplicates(spark, docs, none):
     found = substring_dedup.substring_duplicates(docs).collect()
-    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == want and len(found) == len(rows)
+    assert {(r["doc_id"], r["tie"]): (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == brute_substrings(in_order(docs)) and len(found) == len(corpus())
     assert any(f["words"] >= 25 for r in found for f in r["factors"])
     assert substring_dedup.substring_duplicates(none).count() == 0
 
 
+def test_substrings_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    shared = " ".join(rng.choice(words) for _ in range(45))
+    texts = [f"{rng.choice(words)} {i} {shared} {rng.choice(words)} {i}" for i in range(1000)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    rows = [(None, t) for t in texts] + [(3, t + " more") for t in texts[:500]] + [(4, long), (5, long[100_000:] + " tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r["doc_id"], r["tie"]): (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_duplicates(docs).collect()}
+    assert found == brute_substrings(in_order(docs)) and sum(r[1] > 0 for r in found.values()) == 1500
+
+
 def test_decontamination(spark, docs, none):
     item = "the quick brown fox jumps over a lazy dog while seven wizards brew tea"
     edited = item.replace("brown", "red").replace("wizards", "witches")
