@@ -14,13 +14,14 @@ a document that copies B whole, where part of B came from A, has several in
 place of the one of a parse.  The removed words are those of the windows.
 
 Order and ties: a null doc_id comes first; rows that share a doc_id but not
-the text are ordered by a 16-bit hash of the text; rows equal in both are one
+the text are ordered by a 64-bit hash of the text; rows equal in both are one
 document and get the same result.  Null and empty texts have no words.  Extra
 columns are ignored; an empty table gives an empty result.  Equality of word
 sequences is equality of 64-bit hashes.
 
 Hot passages: first places are found by a grouped minimum, which combines
-before the shuffle; the look-up is an equi-join that Spark may split.
+before the shuffle.  Seeds and windows that hold over a 256th of all rows, of
+which there are at most 256, are dealt over salted keys for the look-up.
 """
 
 from __future__ import annotations
@@ -35,12 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import words as W
-from gaugeworks.llm.spark_tools import documents, stored
+from gaugeworks.llm.spark_tools import documents, hot_join, stored
 
 WINDOW, SEED = 20, 8
 SPREAD = WINDOW - SEED + 1
 _PLACE = 28  # low bits that hold a place within a slice
-_POS = 40  # bits of a word position; a tie stands above them
 NO_ID = -(2**63)
 
 
@@ -106,10 +106,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, place, value, span, _, _ = runs_of(w)
             if len(row):
                 row = row + w.row0
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row]), pa.array(ties[row] << _POS | place)], names=["seed", "span", "doc_id", "at"])
-
-
-_LOW = (1 << _POS) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row]), pa.array(ties[row]), pa.array(place.astype(np.int32))], names=["seed", "span", "doc_id", "tie", "at"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,22 +148,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, start = row[repeated], start[repeated]
             value = values[first[row] + start].view(np.int64)
             row = row + w.row0
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(ids[row]), pa.array(ties[row] << _POS | start)], names=["value", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(ids[row]), pa.array(ties[row]), pa.array(start.astype(np.int32))], names=["value", "doc_id", "tie", "at"])
 
 
-def factors(start: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> list[tuple[int, int, int, int]]:
+def factors(start: np.ndarray, source: np.ndarray, source_tie: np.ndarray, source_at: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Sorted repeated windows, joined where their first places run along: (start, words, source doc, source start)."""
     if not len(start):
         return []
-    new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(source) != 0) | (np.diff(source_at) != 1)])
+    new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(source) != 0) | (np.diff(source_tie) != 0) | (np.diff(source_at) != 1)])
     a = np.flatnonzero(new)
     length = np.diff(np.concatenate([a, [len(start)]])) + WINDOW - 1
-    return list(zip(start[a].tolist(), length.tolist(), source[a].tolist(), (source_at[a] & ((1 << _POS) - 1)).tolist()))
+    return list(zip(start[a].tolist(), length.tolist(), source[a].tolist(), source_at[a].tolist()))
 
 
 _FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
 _LIST = "array<struct<start:long,words:long,source:long,source_start:long>>"
-_PLACES = "array<struct<place:long,source:long,source_at:long>>"
+_PLACES = "array<struct<place:int,source:long,source_tie:long,source_at:int>>"
 
 
 def _digest(text: str, listed: pa.StructArray | None, found: pa.StructArray | None) -> tuple[int, int, str, list[dict]]:
@@ -175,7 +172,7 @@ def _digest(text: str, listed: pa.StructArray | None, found: pa.StructArray | No
     ``listed`` has the seeds whose runs are known whole, ``found`` windows one by one.
     """
     words = text.encode().split()
-    start, source, source_at = [], [], []
+    start, source, source_tie, source_at = [], [], [], []
     if listed is not None:
         known = listed.filter(listed.field("source").is_valid())
         for w in W.scan(pa.array([text], pa.string())):
@@ -183,17 +180,19 @@ def _digest(text: str, listed: pa.StructArray | None, found: pa.StructArray | No
             at = np.searchsorted(place, known.field("place").to_numpy())
             start.append(W.spans(first[at], many[at]))
             source.append(np.repeat(known.field("source").to_numpy(), many[at]))
+            source_tie.append(np.repeat(known.field("source_tie").to_numpy(), many[at]))
             source_at.append(start[-1] + np.repeat(known.field("source_at").to_numpy() - place[at], many[at]))
     if found is not None:
         start.append(found.field("start").to_numpy())
         source.append(found.field("source").to_numpy())
+        source_tie.append(found.field("source_tie").to_numpy())
         source_at.append(found.field("source_at").to_numpy())
     parsed: list[tuple[int, int, int, int]] = []
     keep = np.ones(len(words), dtype=bool)
     if start:
         begin = np.concatenate(start)
         order = np.argsort(begin, kind="stable")
-        parsed = factors(begin[order], np.concatenate(source)[order], np.concatenate(source_at)[order])
+        parsed = factors(begin[order], *(np.concatenate(x)[order] for x in (source, source_tie, source_at)))
         for a, length, _, _ in parsed:
             keep[a : a + length] = False
     kept = words if keep.all() else [words[k] for k in np.flatnonzero(keep)]
@@ -215,23 +214,25 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, n_words, n_removed, kept_sha256, factors) for each row of docs(doc_id, text)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.expr("pmod(xxhash64(text), 65536)").alias("tie"), "text")
-    seeds = rows.mapInArrow(_seeds, "seed long, span long, doc_id long, at long")
-    repeated = seeds.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
-    repeated = stored(seeds.join(repeated, "seed"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    seeds = rows.mapInArrow(_seeds, "seed long, span long, doc_id long, tie long, at int")
+    counts = stored(seeds.groupBy("seed").agg(F.count("*").alias("cnt")).where("cnt > 1"))
+    repeated = stored(hot_join(seeds, counts.withColumn("again", F.lit(True)).drop("cnt"), "seed", counts).where("again").drop("again"))
     # where all runs of a seed are equal, the first is the source of all; elsewhere windows decide
-    first = repeated.groupBy("seed").agg((F.min("span") == F.max("span")).alias("one"), F.min(F.struct("doc_id", "at")).alias("f"))
-    runs = repeated.select("seed", "doc_id", "at").join(first, "seed").where("not one or f.doc_id <> doc_id or f.at <> at")
-    place = F.struct(F.expr(f"at & {_LOW}").alias("place"), F.expr("if(one, f.doc_id, null)").alias("source"), F.expr("if(one, f.at, null)").alias("source_at"))
-    places = runs.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(place).alias("places"))
-    split = stored(rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, f"{PARSED}, text string, places {_PLACES}"), "zstd")
+    first = stored(repeated.groupBy("seed").agg((F.min("span") == F.max("span")).alias("one"), F.min(F.struct("doc_id", "tie", "at")).alias("f")))
+    runs = hot_join(repeated.select("seed", "doc_id", "tie", "at"), first, "seed", counts).where("not one or f.doc_id <> doc_id or f.tie <> tie or f.at <> at")
+    place = F.struct(F.col("at").alias("place"), *(F.expr(f"if(one, f.{x}, null)").alias(y) for x, y in (("doc_id", "source"), ("tie", "source_tie"), ("at", "source_at"))))
+    places = runs.groupBy("doc_id", "tie").agg(F.collect_list(place).alias("places"))
+    split = rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, f"{PARSED}, text string, places {_PLACES}")
+    split = stored(split, "zstd", free=(repeated, first, counts))
     open_ = split.where("places is not null").select("doc_id", "tie", "text", "places")
-    windows = open_.mapInArrow(_windows, "value long, doc_id long, at long")
-    first = windows.groupBy("value").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    first = stored(first.select("value", F.col("f.doc_id").alias("source"), F.col("f.at").alias("source_at")))
-    later = windows.join(first, "value").where("doc_id <> source or at <> source_at")
-    window = F.struct(F.expr(f"at & {_LOW}").alias("start"), "source", "source_at")
-    found = stored(later.groupBy("doc_id", F.shiftright("at", _POS).alias("tie")).agg(F.collect_list(window).alias("found")))
+    windows = open_.mapInArrow(_windows, "value long, doc_id long, tie long, at int")
+    first = windows.groupBy("value").agg(F.min(F.struct("doc_id", "tie", "at")).alias("f"), F.count("*").alias("cnt")).where("cnt > 1")
+    first = stored(first.select("value", F.col("f.doc_id").alias("source"), F.col("f.tie").alias("source_tie"), F.col("f.at").alias("source_at"), "cnt"))
+    known = hot_join(windows, first.drop("cnt"), "value", first.select("value", "cnt"))
+    later = known.where("doc_id <> source or tie <> source_tie or at <> source_at")
+    window = F.struct(F.col("at").alias("start"), "source", "source_tie", "source_at")
+    found = stored(later.groupBy("doc_id", "tie").agg(F.collect_list(window).alias("found")), free=(first,))
     parsed = open_.join(found, ["doc_id", "tie"], "left").mapInArrow(_parse, PARSED)
     ready = split.where("places is null").drop("text", "places")
     return parsed.unionByName(ready).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
