@@ -11,13 +11,17 @@
    an item can reach; at ``MIN_SCORE`` or more the document is contaminated.
 
 So each alignment of that score with ``SEED`` unchanged words in a row is found.
-Items are taken in blocks of at most ``BLOCK_BYTES``, and each block is scored
-against all documents; only a block and its seeds travel to the executors.
+The join of seeds is a broadcast hash join in the workers: items come in blocks
+of at most ``BLOCK_BYTES`` (and one item), each block is broadcast and joined to
+all documents in place.  No text and no seed of a document is shuffled, so a
+seed that half of all documents hold costs no more than its windows.
+
 Texts are whole, in lower case, and words are runs of letters and digits, so
-shouting and marks around words do not hide a copy.  Null or empty texts match nothing;
-items of fewer than three words have no seed and match nothing.  Rows with
-equal doc_ids are scored by themselves; equal rows give equal results; extra
-columns are ignored; an empty table or benchmark gives no hits.
+shouting and marks around words do not hide a copy.  Null or empty texts match
+nothing; items of fewer than three words have no seed and match nothing
+(``unseeded`` names them).  Rows with equal doc_ids are scored by themselves;
+equal rows give equal results; rows of the stage travel whole, so no column name
+can clash; an empty table or benchmark gives no hits.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gaugeworks.llm import words as W
 from gaugeworks.llm.spark_tools import documents
 
-SEED, MIN_SCORE, BLOCK_BYTES = 3, 0.5, 8 << 20
+SEED, MIN_SCORE, BLOCK_BYTES = 3, 0.5, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seed hits, or words of windows, that are looked at together.
 TOGETHER = 1 << 20
@@ -193,10 +197,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def _prepared(benchmark: DataFrame):
-    for items in _blocks(benchmark):
-        if len(items.vocabulary):
-            yield items, _matcher(items)
+def unseeded(benchmark: DataFrame) -> DataFrame:
+    """The items that are too short for a seed, or null: no document can match them."""
+    words = F.expr("regexp_count(lower(coalesce(text, '')), '[a-z0-9\\\\x{80}-\\\\x{10FFFF}]+')")
+    return benchmark.where(words < SEED)
+
+
+def _shared(spark: SparkSession, benchmark: DataFrame) -> list:
+    """Each block of items as a broadcast."""
+    return [spark.sparkContext.broadcast(items) for items in _blocks(benchmark) if len(items.vocabulary)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -209,9 +218,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id long, item_id {item_type}, score double, doc_start long, doc_end long, n_seeds long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for items, match in _prepared(benchmark):
+    for shared in _shared(docs.sparkSession, benchmark):
 
-        def hits(batches: Iterator[pa.RecordBatch], items=items, match=match) -> Iterator[pa.RecordBatch]:
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
+            match = _matcher(items)
             for batch in batches:
                 found = match(batch.column("text"))
                 if found:
@@ -227,16 +238,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no copy of an item, in place: no shuffle."""
-    for _, match in _prepared(benchmark):
+    rows = docs.select(F.struct("*").alias("_row"), F.lower("text").alias("_lower"))
+    for shared in _shared(docs.sparkSession, benchmark):
 
-        def clean(batches: Iterator[pa.RecordBatch], match=match) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            match = _matcher(shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[f[0] for f in match(batch.column("_lower"))]] = False
-                yield batch.filter(pa.array(keep)).drop_columns(["_lower"])
+                yield batch.filter(pa.array(keep))
 
-        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(clean, docs.schema)
-    return docs
+        rows = rows.mapInArrow(clean, rows.schema)
+    return rows.select("_row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,20 @@
 Sources, in code-point order and null last, weigh 5, 2, 1 in turn and share
 ``SHARE`` of all words; a source's target is at most ``CAP`` times its words,
 and the excess goes to the others by weight (water filling in closed form).
-A document of a source with target t and s words is expected t / s times: the
-whole part is certain, the fraction p is its inclusion probability.  Pareto
-order sampling ranks documents by random odds over inclusion odds,
-(u / (1 - u)) / (p / (1 - p)), and takes them in that order up to the words
-that the certain copies leave open, so the sample has a fixed size in words.
-
-u comes from an MD5 of seed, doc_id and text: reruns agree.  The cut is found
-by three rounds of 4,096 buckets, each a grouped sum: no source is ever sorted
-or gathered, however large.  With ``weight`` a column scales a document's
-expectation, up to ``CAP`` copies.
+Within a source, expected copies grow with a document's weight, by default the
+binary digits of its size, so that a long document is taken more often than a
+short one: e = min(``CAP``, c * weight), with c such that the expected words
+are the target.  The whole part of e is certain copies, the fraction p is the
+inclusion probability of one more.  Pareto order sampling ranks documents by
+random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and takes them
+in that order up to the words that the certain copies leave open, so the sample
+has a fixed size in words.
+
+u comes from an MD5 of seed, doc_id and text: reruns agree.  c is found from
+words by source and weight class, the cut by three rounds of 4,096 buckets, each
+a grouped sum: no source is ever sorted or gathered, however large.  What stands
+in one task is a row a source for the targets, and at most 4,096 bucket sums a
+source for the cut.
 
 Null and empty texts have size 0 and are never taken.  Rows equal in doc_id
 and text share u and are taken or left together.  Ties in the last of 2**36
@@ -52,16 +56,30 @@ targets as (
 """
 
 
+#: Expected copies grow with this; a bounded number of classes, at most 32 for sizes below 2**32.
+WEIGHT = "length(bin(size))"
+
+#: c of each source from ``classes`` (source, target, weight, words): the heaviest class that stays below the cap decides; runs in Spark and in DuckDB alike.
+SCALES = f"""
+, stacked as (
+  select source, weight,
+         (max(target) over (partition by source) - cast({CAP} as double) * cast(coalesce(sum(words) over (partition by source order by weight desc rows between unbounded preceding and 1 preceding), 0) as double))
+         / cast(nullif(sum(words * weight) over (partition by source order by weight rows between unbounded preceding and current row), 0) as double) as c
+  from classes),
+scales as (
+  select source, coalesce(max(case when c * weight <= cast({CAP} as double) then c end), cast(1e300 as double)) as c from stacked group by source)
+"""
+
+
 def _drawn(docs: DataFrame) -> DataFrame:
-    """docs with size and u in (0, 1)."""
+    """docs with size, weight and u in (0, 1)."""
     u = (F.conv(F.substring(F.expr(_DRAW), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
-    return docs.withColumn("size", F.expr(SIZE).cast("long")).withColumn("u", u)
+    return docs.withColumn("size", F.expr(SIZE).cast("long")).withColumn("weight", F.expr(WEIGHT).cast("long")).withColumn("u", u)
 
 
-def _expected(rows: DataFrame, weight: str | None) -> DataFrame:
-    """Rows with target and source_size get certain copies and the Pareto rank v = q / (1 + q)."""
-    each = F.least(F.lit(CAP), F.col("target") / F.col("source_size") * (F.col(weight) if weight else F.lit(1.0)))
-    each = F.when(F.col("source_size") > 0, each).otherwise(F.lit(0.0))
+def _expected(rows: DataFrame) -> DataFrame:
+    """Rows with c get certain copies, p and the Pareto rank v = q / (1 + q)."""
+    each = F.when(F.col("size") > 0, F.least(F.lit(CAP), F.col("c") * F.col("weight"))).otherwise(F.lit(0.0))
     rows = rows.withColumn("e", each).withColumn("certain", F.floor("e").cast("long")).withColumn("p", F.col("e") - F.col("certain"))
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     v = F.when(F.col("p") > 0, q / (1 + q)).otherwise(F.lit(1.0))
@@ -74,27 +92,43 @@ def targets(small: DataFrame) -> DataFrame:
     return small.sparkSession.sql("with sized as (select * from {sized})" + TARGETS + "select * from targets", sized=sized)
 
 
-def cuts(small: DataFrame, goal: DataFrame, weight: str | None = None) -> DataFrame:
-    """(source, source_size, target, cut): documents of a source with a rank up to cut are in the sample."""
-    ranked = _expected(_on_source(small, goal), weight)
-    open_ = ranked.groupBy("source").agg((F.max("target") - F.sum(F.col("certain") * F.col("size"))).alias("rest"))
-    state = goal.join(open_, goal.source.eqNullSafe(open_.source)).select(goal.source, "source_size", "target", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("before"))
+def scales(small: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with c, the expected copies of a document by its weight."""
+    words = small.where("size > 0").groupBy("source", "weight").agg(F.sum("size").alias("words"))
+    classes = _on_source(words, goal.select("source", "target"))
+    found = small.sparkSession.sql("with classes as (select * from {classes})" + SCALES + "select * from scales", classes=classes)
+    found = found.withColumnRenamed("source", "_s")
+    return goal.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("c", F.coalesce("c", F.lit(0.0)))
+
+
+def cuts(small: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with rest and cut: documents of a source with a rank up to cut are in the sample, if there is a rest."""
+    ranked = _expected(_on_source(small, goal.select("source", "c"))).select("source", "size", "certain", "p", "rank")
+    state, cut = None, None
     for k in range(ROUNDS):
-        state = stored(state)
         shift = BITS * (ROUNDS - 1 - k)
-        mine = _on_source(ranked.select("source", "size", "rank"), state.select("source", "prefix")).where(F.shiftright("rank", shift + BITS) == F.col("prefix"))
-        sums = mine.groupBy("source", F.shiftright("rank", shift).alias("bucket")).agg(F.sum("size").cast("double").alias("words"))
+        mine = ranked if state is None else _on_source(ranked.where("p > 0"), state.select("source", "prefix")).where(F.shiftright("rank", shift + BITS) == F.col("prefix"))
+        words = F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).cast("double").alias("words")
+        sums = stored(mine.groupBy("source", F.shiftright("rank", shift).alias("bucket")).agg(words, F.sum(F.col("certain") * F.col("size")).alias("sure")))
+        if state is None:
+            sure = sums.groupBy("source").agg(F.sum("sure").alias("sure")).withColumnRenamed("source", "_s")
+            state = goal.join(sure, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rest", F.col("target") - F.col("sure")).drop("_s", "sure").withColumn("before", F.lit(0.0)).withColumn("prefix", F.lit(0).cast("long"))
         runs = _on_source(sums, state.select("source", "rest", "before"))
         runs = runs.withColumn("upto", F.expr("before + sum(words) over (partition by source order by bucket)"))
         if k < ROUNDS - 1:
             # the bucket in which the words run out; the last one if they never do
-            inside = runs.groupBy("source").agg(F.expr("coalesce(min(bucket) filter (where upto > rest), max(bucket))").alias("prefix"), F.expr("coalesce(min_by(upto - words, bucket) filter (where upto > rest), max_by(upto - words, bucket))").alias("next"))
+            inside = runs.groupBy("source").agg(F.expr("coalesce(min(bucket) filter (where upto > rest), max(bucket))").alias("next"), F.expr("coalesce(min_by(upto - words, bucket) filter (where upto > rest), max_by(upto - words, bucket))").alias("ahead"))
         else:
-            inside = runs.groupBy("source").agg(F.expr("coalesce(max(bucket) filter (where upto - words / 2 <= rest), -1)").alias("prefix"), F.lit(0.0).alias("next"))
-            # no bucket of the last prefix is taken: the cut lies just before it
-            inside = _on_source(inside, state.select("source", F.col("prefix").alias("_up"))).select("source", F.expr(f"if(prefix < 0, _up * {2**BITS} - 1, prefix)").alias("prefix"), "next")
-        state = state.drop("prefix", "before").join(inside.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "rest", F.coalesce("prefix", F.lit(-1)).alias("prefix"), F.coalesce("next", F.lit(0.0)).alias("before"))
-    return stored(state).withColumnRenamed("prefix", "cut")
+            # -1: no bucket of the last prefix is taken, and the cut lies just before it
+            inside = runs.groupBy("source").agg(F.expr("coalesce(max(bucket) filter (where upto - words / 2 <= rest), -1)").alias("next"), F.lit(0.0).alias("ahead"))
+        inside = inside.withColumnRenamed("source", "_s")
+        joined = state.join(inside, F.col("source").eqNullSafe(F.col("_s")), "left")
+        last = F.coalesce("next", F.lit(-1))
+        if k == ROUNDS - 1:
+            last = F.when(last < 0, F.col("prefix") * 2**BITS - 1).otherwise(last)
+        state = stored(joined.select(*goal.columns, "rest", last.alias("prefix"), F.coalesce("ahead", F.lit(0.0)).alias("before")), free=(sums,) if cut is None else (sums, cut))
+        cut = state
+    return state.drop("before").withColumnRenamed("prefix", "cut")
 
 
 def _on_source(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -103,23 +137,31 @@ def _on_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def copies(docs: DataFrame, weight: str | None = None) -> DataFrame:
-    """docs with size, source_size, target and ``copies``, the times the mix takes a row."""
-    extra = [weight] if weight else []
-    small = stored(_drawn(docs).select("doc_id", "source", "size", "u", *extra))
-    table = cuts(small, stored(targets(small)), weight)
-    rows = _expected(_on_source(_drawn(docs), table), weight)
+def _sample(small: DataFrame) -> DataFrame:
+    """(source, source_size, target, c, rest, cut) of the mix of small(source, size, weight, u)."""
+    return cuts(small, stored(scales(small, stored(targets(small)))))
+
+
+def _taken(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Drawn rows with ``copies``, the times the mix takes each."""
+    rows = _expected(_on_source(rows, table))
     chosen = (F.col("p") > 0) & (F.col("rank") <= F.col("cut")) & (F.col("rest") > 0)
-    return rows.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + chosen.cast("long")).otherwise(F.lit(0).cast("long"))).drop("u", "e", "certain", "p", "rank", "cut", "rest", "before")
+    copies = F.when(F.col("size") > 0, F.col("certain") + chosen.cast("long")).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("copies", copies)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, source, ...) with size, source_size, target, e and ``copies``."""
+    drawn = _drawn(docs)
+    table = _sample(stored(drawn.select("source", "size", "weight", "u")))
+    return _taken(drawn, table).drop("u", "weight", "c", "certain", "p", "rank", "cut", "rest")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    small = stored(_drawn(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", "u"))
-    table = cuts(small, stored(targets(small)))
-    rows = _expected(_on_source(small, table), None)
-    chosen = (F.col("p") > 0) & (F.col("rank") <= F.col("cut")) & (F.col("rest") > 0)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("certain") + chosen.cast("long"))).alias("taken"))
+    small = stored(_drawn(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", "weight", "u"))
+    rows = _taken(small, _sample(small))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
@@ -138,15 +180,20 @@ with draws as (
 sized as (select source, cast(sum(size) as bigint) as source_size from draws group by source)"""
     + TARGETS
     + f"""
+, classes as (
+  select d.source, max(t.target) as target, {WEIGHT} as weight, sum(size) as words
+  from draws d join targets t on d.source is not distinct from t.source where size > 0 group by d.source, {WEIGHT})"""
+    + SCALES
+    + f"""
 , expected as (
   select doc_id, size, d.source, t.source_size, t.target, u,
-         case when t.source_size > 0 then least(cast({CAP} as double), t.target / t.source_size) else cast(0 as double) end as e
-  from draws d join targets t on d.source is not distinct from t.source),
+         case when size > 0 then least(cast({CAP} as double), s.c * {WEIGHT}) else cast(0 as double) end as e
+  from draws d join targets t on d.source is not distinct from t.source left join scales s on d.source is not distinct from s.source),
 fractions as (select *, cast(floor(e) as bigint) as certain, e - floor(e) as p from expected),
 odds as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from fractions),
 ranked2 as (select *, case when p > 0 then least(cast(floor(q / (1 + q) * cast({2**36} as double)) as bigint), {2**36 - 1}) else {2**36 - 1} end as rank from odds),
 rests as (select source, max(target) - sum(certain * size) as rest from ranked2 group by source),
-buckets as (select source, rank, cast(sum(size) as double) as words from ranked2 group by source, rank),
+buckets as (select source, rank, cast(sum(size) as double) as words from ranked2 where p > 0 group by source, rank),
 runs as (select *, sum(words) over (partition by source order by rank) as upto from buckets),
 taken as (select r.source, r.rank from runs r join rests s on r.source is not distinct from s.source where upto - words / 2 <= rest and rest > 0)
 select doc_id, size, source_size, target, size * (certain + case when p > 0 and t.rank is not null then 1 else 0 end) as taken

@@ -101,13 +101,11 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, hot
     return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_number", weight: str | None = None) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
     """Add dense global row numbers from 0 in the order of ``order``; also gives the total.
 
     Range partitions are sorted and written once; the number of a row is its
-    place in its partition plus the rows of the partitions before it.  With
-    ``weight``, a row takes that many numbers and gets the first of them.
-    Rows that are equal in ``order`` are told apart by where they stand in the
+    place in its partition plus the rows of the partitions before it.  Rows that are equal in ``order`` are told apart by where they stand in the
     input, so that many of them are spread over partitions too.
     Only one count per partition reaches the driver.
     """
@@ -116,13 +114,12 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number", weigh
     spread = spread.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
     kept = stored(spread.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
     total, before = 0, []
-    for p, n in sorted(tuple(r) for r in kept.groupBy("_p").agg(F.sum(weight) if weight else F.count("*")).collect()):
+    for p, n in sorted(tuple(r) for r in kept.groupBy("_p").agg(F.count("*")).collect()):
         before.append((p, total))
         total += n
     offsets = spark.createDataFrame(before, "_p long, _before long")
-    inner = F.sum(weight).over(Window.partitionBy("_p").orderBy("_at")) - F.col(weight) if weight else F.col("_at").bitwiseAND((1 << 33) - 1)
-    numbered = kept.withColumn(name, inner).join(F.broadcast(offsets), "_p")
-    return numbered.withColumn(name, F.col("_before") + F.col(name)).drop("_p", "_before", "_at"), total
+    numbered = kept.join(F.broadcast(offsets), "_p")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_before", "_at"), total
 
 
 def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -9,10 +9,11 @@ shard = slot // per_shard, byte = slot % per_shard * stride.  A reader goes
 through shards in order and can resume at any slot; the inverse permutation
 names the sequence that a slot holds.
 
-Two passes over the texts: one counts tokens, which fixes the numbers; one
-tokenises again and goes straight to the slots, so no token waits on disk
-between them.  The number of slots is known, so slots are dealt by arithmetic
-without sampling.
+One pass tokenises the texts in range partitions of (doc_id, text) order and
+keeps the packed sequences; with the counts of its partitions every sequence
+has its number, and so its slot.  The sequences then go to range partitions of
+slots, dealt by arithmetic without sampling, a whole number of shards each.
+``write_shards`` writes one file a shard; ``ShardReader`` reads from any slot on.
 
 Null and empty texts give one sequence of end marks with n_tokens 1 (the end
 mark).  Equal rows take neighbouring numbers, each its own sequences.  A null
@@ -22,18 +23,22 @@ doc_id sorts first.  Extra columns are ignored; an empty table gives none.
 from __future__ import annotations
 
 import base64
+import hashlib
 import sys
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.feistel import Feistel
-from gaugeworks.llm.spark_tools import documents, number_rows, stored
+from gaugeworks.llm.spark_tools import documents, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of the vocabulary in its possessive form, which parts every text as the plain one does but without backtracking.
@@ -41,15 +46,29 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 END, LENGTH, PER_SHARD, KEY = 50256, 512, 8192, 424242
 
 
+#: A vocabulary travels to the executors; larger files are refused.
+MOST_BYTES = 64 << 20
+
+
+def vocabulary_file(path: str) -> bytes:
+    """The file on the driver."""
+    if (size := Path(path).stat().st_size) > MOST_BYTES:
+        raise ValueError(f"{path} has {size} bytes, over {MOST_BYTES}")
+    return Path(path).read_bytes()
+
+
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokenizer(path: str):
+    return encoding(vocabulary_file(path))
+
+
 def n_sequences(n_tokens: int, length: int) -> int:
     return -(-(n_tokens + 1) // length)
 
@@ -64,89 +83,148 @@ def pack(ids: list[int], length: int) -> list[bytes]:
     return [raw[at : at + stride] for at in range(0, len(raw), stride)]
 
 
-#: Texts of a task, by hash and bytes, whose sequences are remembered: its copies are counted once.
-COUNTED = 100_000
-
-SEQUENCES = "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, tokens binary"
-
-
-def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, part, n_tokens, tokens): every sequence in its slot, sorted within shards."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counted = tokenizer(vocabulary).encode_ordinary, {}
-        for batch in batches:
-            n = []
-            for text, size, tie in zip(batch.column("text"), pc.binary_length(batch.column("text")).to_pylist(), batch.column("tie").to_pylist()):
-                # a token has a byte at least, so a text shorter than a sequence is one sequence
-                many = 1 if size < length else counted.get((tie, size))
-                if many is None:
-                    many = n_sequences(len(encode(text.as_py())), length)
-                    if len(counted) == COUNTED:
-                        counted.clear()
-                    counted[tie, size] = many
-                n.append(many)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64())], names=["doc_id", "tie", "each"])
-
-    counted = stored(rows.mapInArrow(count, "doc_id long, tie long, each long"))
-    keys = counted.groupBy("doc_id", "tie").agg(F.sum("each").alias("all"), F.first("each").alias("each"))
-    starts, total = number_rows(keys, ["doc_id", "tie"], "start", weight="all")
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each key's start comes before its texts."""
-        encode, order = tokenizer(vocabulary).encode_ordinary, Feistel(total, key)
-        start = 0
-        for batch in batches:
-            number, doc, part, size, blobs = [], [], [], [], []
-            for doc_id, text, at in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("start").to_pylist()):
-                if at is not None:
-                    start = at
-                    continue
-                ids = encode(text.as_py())
-                packed = pack(ids, length)
-                number += range(start, start + len(packed))
-                start += len(packed)
-                doc += [doc_id] * len(packed)
-                part += range(len(packed))
-                size += [length] * (len(packed) - 1) + [len(ids) + 1 - (len(packed) - 1) * length]
-                blobs += packed
-            if number:
-                slot = order.permute(number)
+#: Bytes of sequences that a task remembers, so that copies of a text are tokenised once.
+REMEMBERED = 32 << 20
+#: Bytes of sequences that a range partition is to hold, about; one shard at least.
+PARTITION = 64 << 20
+
+PACKED = "at long, doc_id long, part int, n_tokens int, tokens binary"
+
+
+def _packed(rows: DataFrame, length: int, vocabulary: str) -> DataFrame:
+    """Sequences of rows(doc_id, text) with ``at``, their place among those of a task."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary_file(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, at = encoding(shared.value).encode_ordinary, 0
+        known: dict[str, tuple[int, list[bytes]]] = {}
+        held = 0
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                doc, part, size, blobs = [], [], [], []
+                for doc_id, item in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                    text = item.as_py()
+                    found = known.get(text)
+                    if found is None:
+                        ids = encode(text)
+                        found = len(ids), pack(ids, length)
+                        held += len(text) + 2 * length * len(found[1])
+                        if held > REMEMBERED:
+                            known.clear()
+                            held = 0
+                        known[text] = found
+                    n, packed = found
+                    doc += [doc_id] * len(packed)
+                    part += range(len(packed))
+                    size += [length] * (len(packed) - 1) + [n + 1 - (len(packed) - 1) * length]
+                    blobs += packed
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(slot // per_shard, pa.int32()), pa.array(slot % per_shard * (2 * length)), pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(blobs, pa.binary())],
-                    names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens"],
+                    [pa.array(range(at, at + len(blobs)), pa.int64()), pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(blobs, pa.binary())],
+                    names=["at", "doc_id", "part", "n_tokens", "tokens"],
                 )
+                at += len(blobs)
 
-    stream = rows.withColumn("start", F.lit(None).cast("long")).unionByName(starts.select("doc_id", "tie", F.lit(None).cast("string").alias("text"), "start"))
-    stream = stream.repartition("doc_id", "tie").sortWithinPartitions("doc_id", "tie", F.desc_nulls_last("start"))
-    return stream.mapInArrow(sequences, SEQUENCES).repartition("shard").sortWithinPartitions("slot")
+    return rows.mapInArrow(run, PACKED)
 
 
-def shard_blobs(sequences: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """(shard, first_slot, n_sequences, stride, data): the bytes of each fixed-stride shard."""
+def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, part, n_tokens, tokens): every sequence, in partitions of whole shards, sorted by slot."""
+    spark = docs.sparkSession
+    order = ["doc_id", "tie", "row"]  # the place in the input spreads equal rows over partitions
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    packed = stored(_packed(rows, length, vocabulary).withColumn("task", F.spark_partition_id()), "zstd")
+    total, before = 0, []
+    for task, n in sorted(tuple(r) for r in packed.groupBy("task").agg(F.count("*")).collect()):
+        before.append((task, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(before, "task int, before long"))  # one row a partition
+
+    @F.pandas_udf("long")
+    def slot_of(number: pd.Series) -> pd.Series:
+        return pd.Series(Feistel(total, key).permute(number.to_numpy()))
+
+    shards = -(-total // per_shard)
+    ranges = max(1, min(shards, max(spark.sparkContext.defaultParallelism, total * 2 * length // PARTITION)))
+    placed = packed.join(offsets, "task").withColumn("slot", slot_of(F.col("before") + F.col("at")))
+    placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).withColumn("byte_offset", F.col("slot") % per_shard * (2 * length))
+    dealt = placed.repartitionById(ranges, F.expr(f"cast(shard * {ranges}L div {max(1, shards)} as int)")).sortWithinPartitions("slot")
+    return dealt.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens")
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def write_shards(sequences: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """Write one file a shard to an absolute path or address; gives (shard, first_slot, n_sequences, sha256), also kept in its ``manifest``.
+
+    ``sequences`` are as ``materialise`` gives them.  A file is written beside
+    its place and then moved there, so a task that runs again does no harm and
+    a reader never sees half a shard.
+    """
+    stride = 2 * length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+
+        def write(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
+            data = b"".join(blobs)
+            beside = f"{root}/.{shard_name(shard)}-{uuid.uuid4().hex}"
+            with store.open_output_stream(beside) as out:
+                out.write(data)
+            store.move(beside, f"{root}/{shard_name(shard)}")
+            columns = [pa.array([shard], pa.int32()), pa.array([shard * per_shard]), pa.array([len(blobs)]), pa.array([hashlib.sha256(data).hexdigest()])]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "first_slot", "n_sequences", "sha256"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([now * per_shard]), pa.array([len(blobs)]), pa.array([2 * length]), pa.array([b"".join(blobs)], pa.binary())],
-                names=["shard", "first_slot", "n_sequences", "stride", "data"],
-            )
-
         for batch in batches:
-            for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist()):
+            for slot, tokens in zip(batch.column("slot").to_pylist(), batch.column("tokens")):
+                shard, place = divmod(slot, per_shard)
                 if shard != now:
                     if blobs:
-                        yield out()
+                        yield write(now, blobs)
                     now, blobs = shard, []
-                blobs.append(tokens)
+                if place != len(blobs) or len(tokens.as_buffer()) != stride:
+                    raise ValueError(f"slot {slot} does not follow: sequences are not sorted or of another length")
+                blobs.append(tokens.as_py())
         if blobs:
-            yield out()
+            yield write(now, blobs)
+
+    made = sequences.select("slot", "tokens").mapInArrow(run, "shard int, first_slot long, n_sequences long, sha256 string")
+    made.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return sequences.sparkSession.read.parquet(f"{folder}/manifest")
+
+
+class ShardReader:
+    """Reads sequences in training order from any slot on, one seek and then straight through."""
+
+    def __init__(self, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD):
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.stride, self.per_shard = 2 * length, per_shard
+
+    def read(self, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+        """(slot, IDs) from ``slot`` to the last one."""
+        from pyarrow import fs
 
-    ordered = sequences.repartition("shard").sortWithinPartitions("slot")
-    return ordered.mapInArrow(join, "shard int, first_slot long, n_sequences long, stride long, data binary")
+        while True:
+            path = f"{self.root}/{shard_name(slot // self.per_shard)}"
+            if self.store.get_file_info(path).type == fs.FileType.NotFound:
+                return
+            with self.store.open_input_file(path) as file:
+                file.seek(slot % self.per_shard * self.stride)
+                while raw := file.read(self.stride):
+                    yield slot, np.frombuffer(raw, dtype="<u2")
+                    slot += 1
+            if slot % self.per_shard:
+                return
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,9 @@ def test_decontamination(spark, docs, none):
     hits = decontaminate.contaminated(docs.unionByName(more), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in hits} == {(900, 1), (901, 1), (902, 1)}
     assert {r["doc_id"]: r["score"] for r in hits}[900] == 1.0 and all(0.5 <= r["score"] <= 1 for r in hits)
+    assert {r["item_id"] for r in decontaminate.unseeded(bench).collect()} == {2, 3, 4}
+    clash = docs.withColumns({"_lower": F.lit(1), "_row": F.lit(2)})
+    assert decontaminate.stage(clash, bench).columns == clash.columns and decontaminate.stage(clash, bench).count() == docs.count()
     clean = decontaminate.stage(docs.unionByName(more), bench)
     assert clean.count() == docs.count() + 2 and clean.columns == docs.columns
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
@@ -293,19 +296,59 @@ def test_warc_round_trip(spark, tmp_path):
         raw = b"".join(warc.serialise(*r, compress=zipped) for r in (record, *warc.derive_one(*record)))
         back = list(warc.parse(raw))
         assert [b for _, b in back] == [record[1], *(b for _, b in warc.derive_one(*record))]
-        (tmp_path / f"{zipped}.warc").write_bytes(raw)
+        (tmp_path / f"{zipped}.warc{'.gz' * zipped}").write_bytes(raw)
     with pytest.raises(ValueError):
         list(warc.parse(warc.serialise(*record)[:-30]))
-    records = warc.read_warc(spark, str(tmp_path / "True.warc"))
+    assert [warc.read_warc(spark, str(tmp_path / x)).count() for x in ("False.warc", "True.warc.gz")] == [3, 3]
+    records = warc.read_warc(spark, str(tmp_path / "True.warc.gz"))
     made = warc.derive(records).collect()
     assert {r["record_type"] for r in made} == {"conversion", "metadata"} and {r["refers_to"] for r in made} == {record[0]["WARC-Record-ID"]}
     assert bytes(next(r["block"] for r in made if r["record_type"] == "conversion")).decode().split("\n") == ["menu", "Hello you"]
     notes = bytes(next(r["block"] for r in made if r["record_type"] == "metadata")).decode()
     assert "title: T & x\r\n" in notes and "outlink: /y\r\n" in notes and record[0]["WARC-Payload-Digest"] in notes
+    members = warc.members(warc.derive(records)).orderBy("record_id").collect()
+    assert sorted(h["WARC-Record-ID"] for h, _ in warc.parse(b"".join(bytes(m["member"]) for m in members))) == [m["record_id"] for m in members]
     pages = spark.createDataFrame([(1, None, None), (2, url, ""), (2, url, "")], "page_id long, url string, html string")
     assert warc.page_derivatives(pages).count() == 6 and warc.page_derivatives(pages.limit(0)).count() == 0
 
 
+def test_no_value_starts_a_line_of_its_own(spark):
+    page = '<title>T\r\nhttp-status: 500</title><a href="x&#13;&#10;http-status: 500">y</a><a href=/ok>z</a>'
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: warcinfo", page)], "page_id long, url string, html string")
+    for r in warc.page_derivatives(pages).collect():
+        raw = warc.serialise(r["headers"], bytes(r["block"]))
+        (headers, block), *rest = warc.parse(raw)
+        assert not rest and headers["WARC-Type"] == r["record_type"] and headers["WARC-Target-URI"] == "http://a/%0D%0AWARC-Type: warcinfo"
+        if r["record_type"] == "metadata":
+            lines = block.decode().split("\r\n")
+            assert [x for x in lines if x.startswith("http-status")] == ["http-status: HTTP/1.1 200 OK"] and "outlink: x%0D%0Ahttp-status: 500" in lines and "outlink: /ok" in lines
+
+
+def test_bad_records_become_rows(spark, tmp_path):
+    good, odd = warc.response("http://a/1", b"one\r\n\r\nWARC/1.1 in the text \xff\xfe"), warc.response("http://a/2", b"two")
+    unnamed = {k: v for k, v in odd[0].items() if k != "WARC-Record-ID"}
+    unsized = warc.serialise(*odd).replace(b"Content-Length: ", b"Content-Size: ")
+    (tmp_path / "a.warc").write_bytes(warc.serialise(*good) + unsized + warc.serialise(unnamed, odd[1]) + warc.serialise(*good)[:-20])
+    (tmp_path / "b.warc").write_bytes(warc.serialise(*good))
+    (tmp_path / "c.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    whole = [r for r in rows if r["error"] is None]
+    assert len(rows) == 5 and sorted(bytes(r["block"]) for r in whole) == sorted([good[1], odd[1], good[1]])
+    assert sorted(r["error"].split(":")[0] for r in rows if r["error"]) == ["a record has no valid Content-Length", "a record is cut off"]
+    made = warc.derive(warc.read_warc(spark, str(tmp_path))).collect()
+    assert sorted(str(r["error"]) for r in made) == ["None"] * 4 + ["a response has no WARC-Record-ID"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    for page in ("<a " * 350_000, "<a href='" * 110_000, "<a '\">" * 140_000 + ">", "<div class=menu>t " * 50_000, "<nav>" * 200_000, "<div><" * 100_000):
+        html_text.main_text(page)
+        warc.derive_one(*warc.response("u", page.encode()))
+    assert time.monotonic() - began < 30
+
+
 PAGES = [
     (None, ""), ("", ""), ("<p>&amp;am", "&am"),
     ("<nav><a href=x>Menu</a></nav><article><h1>Head</h1><p>One\n two&nbsp;&lt;b&gt;<p>Three <b>x</b>y</article><footer>F</footer>", "Head One two <b> Three xy"),
@@ -367,7 +410,7 @@ def test_splitting_pattern_equals_the_plain_one():
         assert ours.encode_ordinary(text) == other.encode_ordinary(text)
 
 
-def test_token_shards(docs, none):
+def test_token_shards(docs, none, tmp_path):
     rows = token_shards.materialise(docs, length=64, per_shard=16).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     assert all(len(r["tokens"]) == 128 and (r["shard"], r["byte_offset"]) == (r["slot"] // 16, r["slot"] % 16 * 128) for r in rows)
@@ -382,8 +425,15 @@ def test_token_shards(docs, none):
     assert {k: decode.decode(v[:-1]) for k, v in texts.items()} == want and all(v[-1] == token_shards.END for v in texts.values())
     again = token_shards.materialise(docs.repartition(7), length=64, per_shard=16).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
-    blobs = token_shards.shard_blobs(token_shards.materialise(docs, 64, 16), 64, 16).collect()
-    assert b"".join(bytes(b["data"]) for b in sorted(blobs, key=lambda b: b["shard"])) == b"".join(bytes(r["tokens"]) for r in sorted(rows, key=lambda r: r["slot"]))
+    folder = f"file://{tmp_path}/shards"
+    made = token_shards.write_shards(token_shards.materialise(docs, 64, 16), folder, 64, 16).collect()
+    assert sum(m["n_sequences"] for m in made) == len(rows) and len(made) == -(-len(rows) // 16)
+    tokens = [bytes(r["tokens"]) for r in sorted(rows, key=lambda r: r["slot"])]
+    for start in (0, 5, 16, 37, len(rows) - 1, len(rows)):
+        read = list(token_shards.ShardReader(folder, 64, 16).read(start))
+        assert [s for s, _ in read] == list(range(start, len(rows))) and [x.tobytes() for _, x in read] == tokens[start:]
+    shards = token_shards.materialise(docs, 64, 16).select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r["shard"] for r in shards}) == len(shards)  # a shard lies in one partition
     assert token_shards.materialise(none).count() == 0
 
 
@@ -403,11 +453,44 @@ def test_toxicity_learns_stems(spark, none):
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["doc_id"]]
     right = sum((r["score"] >= 0.7) == (r["doc_id"] % 4 == 0) for r in held)
     assert right >= 0.97 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+    clash = docs.withColumns({"_lower": F.lit("x"), "_row": F.lit(1), "threshold": F.lit(2), "_whole": F.lit(3)})
+    assert toxicity.stage(clash, labels).columns == clash.columns
     kept = toxicity.stage(docs, labels)
     assert kept.columns == docs.columns and 500 <= kept.count() <= 560
     assert toxicity.stage(none, labels).count() == 0 and toxicity.stage(docs, labels.limit(0)).count() == 700
 
 
+def test_convolution_equals_plain_loops():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = ["", "one", "one two", "a b c d e f g " * 9, "zwirk " + "plain words " * 40]
+    docs = [next(iter(toxicity.W.scan(pa.array([x]), letters=True))) for x in texts]
+    ids = [toxicity.pieces(w) for w in docs]
+    model = toxicity.train(ids * 8, np.array([0, 0, 1, 0, 1] * 8))
+    model.bias[:] = rng.standard_normal(len(model.bias)) * 0.1
+    got = model.scores(pa.array(texts))
+    for text, mine, p in zip(texts, ids, got):
+        v = [model.table[w].astype(float).sum(0) for w in mine] + [np.zeros(toxicity.DIM)] * 4
+        z, k = model.offset, 0
+        for n, weights in zip(toxicity.WIDTHS, model.filters):
+            for f in range(toxicity.FILTERS):
+                sums = [sum((v[at + j] * weights[j, :, f]).sum() for j in range(n)) for at in range(len(mine) + 1)]
+                z += max(0.0, max(sums) + model.bias[k]) * model.weight[k]
+                k += 1
+        assert p == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_every_language_has_a_threshold():
+    model = toxicity.Model(*[None] * 4, 0.0)
+    p = np.array([0.9] * 40 + [0.1] * 40 + [0.62, 0.45] * 15)
+    y = np.array([1] * 40 + [0] * 40 + [1, 0] * 15)
+    toxicity.calibrate(model, p, y, ["en"] * 80 + ["fr"] * 29 + ["xx"], np.ones(110))
+    assert set(model.thresholds) == {"en", "fr", "xx"} and all(0.3 < x < 0.95 for x in model.thresholds.values())
+    z = np.log(p / (1 - p)) + model.shift
+    assert ((toxicity.chance(z) >= toxicity.BOUND) == (y == 1)).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 40_000, 2_100_000])
 def test_media_round_trip(n):
     payload = media.pad(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes())
@@ -432,6 +515,22 @@ def test_media_frame(docs, none):
     texts = {r[0]: r[1] or "" for r in corpus()}
     assert all(r["payload_sha256"] == hashlib.sha256(media.pad(texts[r["doc_id"]].encode())).hexdigest() for r in rows)
     assert media.packet_table(media.encode(docs.where("doc_id = 7"))).count() >= 1 and media.encode(none).count() == 0
+    bad = media.encode(docs.where("doc_id = 7")).selectExpr("explode(array(doc_id, doc_id + 1, doc_id + 2)) as doc_id", "media")
+    bad = bad.selectExpr("doc_id", "case doc_id when 7 then substring(media, 1, 300) when 8 then binary('no media') end as media")
+    assert {r["doc_id"]: r["error"] is not None for r in media.packet_table(bad).collect()} == {7: True, 8: True}
+
+
+def test_laced_frames_have_times_of_their_own():
+    found = media.parse(media.mux(media.pad(b"x" * 60_000)))
+    assert [p.timestamp_ms for p in found.packets] == [64.0 * k for k in range(len(found.packets))] and len(found.packets) == 15
+    unknown = b"\x01" + b"\xff" * 7
+    group = media.element(media.BLOCK_GROUP, media.element(media.BLOCK, media.vint(2) + b"\0\5\2" + media.lace([b"a", b"bb"], "xiph")) + media.number(media.BLOCK_DURATION, 10))
+    bare = media.block(3, 7, [b"c", b"d"], "fixed")
+    clusters = b"".join(media.CLUSTER.to_bytes(4, "big") + unknown + media.number(media.TIMESTAMP, 100 * k) + group + bare for k in range(2000))
+    raw = media.element(media.EBML, b"") + media.SEGMENT.to_bytes(4, "big") + unknown + clusters + media.element(media.CUES, b"")
+    found = media.parse(raw)
+    assert len(found.clusters) == 2000
+    assert [(p.track, p.timestamp_ms, p.key) for p in found.packets[-4:]] == [(2, 199905.0, True), (2, 199910.0, True), (3, 199907.0, True), (3, None, True)]
 
 
 def test_mixing(docs, none):
@@ -455,5 +554,39 @@ def test_mixing(docs, none):
     goal |= {s: weights[s] * level for s in left}
     assert {r["source"]: pytest.approx(r["target"]) for r in rows} == goal
     assert all(abs(taken[s] - goal[s]) <= max(r["size"] for r in rows if r["source"] == s) for s in sizes)
+    least = {}  # expected copies grow with the digits of the size, up to the cap
+    for r in rows:
+        if r["size"]:
+            least.setdefault(r["source"], set()).add((r["size"].bit_length(), round(r["e"], 9)))
+            assert r["copies"] in (int(r["e"]), int(r["e"]) + 1)
+    for s, found in least.items():
+        scale = max(e / k for k, e in found)
+        assert len({k for k, _ in found}) == len(found) and all(e == pytest.approx(min(2.0, scale * k)) for k, e in found)
+        assert sum(r["size"] * r["e"] for r in rows if r["source"] == s) == pytest.approx(goal[s])
+    assert any(len({e for _, e in found}) > 1 for found in least.values())
     assert mixing.stage(docs).columns == docs.columns and mixing.stage(docs).count() == sum(r["copies"] for r in rows)
     assert mixing.stage(none).count() == 0
+
+
+def test_inclusion_is_as_likely_as_it_should_be(spark):
+    rng = random.Random(2)
+    sizes = [rng.choice((3, 20, 100, 400)) for _ in range(60)]
+    reps = 150
+    rows = [(rep * 1000 + i, " ".join(["w"] * n), f"s{rep:03}") for rep in range(reps) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing._drawn(docs)
+    small = drawn.select("source", "size", "weight", "u", "doc_id")
+    words = sum(sizes)
+    goal = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.lit(0.6 * words).alias("target"))
+    table = mixing.cuts(small, mixing.scales(small, goal))
+    found = mixing._taken(small, table).selectExpr("doc_id % 1000 as i", "e", "copies", "size", "source").collect()
+    expected, taken = {}, {}
+    for r in found:
+        expected[r["size"]] = r["e"]
+        taken.setdefault(r["size"], []).append(r["copies"])
+    assert len(set(expected.values())) == 4
+    for n, e in expected.items():
+        spread = (0.25 / len(taken[n])) ** 0.5
+        assert abs(np.mean(taken[n]) - e) < 4 * spread + 0.01
+    for s in {r["source"] for r in found}:
+        assert abs(sum(r["size"] * r["copies"] for r in found if r["source"] == s) - 0.6 * words) <= 200
