@@ -197,7 +197,8 @@ def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         many = max(hub, 2 * state[0] // 256)
         large = _to_least(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), many)
-        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # dealt by u once: its distinct edges, their minima and the join of both need no other exchange
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), free=(before,))
