@@ -1,7 +1,7 @@
-"""Command line: validate, run, score, report, claims, author, smoke.
+"""Command line: validate, run, smoke, score, report, calibrate, profile, leaderboard, catalog, export, claims, author.
 
-Replies and judge samples are Parquet tables of recorded ones; a live caller
-is given to ``plans.lifecycle`` in Python.  Data errors go to the error
+Replies come from a Parquet table of recorded ones, from a command or from the
+chat service of the configuration; judge samples likewise.  Data errors go to the error
 stream with exit code 2; a failed gate or a stale claim gives 1.
 """
 
@@ -9,27 +9,32 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.config import load_config
+from gaugeworks.config import RunConfig, load_config
 from gaugeworks.errors import GaugeError
 from gaugeworks.operators import evidence, reports
-from gaugeworks.plans import lifecycle
-from gaugeworks.sources import harvest, ledger, runs, suites
+from gaugeworks.plans import lifecycle, surfaces
+from gaugeworks.sources import harvest, ledger, runs, services, suites
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="gaugeworks")
-    sub = top.add_subparsers(dest="command", required=True)
+    sub = top.add_subparsers(dest="action", required=True)
     sub.add_parser("validate").add_argument("suite")
     for name in ("run", "smoke"):
         p = sub.add_parser(name)
         p.add_argument("--suite", required=True)
         p.add_argument("--models")
-        p.add_argument("--replies", required=True, help="Parquet table of recorded replies")
+        source = p.add_mutually_exclusive_group(required=True)
+        source.add_argument("--replies", help="Parquet table of recorded replies")
+        source.add_argument("--command", help="command that reads a prompt and prints a JSON envelope; {model} is the model")
+        source.add_argument("--chat", action="store_true", help="chat service of the configuration")
+        p.add_argument("--wave", type=int, default=lifecycle.WAVE, help="cells whose replies are kept together")
         p.add_argument("--samples", type=int)
         p.add_argument("--judges")
         p.add_argument("--budget", type=int)
@@ -39,20 +44,42 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--preregister")
     p = sub.add_parser("score")
     p.add_argument("run_id")
-    p.add_argument("--judge-samples")
+    p.add_argument("--judge-samples", help="Parquet table of recorded judge samples")
+    p.add_argument("--command", help="command that grades, as for run")
+    p.add_argument("--chat", action="store_true", help="judges of the chat service")
+    p.add_argument("--samples", type=int, default=3, help="gradings by each judge")
+    p.add_argument("--config")
     p.add_argument("--out", default="data")
     p = sub.add_parser("report")
     p.add_argument("run_id")
     p.add_argument("--compare", nargs="+", default=[])
     p.add_argument("--jsonl", action="store_true")
     p.add_argument("--out", default="data")
+    for name in ("calibrate", "profile", "leaderboard"):
+        p = sub.add_parser(name)
+        p.add_argument("--out", default="data")
+        p.add_argument("--json", action="store_true")
+        if name == "profile":
+            p.add_argument("model")
+        if name != "leaderboard":
+            p.add_argument("--suite", help="suite file; else the suite of the newest run")
+            p.add_argument("--runs", nargs="+", help="run ids; else all")
+        if name == "calibrate":
+            p.add_argument("--reference", help="model that no other may lead by more than the margin")
+    for name in ("catalog", "export"):
+        p = sub.add_parser(name)
+        p.add_argument("--suites", required=True, help="folder of suite files")
+        p.add_argument("--show", help="one suite")
+        p.add_argument("--out", default="data")
+        if name == "export":
+            p.add_argument("--write", required=True)
     p = sub.add_parser("claims")
-    p.add_argument("action", choices=("list", "audit", "render"))
+    p.add_argument("what", choices=("list", "audit", "render"))
     p.add_argument("--ledger", required=True)
     p.add_argument("--files", help="folder of the cited files")
     p.add_argument("--write", help="new ledger with the audited statuses")
     p = sub.add_parser("author")
-    p.add_argument("action", choices=("harvest", "stub"))
+    p.add_argument("what", choices=("harvest", "stub"))
     p.add_argument("--goldens")
     p.add_argument("--reviews")
     p.add_argument("--patches", help="Parquet table (sha, committed_at, patch)")
@@ -65,6 +92,50 @@ def _names(value: str | None, default: tuple[str, ...]) -> list[str]:
     return [x.strip() for x in value.split(",") if x.strip()] if value is not None else list(default)
 
 
+def _live(a: argparse.Namespace, config: RunConfig) -> lifecycle.Replies:
+    """Replies of a command or of the configured service."""
+    if a.command:
+        return services.command(shlex.split(a.command), pool=config.cli_pool)
+    return services.chat(config.local_base_url, config.local_max_tokens, config.local_timeout_s)
+
+
+def _score(spark: SparkSession, a: argparse.Namespace) -> int:
+    folder, samples = runs.run_dir(a.out, a.run_id), None
+    if a.judge_samples:
+        samples = spark.read.parquet(a.judge_samples)
+    elif a.command or a.chat:
+        config = load_config(a.config)
+        manifest, suite = runs.open_run(spark, folder)
+        samples = lifecycle.judged(spark, folder, manifest["judges"] or list(config.judges), a.samples, _live(a, config))
+    print(json.dumps(lifecycle.score(spark, folder, samples), sort_keys=True))
+    return 0
+
+
+def _surfaces(spark: SparkSession, a: argparse.Namespace) -> int:
+    if a.action in ("catalog", "export"):
+        if a.action == "export":
+            runs.write_once(spark, surfaces.export(spark, a.suites, a.out), a.write)
+            return 0
+        found = [s for s in surfaces.catalog(spark, a.suites) if a.show in (None, s.get("suite"), s["file"])]
+        if a.show and not found:
+            raise GaugeError(f"{a.suites} has no suite {a.show}")
+        print(json.dumps(found, sort_keys=True))
+        return 0
+    if a.action == "leaderboard":
+        rows = surfaces.leaderboard(spark, surfaces.stored_runs(spark, a.out))
+        print(json.dumps(rows, sort_keys=True) if a.json else surfaces.render_leaderboard(rows))
+        return 0
+    folders = [runs.run_dir(a.out, x) for x in a.runs] if a.runs else surfaces.stored_runs(spark, a.out)
+    wanted = suites.suite_hash(suites.load_suite(spark, a.suite)) if a.suite else None
+    if a.action == "profile":
+        tags, gaps = surfaces.profile(spark, folders, a.model, wanted)
+        print(json.dumps({"tags": tags, "gaps": gaps}, sort_keys=True) if a.json else surfaces.render_profile(a.model, tags, gaps))
+        return 0
+    found = surfaces.calibrate(spark, folders, wanted, a.reference)
+    print(json.dumps(found, sort_keys=True))
+    return int(bool(found["kill"] and found["kill"]["halt"]))
+
+
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     suite, config = suites.load_suite(spark, a.suite), load_config(a.config)
     if a.resume:
@@ -74,8 +145,11 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     else:
         samples, budget = config.samples_per_cell if a.samples is None else a.samples, config.max_calls if a.budget is None else a.budget
         folder = lifecycle.start(spark, a.out, suite, _names(a.models, config.roster), samples, _names(a.judges, config.judges), budget, config.config_source, a.preregister)
-    print(json.dumps(lifecycle.sweep(spark, folder, lifecycle.recorded(spark.read.parquet(a.replies))), sort_keys=True))
-    if a.command == "run":
+    if a.chat and a.action == "smoke" and not services.reachable(config.local_base_url):
+        raise GaugeError(f"{config.local_base_url} takes no connection")
+    replies = lifecycle.recorded(spark.read.parquet(a.replies)) if a.replies else _live(a, config)
+    print(json.dumps(lifecycle.sweep(spark, folder, replies, a.wave), sort_keys=True))
+    if a.action == "run":
         return 0
     failed = reports.smoke_gate(reports.model_report(lifecycle.rows(spark, folder))).where("not passed").orderBy("model").collect()
     print(lifecycle.render(*lifecycle.report(spark, folder)))
@@ -105,10 +179,10 @@ def _cited_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _claims(spark: SparkSession, a: argparse.Namespace) -> int:
     claims = ledger.load_ledger(spark, a.ledger)
-    if a.action == "render":
+    if a.what == "render":
         print(ledger.render(claims))
         return 0
-    if a.action == "list":
+    if a.what == "list":
         for r in claims.select("claim_id", "status", "statement").orderBy("claim_id").collect():
             print(f"{r['claim_id']}\t{r['status']}\t{r['statement']}")
         return 0
@@ -124,7 +198,7 @@ def _claims(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _author(spark: SparkSession, a: argparse.Namespace) -> int:
-    if a.action == "stub":
+    if a.what == "stub":
         item = {"id": "replace-me", "tags": ["replace-me"], "prompt": "replace me", "expected": "pass", "difficulty_prior": 0.5, "provenance": "authored:stub"}
         stub = {"suite": a.name, "version": 1, "description": "replace me", "domain": "replace-me", "scoring": {"type": "verdict", "labels": ["pass", "flag"]}, "items": [item]}
         suites.validate_suite(stub)
@@ -147,15 +221,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("gaugeworks").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        if a.command == "validate":
+        if a.action == "validate":
             suite = suites.load_suite(spark, a.suite)
             print(f"{suite['suite']} {len(suite['items'])} items {suites.suite_hash(suite)}")
             return 0
-        if a.command == "score":
-            samples = spark.read.parquet(a.judge_samples) if a.judge_samples else None
-            print(json.dumps(lifecycle.score(spark, runs.run_dir(a.out, a.run_id), samples), sort_keys=True))
-            return 0
-        return {"run": _run, "smoke": _run, "report": _report, "claims": _claims, "author": _author}[a.command](spark, a)
+        done = {"run": _run, "smoke": _run, "score": _score, "report": _report, "claims": _claims, "author": _author}
+        return done.get(a.action, _surfaces)(spark, a)
     except GaugeError as e:
         print(f"gaugeworks: {e}", file=sys.stderr)
         return 2

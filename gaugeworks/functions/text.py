@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,9 +41,30 @@ def exact_score(response: Column, expected: Column, ascii_only: bool = False) ->
     return F.when(folded_equal(response, expected, ascii_only), 1.0).otherwise(0.0)
 
 
-def exact_regex_score(response: Column, pattern: Column) -> Column:
-    """Full match of the stripped response, any case, dot matching line ends."""
-    return F.when(F.rlike(strip(response), F.concat(F.lit("(?isu)\\A(?:"), strip(pattern), F.lit(")\\z"))), 1.0).otherwise(0.0)
+#: What means the same to Java and to Python: literals, classes, groups, bounded repeats and the usual escapes.
+_PORTABLE = re.compile(r"(?:[^\\()\[\]]|\\[dswDSWbBnrt.*+?()\[\]{}|^$/\\\-]|\(\?[:=!]|\((?!\?)|\)|\[\^?(?:[^\\\[\]&~|]|\\[dswDSWnrt.*+?()\[\]{}|^$/\\\-])+\])*", re.S)
+
+
+def portable(pattern: str) -> bool:
+    """Whether Spark matches a pattern as Python does; named groups, conditions and inner flags are Python's own."""
+    return _PORTABLE.fullmatch(pattern) is not None and not re.search(r"[*+?}]\+", pattern)
+
+
+def exact_regex_score(response: Column, pattern: Column, portable_only: bool = True) -> Column:
+    """Full match of the stripped response, any case, dot matching line ends.
+
+    ``portable_only`` promises that every pattern is ``portable``; without it
+    patterns are matched in Python.
+    """
+    if portable_only:
+        return F.when(F.rlike(strip(response), F.concat(F.lit("(?isuU)\\A(?:"), strip(pattern), F.lit(")\\z"))), 1.0).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def matched(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+        known = {p: re.compile(p.strip(), re.I | re.S) for p in patterns.dropna().unique()}
+        return pd.Series([None if x is None or p is None else float(known[p].fullmatch(x.strip()) is not None) for x, p in zip(texts, patterns)], dtype="float64")
+
+    return F.coalesce(matched(response, pattern), F.lit(0.0))
 
 
 def exact_parsed(score: Column) -> Column:
@@ -65,59 +88,48 @@ def unique_label(text: Column, labels: list[str]) -> Column:
     return F.when(F.size(found) == 1, F.element_at(found, 1))
 
 
+#: A quoted string, closed or running to the end, or a brace outside of strings.
+_QUOTED_OR_BRACE = re.compile(r'"(?:[^"\\]|\\.?)*+"?|[{}]', re.S)
+
+
 def json_spans(text: str) -> list[tuple[int, int]]:
     """Bounds of top-level {...} spans; a quote opens a string wherever it stands."""
-    spans, depth, start, quoted, escaped = [], 0, 0, False, False
-    for at, ch in enumerate(text):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            if not depth:
-                start = at
-            depth += 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if not depth:
-                spans.append((start, at + 1))
-    return spans
-
-
-def _loads(text: str):
-    try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
+    braces = [(m.start(), m[0]) for m in _QUOTED_OR_BRACE.finditer(text) if m[0] in "{}"]
+    depths = pairwise(accumulate((1 if brace == "{" else -1 for _, brace in braces), lambda depth, step: max(depth + step, 0), initial=0))
+    borders = [(at, step) for (at, _), step in zip(braces, depths) if step in ((0, 1), (1, 0))]
+    return [(a, b + 1) for (a, _), (b, _) in zip(borders[::2], borders[1::2])]
+
 
+def _json_objects(text: str) -> list[tuple[int, int, dict]]:
+    """The top-level spans that are well-formed JSON, with their values."""
+    found = []
+    for a, b in json_spans(text):
+        try:
+            found.append((a, b, json.loads(text[a:b])))
+        except (ValueError, RecursionError):
+            pass
+    return found
 
-def _present(text: str, labels: list[str]) -> str | None:
-    found = [x for x in labels if re.search(rf"(?<![A-Za-z0-9]){re.escape(x)}(?![A-Za-z0-9])", text, re.I)]
-    return found[0] if len(found) == 1 else None
+
+def _only_label(text: object, labels: list[str]) -> str | None:
+    """The one label that a text has between non-alphanumerics."""
+    if not isinstance(text, str):
+        return None
+    named = {x for x in labels if re.search(f"(?<![A-Za-z0-9]){re.escape(x)}(?![A-Za-z0-9])", text, re.I)}
+    return named.pop() if len(named) == 1 else None
 
 
 def json_tier(text: str, labels: list[str]) -> tuple[list[str], str]:
     """(labels told by JSON objects, the text with well-formed JSON blanked)."""
-    told, rest, last = [], [], 0
-    for a, b in json_spans(text):
-        value = _loads(text[a:b])
-        if value is None:
-            continue
-        rest += [text[last:a], " "]
-        last = b
-        if isinstance(value, dict):
-            folded = {k.casefold(): v for k, v in value.items()}
-            for key in VERDICT_KEYS:
-                label = _present(folded[key], labels) if isinstance(folded.get(key), str) else None
-                if label:
-                    told.append(label)
-                    break
-    return told, "".join(rest) + text[last:]
+    objects = _json_objects(text)
+    edges = [0, *(x for a, b, _ in objects for x in (a, b)), len(text)]
+    rest = " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    told = []
+    for *_, value in objects:
+        folded = {k.casefold(): v for k, v in value.items()}
+        answers = (_only_label(folded.get(key), labels) for key in VERDICT_KEYS)
+        told += [x for x in answers if x][:1]
+    return told, rest
 
 
 def verdict_label(text: Column, labels: list[str]) -> Column:
@@ -201,17 +213,23 @@ def provenance(path: Column, content: Column) -> Column:
     return F.concat(F.lit("harvested:"), path, F.lit(";sha256="), F.sha2(content, 256))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_lines(text: Column) -> Column:
     """Lines at every Unicode line end; a last empty one does not count."""
-    parts = F.split(text, LINE_ENDS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_ENDS), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def quote_hash(text: Column, first: Column, last: Column) -> Column:
     """sha256 of lines first..last (from 1), joined by newlines; null outside the text."""
-    lines = text_lines(text)
-    quote = F.array_join(F.slice(lines, first, last - first + 1), "\n")
-    return F.when((first >= 1) & (first <= last) & (last <= F.size(lines)), F.sha2(quote, 256))
+
+    def quoted(lines: Column) -> Column:
+        return F.when((first >= 1) & (first <= last) & (last <= F.size(lines)), F.array_join(F.slice(lines, first, last - first + 1), "\n"))
+
+    return F.sha2(let(text_lines(text), quoted), 256)
 
 
 def csv_names(c: Column) -> Column:

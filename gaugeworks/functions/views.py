@@ -29,11 +29,12 @@ select event_type as judge, user_id as item_id, event_id, event_id % 7 <> 5 as o
     else 'SCORE: ' || cast(n as varchar(9)) || chr(10) || 'RATIONALE: x' end as response_raw,
   case when event_id % 7 < 4 then cast(least(n, 10) as double) end as truth
 from (select *, cast(floor(value / 10) as int) as n from events) t"""
-CLAIMS = """
-select 'c' || cast(doc_id as varchar(20)) as claim_id, doc_id,
-  case when doc_id % 10 = 0 then 'MEASURED' when doc_id % 10 < 3 then 'PARTIAL' else 'ASSERTED' end as status,
-  1 as line_from, 1 as line_to, doc_id % 7 = 0 as mutated
-from documents"""
+#: Columns of a claim per document: it cites two or three lines, which the document may not have.
+CLAIM_COLUMNS = (
+    "'c' || cast(doc_id as varchar(20)) as claim_id", "doc_id", "case when doc_id % 10 = 0 then 'MEASURED' when doc_id % 10 < 3 then 'PARTIAL' else 'ASSERTED' end as status",
+    "cast(1 + doc_id % 3 as int) as line_from", "cast(2 + doc_id % 3 + doc_id % 2 as int) as line_to", "doc_id % 7 = 0 as mutated",
+)
+CLAIMS = f"select {', '.join(CLAIM_COLUMNS)} from documents"
 ITEMS = """
 select d.doc_id as item_id, d.lang, d.source, case when l.quality = 1 then 'pass' else 'flag' end as expected,
   cast(least(greatest(d.n_chars / 20000.0, 0), 1) as double) as difficulty_prior

@@ -16,7 +16,7 @@ def item_discrimination(rows: DataFrame) -> DataFrame:
     """Correctness among the better half of models minus that among the worse half."""
     scored = rows.where("score is not null")
     models = scored.groupBy("model").agg(F.avg("score").alias("m")).withColumn("half", F.ntile(2).over(Window.orderBy(F.desc("m"), "model")))
-    halves = scored.join(F.broadcast(models.select("model", "half")), "model").groupBy("item_id")
+    halves = scored.join(models.select("model", "half"), "model").groupBy("item_id")
     rate = lambda h: F.avg(F.when(F.col("half") == h, (F.col("score") == 1).cast("double")))
     return halves.agg(F.round(rate(1) - rate(2), 6).alias("discrimination"))
 
@@ -105,13 +105,15 @@ def cluster_bootstrap(arms: DataFrame, seed: str, iterations: int = 10_000) -> D
     """(i, delta): the equal-task macro delta of each resample of whole clusters.
 
     Tasks are summed by cluster first and weighted by how often the cluster is
-    drawn, which equals expanding the repeated clusters.
+    drawn, which equals expanding the repeated clusters.  There are
+    iterations x clusters draws, so numbering the clusters in one task is the
+    least of it.
     """
     tasks = arms.groupBy("cluster_id", "task_id").agg((F.avg("a_pass") - F.avg("b_pass")).alias("d"))
     clusters = tasks.groupBy("cluster_id").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
     ordered = clusters.withColumn("pick", (F.row_number().over(Window.orderBy("cluster_id")) - 1).cast("long"))
     k = ordered.count()
-    joined = draws(arms.sparkSession, seed, iterations, k).join(F.broadcast(ordered), "pick")
+    joined = draws(arms.sparkSession, seed, iterations, k).join(ordered, "pick")
     return joined.groupBy("i").agg((100 * F.sum(F.col("d") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("delta"))
 
 
@@ -134,6 +136,22 @@ def non_inferiority(bounds: DataFrame, margin: float = 5.0) -> DataFrame:
     return bounds.withColumn("decision", F.when(F.col("low") > -margin, "CANDIDATE_ELIGIBLE").when(F.col("high") < -margin, "REFERENCE_REQUIRED").otherwise("UNRESOLVED"))
 
 
+def scope_decisions(arms: DataFrame, seed: str, scopes: int, iterations: int = 10_000, margin: float = 5.0) -> DataFrame:
+    """(scope, low, high, decision): non-inferiority of arms(scope, ...) in each of ``scopes`` scopes, which share the error.
+
+    Scopes are an analysis plan's, so few; each has a seed and draws of its own.
+    """
+    low, high = ranks(iterations, scopes)
+    names = sorted(r[0] for r in arms.select("scope").distinct().limit(scopes + 1).collect())
+    if len(names) > scopes:
+        raise ValueError(f"more scopes than the {scopes} of the plan")
+    parts = [interval(cluster_bootstrap(arms.where(F.col("scope") == n), f"{seed}/{n}", iterations), low, high).select(F.lit(n).alias("scope"), "low", "high") for n in names]
+    out = arms.sparkSession.createDataFrame([], f"scope {arms.schema['scope'].dataType.simpleString()}, low double, high double")
+    for part in parts:
+        out = out.unionByName(part)
+    return non_inferiority(out, margin)
+
+
 def block_schedule(tasks: DataFrame, models: DataFrame, seed: str) -> DataFrame:
     """tasks(family, task_id, sample_k) and models(model): every block's models in turn.
 
@@ -147,7 +165,7 @@ def block_schedule(tasks: DataFrame, models: DataFrame, seed: str) -> DataFrame:
     blocks = tasks.withColumn("digest", digest("schedule-block-v1", seed, F.col("family"), F.col("task_id"), F.col("sample_k")))
     order = ["digest", "family", "task_id", "sample_k"]
     blocks = blocks.withColumn("family_ordinal", F.row_number().over(Window.partitionBy("family").orderBy(*order)) - 1)
-    base = tasks.select("family").distinct().crossJoin(F.broadcast(models))
+    base = tasks.select("family").distinct().crossJoin(models)  # configuration
     base = base.withColumn("m", digest("schedule-model-v1", seed, F.col("family"), F.col("model")))
     mine = Window.partitionBy("family")
     base = base.withColumn("at", F.row_number().over(mine.orderBy("m", "model")) - 1).withColumn("n", F.count("*").over(mine))

@@ -9,13 +9,19 @@ from gaugeworks.errors import RunError
 from gaugeworks.schemas import CELL, NO_RESPONSE
 
 
+#: A roster is a run's configuration; more models than this are refused.
+MOST_MODELS = 10_000
+
+
 def sweep_grid(items: DataFrame, roster: DataFrame, samples: int) -> DataFrame:
-    """Every (model, item_id, sample_k); the roster and the samples are a run's configuration, not data."""
+    """Every (model, item_id, sample_k): each item is exploded in place, without a join."""
     if samples < 1:
         raise RunError("samples per cell must be at least 1")
-    cells = F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_k")
-    models = F.broadcast(roster.select("model").distinct())
-    return items.select("item_id").crossJoin(models).select("model", "item_id", cells)
+    models = sorted(r[0] for r in roster.select("model").distinct().limit(MOST_MODELS + 1).collect())
+    if len(models) > MOST_MODELS:
+        raise RunError(f"a roster of over {MOST_MODELS} models")
+    each = items.select("item_id", F.explode(F.array(*map(F.lit, models)).cast("array<string>")).alias("model"))
+    return each.select("model", "item_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_k"))
 
 
 def pending(grid: DataFrame, rows: DataFrame) -> DataFrame:

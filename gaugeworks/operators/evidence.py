@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.text import quote_hash
+from gaugeworks.functions.text import let, quote_hash
 from gaugeworks.schemas import STATUSES
 
 REVIEW = {"PASS": "pass", "DEFERRED-TO-UAT": "pass", "FAILED": "flag", "NEEDS-WORK": "flag", "NO-EVIDENCE": "flag"}
@@ -30,8 +30,9 @@ def issues(cited: DataFrame, files: DataFrame) -> DataFrame:
     """Sources whose file is missing, whose lines are not there or whose quote has changed."""
     joined = cited.join(files.select("file", "text"), "file", "left")
     live = quote_hash(F.col("text"), F.col("line_from"), F.col("line_to"))
-    reason = F.when(F.col("text").isNull(), "missing_file").when(live.isNull(), "bad_lines").when(live != F.col("quote_sha256"), "quote_changed")
-    return joined.withColumn("reason", reason).where("reason is not null")
+    reason = let(live, lambda now: F.when(F.col("text").isNull(), "missing_file").when(now.isNull(), "bad_lines").when(now != F.col("quote_sha256"), "quote_changed"))
+    # exploding a list of none or one keeps the hash out of a filter, where it would be computed again
+    return joined.select(*cited.columns, F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def audit(claims: DataFrame, found: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def by_status(claims: DataFrame) -> DataFrame:
     """Counts in the fixed order of statuses, zeros included."""
     dim = claims.sparkSession.createDataFrame(list(enumerate(STATUSES)), "ordinal int, status string")
     counts = claims.groupBy("status").agg(F.count("*").alias("n"))
-    return F.broadcast(dim).join(counts, "status", "left").select("ordinal", "status", F.coalesce("n", F.lit(0)).alias("n"))
+    return dim.join(counts, "status", "left").select("ordinal", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def measured_violations(claims: DataFrame) -> DataFrame:

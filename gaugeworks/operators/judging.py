@@ -23,10 +23,10 @@ def medians(samples: DataFrame) -> DataFrame:
 
 
 def item_scores(samples: DataFrame) -> DataFrame:
-    """A tenth of the mean of the judges' medians; without any parsed sample 0 and a parse failure."""
+    """A tenth of the mean of the judges' medians, which ``parsed`` tells; without any parsed sample 0 and a parse failure."""
     scored = medians(samples).groupBy("item_id").agg(F.avg("median").alias("m"))
     items = samples.select("item_id").distinct().join(scored, "item_id", "left")
-    return items.select("item_id", F.round(F.coalesce(F.col("m") / 10, F.lit(0.0)), 6).alias("score"), F.when(F.col("m").isNull(), PARSE_FAIL).alias("parsed"))
+    return items.select("item_id", F.round(F.coalesce(F.col("m") / 10, F.lit(0.0)), 6).alias("score"), F.coalesce(F.col("m").cast("string"), F.lit(PARSE_FAIL)).alias("parsed"))
 
 
 def parse_stats(samples: DataFrame) -> DataFrame:

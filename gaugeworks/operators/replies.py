@@ -24,18 +24,19 @@ def resolved_model(doc: Column, alias: Column) -> Column:
 def chat_reply(rows: DataFrame, alias: Column) -> DataFrame:
     """rows(body, transport) with state, reason, response_raw and model_id_resolved.
 
-    In order: transport error, no JSON, no message text, blank text, cut-off, success.
+    In order: transport error, no JSON, no message object, blank or no text, cut-off, success.
     """
     doc = F.try_parse_json("body")
-    content, finish = _text(doc, "$.choices[0].message.content"), _text(doc, "$.choices[0].finish_reason")
-    reason = F.when(F.col("transport").isNotNull(), F.col("transport")).when(doc.isNull(), "non_json_body").when(content.isNull(), "bad_envelope")
+    message = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, "$.choices[0].message", "variant")).startswith("OBJECT"), F.lit(False))
+    content, finish = F.coalesce(_text(doc, "$.choices[0].message.content"), F.lit("")), _text(doc, "$.choices[0].finish_reason")
+    reason = F.when(F.col("transport").isNotNull(), F.col("transport")).when(doc.isNull(), "non_json_body").when(~message, "bad_envelope")
     blank = strip(content) == ""
     reason = reason.when(blank, F.lit(None)).when(F.coalesce(finish == "length", F.lit(False)), "truncated")
     return _outcome(rows.withColumns({"_reason": reason, "_blank": blank, "_text": content, "model_id_resolved": resolved_model(doc, alias)}))
 
 
 def cli_reply(rows: DataFrame, alias: Column) -> DataFrame:
-    """rows(stdout, returncode) with the same columns.
+    """rows(stdout, returncode) with the same columns; a ``transport`` word, if there is one, comes first.
 
     In order: return code, no JSON, no object, error flag (cut-off or other), no text, blank text, success.
     """
@@ -46,7 +47,8 @@ def cli_reply(rows: DataFrame, alias: Column) -> DataFrame:
     for mark in CUT_OFF:
         cut = cut | subtype.contains(mark)
     failed = F.coalesce(F.try_variant_get(doc, "$.is_error", "boolean") & (F.schema_of_variant(F.try_variant_get(doc, "$.is_error", "variant")) == "BOOLEAN"), F.lit(False))
-    reason = F.when(F.col("returncode") != 0, "os_error").when(doc.isNull(), "non_json_body").when(~is_object, "bad_envelope")
+    transport = F.col("transport") if "transport" in rows.columns else F.lit(None).cast("string")
+    reason = F.when(transport.isNotNull(), transport).when(F.col("returncode") != 0, "os_error").when(doc.isNull(), "non_json_body").when(~is_object, "bad_envelope")
     reason = reason.when(failed & cut, "truncated").when(failed, "os_error").when(text.isNull(), "bad_envelope")
     return _outcome(rows.withColumns({"_reason": reason, "_blank": strip(text) == "", "_text": text, "model_id_resolved": resolved_model(doc, alias)}))
 

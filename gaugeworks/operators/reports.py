@@ -87,8 +87,8 @@ def check_same_instrument(manifests: DataFrame) -> None:
         raise ReportError(f"runs of different instruments cannot be compared: {sorted(hashes)}")
 
 
-def latest_runs(runs: DataFrame) -> DataFrame:
-    at = Window.partitionBy("suite_hash", "model").orderBy(F.desc("started"), F.desc("run_id"))
+def latest_runs(runs: DataFrame, keys: list[str] = ["suite_hash", "model"]) -> DataFrame:
+    at = Window.partitionBy(*keys).orderBy(F.desc("started"), F.desc("run_id"))
     return runs.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
 
 

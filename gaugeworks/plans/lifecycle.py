@@ -2,9 +2,11 @@
 
 A run's folder holds ``manifest.json`` and ``suite.json``, written once, and
 ``rows/v000000``, ``v000001`` ..: Parquet, partitioned by run and model.  A
-sweep appends to the newest version; scoring writes the next one, so a reader
-never sees half of it.  Replies come from a table of recorded ones or from a
-caller that runs within the executors.
+sweep appends to the newest version wave by wave, so a failure loses the
+replies of one wave at most; scoring writes the next version aside and moves it
+in place once it is checked, so a reader never sees half of it.  Replies come
+from a table of recorded ones, from a service or a command line
+(``sources.services``) or from a caller in Python that runs within the executors.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.errors import ReportError, RunError, ScoringError
+from gaugeworks.errors import AdapterError, ReportError, RunError, ScoringError
 from gaugeworks.functions import text as X
 from gaugeworks.operators import cells, judging, reports
 from gaugeworks.schemas import CELL, NO_RESPONSE, PARSE_FAIL, REASONS, ROW
-from gaugeworks.sources import runs, suites
+from gaugeworks.sources import runs, services, suites
 
 #: (model, prompt) -> (state, text, reason, resolved model); state is success, no_response or error.
 Caller = Callable[[str, str], tuple[str, str, str | None, str | None]]
@@ -31,7 +34,7 @@ Replies = Callable[[DataFrame], DataFrame]
 REPLY = "state string, response_raw string, reason string, model_id_resolved string, elapsed_s double"
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
+def files(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder of whatever store; none if it is not there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -40,13 +43,13 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 
 def newest(spark: SparkSession, folder: str) -> int:
     """The last version whose writing has ended; 0 for a run without rows."""
-    whole = [int(v[1:]) for v in _files(spark, f"{folder}/rows") if "_SUCCESS" in _files(spark, f"{folder}/rows/{v}")]
+    whole = [int(v[1:]) for v in files(spark, f"{folder}/rows") if "_SUCCESS" in files(spark, f"{folder}/rows/{v}")]
     return max(whole, default=0)
 
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
     at = f"{folder}/rows/v{newest(spark, folder):06d}"
-    return spark.read.schema(ROW).parquet(at) if _files(spark, at) else spark.createDataFrame([], ROW)
+    return spark.read.schema(ROW).parquet(at) if files(spark, at) else spark.createDataFrame([], ROW)
 
 
 def start(spark: SparkSession, root: str, suite: dict, roster: list[str], samples: int = 1, judges: list[str] = (), budget: int = 500, config_source: str = "defaults", preregistration: str | None = None, now: datetime | None = None) -> str:
@@ -76,7 +79,8 @@ def scorer(suite: dict) -> tuple[Column, Column, str | None]:
     if kind == "rubric":
         return F.lit(None).cast("string"), F.lit(None).cast("double"), None
     if kind == "exact":
-        score = X.exact_regex_score(reply, expected) if suite["scoring"]["regex"] else X.exact_score(reply, expected)
+        same = all(X.portable(x["expected"].strip()) for x in suite["items"])
+        score = X.exact_regex_score(reply, expected, same) if suite["scoring"]["regex"] else X.exact_score(reply, expected)
         return X.exact_parsed(score), score, "exact"
     labels = suite["scoring"]["labels"]
     if not labels or PARSE_FAIL in {x.casefold() for x in labels}:
@@ -114,28 +118,52 @@ def called(call: Caller, pool: int = 2) -> Replies:
     return replies
 
 
-def sweep(spark: SparkSession, folder: str, replies: Replies) -> dict:
-    """Fill pending cells in sweep order up to the budget; called again, it resumes with a fresh budget."""
+#: Cells whose replies are kept together.
+WAVE = 1000
+_BAD_REPLY = "a reply breaks the contract"
+
+
+def _checked(done: DataFrame) -> DataFrame:
+    """Rows whose reply keeps the contract: a known reason for an error, a text that is not blank for a success."""
+    known = F.coalesce(F.col("reason").isin(*REASONS), F.lit(False))
+    spoken = F.coalesce(X.strip(F.col("response_raw")) != "", F.lit(False))
+    bad = (F.col("state") == "error") & ~known | (F.col("state") == "success") & ~spoken | ~F.coalesce(F.col("state").isin("success", "no_response", "error"), F.lit(False))
+    told = F.concat(F.lit(f"{_BAD_REPLY}: "), F.coalesce("state", F.lit("no state")), F.lit(" "), F.coalesce("reason", F.lit("without reason")))
+    # written with the rows, so the check cannot be left out
+    return done.withColumn("error", F.when(bad, F.raise_error(told)).when(F.col("state") == "error", F.col("reason")))
+
+
+def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE) -> dict:
+    """Fill pending cells in sweep order up to the budget, ``wave`` cells at a time; called again, it resumes with a fresh budget."""
+    suites.whole(wave, 1, "wave", RunError)
     manifest, suite = runs.open_run(spark, folder)
     items = suites.item_frame(spark, suite)
     places = spark.createDataFrame([(x["id"], i) for i, x in enumerate(suite["items"])], "item_id string, _item int")
     models = spark.createDataFrame(list(enumerate(manifest["roster"])), "_model int, model string")
     cells.check_no_orphans(rows(spark, folder), items)
-    left = cells.pending(cells.sweep_grid(items, models, manifest["samples_per_cell"]), rows(spark, folder))
-    left = left.join(F.broadcast(places), "item_id").join(F.broadcast(models), "model")
-    budget = manifest["budgets"]["max_calls"]
-    waiting = left.count()
-    if waiting:
-        todo = left.orderBy("_model", "_item", "sample_k").limit(budget).join(items.select("item_id", "prompt", "expected"), "item_id").drop("_model", "_item")
-        parsed, score, name = scorer(suite)
-        done = cells.build_rows(replies(todo), parsed, score, name)
-        silent = (F.col("error").isNotNull()) | (F.coalesce(F.col("scorer"), F.lit("")) == NO_RESPONSE)
+    parsed, score, name = scorer(suite)
+    budget, target = manifest["budgets"]["max_calls"], f"{folder}/rows/v{newest(spark, folder):06d}"
+    grid = cells.sweep_grid(items, models, manifest["samples_per_cell"])
+    waiting = cells.pending(grid, rows(spark, folder)).count()
+    executed = 0
+    while executed < min(waiting, budget):
+        size = min(wave, budget - executed)
+        left = cells.pending(grid, rows(spark, folder)).join(places, "item_id").join(models, "model")
+        todo = left.orderBy("_model", "_item", "sample_k").limit(size).join(items.select("item_id", "prompt", "expected"), "item_id").drop("_model", "_item")
+        done = _checked(cells.build_rows(replies(todo), parsed, score, name))
+        silent = F.col("error").isNotNull() | (F.coalesce(F.col("scorer"), F.lit("")) == NO_RESPONSE)
         full = done.withColumns({
-            "run_id": F.lit(manifest["run_id"]), "model_id_resolved": F.coalesce("model_id_resolved", "model"), "judge_scores": F.lit(None).cast("array<double>"), "elapsed_s": F.coalesce("elapsed_s", F.lit(0.0)),
-            "error": F.when(F.col("state") == "error", F.when(F.col("reason").isin(*REASONS), F.col("reason")).otherwise("os_error")), "response_raw": F.when(silent, "").otherwise(F.col("response_raw")),
+            "run_id": F.lit(manifest["run_id"]), "model_id_resolved": F.coalesce("model_id_resolved", "model"), "judge_scores": F.lit(None).cast("array<double>"),
+            "elapsed_s": F.coalesce("elapsed_s", F.lit(0.0)), "response_raw": F.when(silent, "").otherwise(F.col("response_raw")),
         })
-        runs.append_rows(full.select(*ROW.fieldNames()), f"{folder}/rows/v{newest(spark, folder):06d}")
-    return {"run_id": manifest["run_id"], "executed": min(waiting, budget), "pending": max(waiting - budget, 0), "aborted": waiting > budget}
+        try:
+            runs.append_rows(full.select(*ROW.fieldNames()), target)
+        except PySparkException as e:
+            if _BAD_REPLY in str(e):
+                raise AdapterError(str(e)[str(e).index(_BAD_REPLY) :].split("\n")[0]) from e
+            raise
+        executed += min(size, waiting - executed)
+    return {"run_id": manifest["run_id"], "executed": executed, "pending": waiting - executed, "aborted": waiting > budget}
 
 
 def score(spark: SparkSession, folder: str, samples: DataFrame | None = None) -> dict:
@@ -162,10 +190,27 @@ def score(spark: SparkSession, folder: str, samples: DataFrame | None = None) ->
         parsed, value, name = scorer(suite)
         out = cells.rescore(now.join(items.select("item_id", "expected"), "item_id"), parsed, value, name)
     version = newest(spark, folder) + 1
-    runs.append_rows(out.select(*ROW.fieldNames()), f"{folder}/rows/v{version:06d}")
-    written = rows(spark, folder)
-    runs.check_same_rows(now, written)
-    return reports.score_summary(written).first().asDict()
+    aside = f"{folder}/aside/v{version:06d}"
+    out.select(*ROW.fieldNames()).write.mode("overwrite").partitionBy("run_id", "model").parquet(aside)
+    runs.check_same_rows(now, spark.read.schema(ROW).parquet(aside))
+    runs.move(spark, aside, f"{folder}/rows/v{version:06d}")
+    return reports.score_summary(rows(spark, folder)).first().asDict()
+
+
+def judged(spark: SparkSession, folder: str, judges: list[str], samples: int, replies: Replies) -> DataFrame:
+    """Judge samples of a run, written below its folder before they are read, so that no judge is called twice."""
+    if not judges:
+        raise ScoringError("a rubric run needs judges")
+    for name in judges:
+        suites.safe_name(name, "judge", ScoringError)
+    suites.whole(samples, 1, "samples", ScoringError)
+    _, suite = runs.open_run(spark, folder)
+    if suite["scoring"]["type"] != "rubric":
+        raise ScoringError("only rubric suites have judges")
+    made = services.judge_samples(rows(spark, folder), suites.item_frame(spark, suite), judges, samples, replies)
+    target = f"{folder}/judged/v{newest(spark, folder):06d}"
+    made.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def report(spark: SparkSession, folder: str) -> tuple[dict, list[dict]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text as X
-from gaugeworks.functions.views import oracle, table, view
+from gaugeworks.functions.views import CLAIM_COLUMNS, oracle, table, view
 from gaugeworks.operators import calibration as C
 from gaugeworks.operators import cells, evidence, judging, replies, reports
 
@@ -77,12 +77,12 @@ def report_roster_complete(s, d):
 
 
 def _grid(s, d):
+    """Three samples of every item for four models, one of which has no rows."""
     items = rows(s, d).select("item_id").distinct()
-    roster = rows(s, d).select("model").distinct()
-    return cells.sweep_grid(items, roster, 2)
+    return cells.sweep_grid(items, s.createDataFrame([(m,) for m in ROSTER], "model string"), 3)
 
 
-_GRID = "grid as (select m.model, i.item_id, k.sample_k from (select distinct item_id from run_rows) i cross join (select distinct model from run_rows) m cross join (select 0 as sample_k union all select 1) k)"
+_GRID = "grid as (select m.model, i.item_id, k.sample_k from (select distinct item_id from run_rows) i cross join (values ('view'), ('click'), ('purchase'), ('absent')) m(model) cross join (values (0), (1), (2)) k(sample_k))"
 _KEYS = "g.model = r.model and g.item_id = r.item_id and g.sample_k = r.sample_k"
 
 
@@ -209,7 +209,7 @@ def judge_median(s, d):
 
 
 @query("""with m as (select item_id, judge, median(truth) as median from judge_samples where ok and truth is not null group by all), t as (select item_id, avg(median) as m from m group by 1)
-select i.item_id, round(coalesce(t.m / 10, 0), 6) as score, case when t.m is null then 'parse_fail' end as parsed from (select distinct item_id from judge_samples) i left join t on i.item_id = t.item_id""")
+select i.item_id, round(coalesce(t.m / 10, 0), 6) as score, coalesce(cast(t.m as varchar), 'parse_fail') as parsed from (select distinct item_id from judge_samples) i left join t on i.item_id = t.item_id""")
 def rubric_item_score(s, d):
     return judging.item_scores(_samples(s, d))
 
@@ -227,8 +227,8 @@ def judge_gate(s, d):
     return judging.offenders(judge_parse_stats(s, d), 0.3)
 
 
-@query("""select event_id, case kind when 0 then 'm1' when 3 then 'm1' when 6 then 'm1' else 'alias' end as model_id_resolved, case when kind < 2 then 'success' when kind = 2 then 'no_response' else 'error' end as state,
- case kind when 3 then 'truncated' when 4 then 'non_json_body' when 5 then 'bad_envelope' when 6 then 'bad_envelope' when 7 then 'timeout' end as reason, case when kind < 2 then 'hello' else '' end as response_raw from envelopes""")
+@query("""select event_id, case kind when 0 then 'm1' when 3 then 'm1' when 6 then 'm1' else 'alias' end as model_id_resolved, case when kind < 2 then 'success' when kind in (2, 6) then 'no_response' else 'error' end as state,
+ case kind when 3 then 'truncated' when 4 then 'non_json_body' when 5 then 'bad_envelope' when 7 then 'timeout' end as reason, case when kind < 2 then 'hello' else '' end as response_raw from envelopes""")
 def envelope_openai(s, d):
     return replies.chat_reply(view(s, d, "envelopes"), F.lit("alias")).select("event_id", "model_id_resolved", "state", "reason", "response_raw")
 
@@ -236,40 +236,47 @@ def envelope_openai(s, d):
 @query("""select event_id, case kind when 0 then 'm2' else 'alias' end as model_id_resolved, case kind when 0 then 'success' when 6 then 'no_response' else 'error' end as state,
  case kind when 1 then 'truncated' when 2 then 'os_error' when 3 then 'bad_envelope' when 4 then 'non_json_body' when 5 then 'bad_envelope' when 7 then 'os_error' end as reason, case when kind = 0 then 'fine' else '' end as response_raw from envelopes""")
 def envelope_cli(s, d):
-    return replies.cli_reply(view(s, d, "envelopes"), F.lit("alias")).select("event_id", "model_id_resolved", "state", "reason", "response_raw")
+    return replies.cli_reply(view(s, d, "envelopes").drop("transport"), F.lit("alias")).select("event_id", "model_id_resolved", "state", "reason", "response_raw")
 
 
-@query("""select state, reason, count(*) as n from (select case when kind < 2 then 'success' when kind = 2 then 'no_response' else 'error' end as state,
- case kind when 3 then 'truncated' when 4 then 'non_json_body' when 5 then 'bad_envelope' when 6 then 'bad_envelope' when 7 then 'timeout' end as reason from envelopes) t group by all""")
+@query("""select state, reason, count(*) as n from (select case when kind < 2 then 'success' when kind in (2, 6) then 'no_response' else 'error' end as state,
+ case kind when 3 then 'truncated' when 4 then 'non_json_body' when 5 then 'bad_envelope' when 7 then 'timeout' end as reason from envelopes) t group by all""")
 def classify_responses(s, d):
     return envelope_openai(s, d).groupBy("state", "reason").agg(F.count("*").alias("n"))
 
 
-_FIRST_LINE = "sha256(string_split(text, chr(10))[1])"
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: Lines of every document; a last empty one does not count.
+_LINES = f"lined as (select doc_id, case when parts[-1] = '' then parts[:-2] else parts end as lines from (select doc_id, string_split_regex(text, '{_ENDS}') as parts from documents where text <> '') t)"
 
 
-@query(f"select doc_id, {_FIRST_LINE} as quote_sha256 from documents where text is not null and text <> ''")
+@query(f"with {_LINES} select doc_id, case when 1 + doc_id % 3 <= len(lines) then sha256(array_to_string(lines[1 + doc_id % 3:], chr(10))) end as quote_sha256 from lined")
 def quote_sha256(s, d):
-    one = F.lit(1)
-    return table(s, d, "documents").where("text <> ''").select("doc_id", X.quote_hash(F.col("text"), one, one).alias("quote_sha256"))
+    """From the first, second or third line to the last one; null where the document is shorter."""
+    text = F.col("text")
+    quote = X.quote_hash(text, (1 + F.col("doc_id") % 3).cast("int"), F.size(X.text_lines(text)))
+    return table(s, d, "documents").where("text <> ''").select("doc_id", quote.alias("quote_sha256"))
 
 
 def _cited(s, d):
-    docs = table(s, d, "documents").where("text <> ''").select(F.col("doc_id").cast("string").alias("file"), "text")
-    claims = view(s, d, "claims")
+    """(claims, their citations, the cited files): a citation's hash is the file's at the time, or another."""
+    docs = table(s, d, "documents")
     first = X.quote_hash(F.col("text"), F.col("line_from"), F.col("line_to"))
-    cited = claims.withColumn("file", F.col("doc_id").cast("string")).join(docs, "file", "left")
-    stored_hash = F.when(F.col("mutated"), F.sha2(F.lit("changed"), 256)).otherwise(first)
-    return claims, cited.select("claim_id", "status", "file", "line_from", "line_to", stored_hash.alias("quote_sha256")), docs
+    stored_hash = F.when(F.col("mutated"), F.sha2(F.lit("changed"), 256)).otherwise(first).alias("quote_sha256")
+    cited = docs.selectExpr(*CLAIM_COLUMNS, "text").select("claim_id", "status", F.col("doc_id").cast("string").alias("file"), "line_from", "line_to", stored_hash)
+    return view(s, d, "claims"), cited, docs.where("text <> ''").select(F.col("doc_id").cast("string").alias("file"), "text")
 
 
-@query("select claim_id, case when mutated then 'STALE' else status end as status, mutated as newly_stale from claims")
+_ISSUES = f"{_LINES}, checked as (select claim_id, status, case when lines is null then 'missing_file' when line_to > len(lines) then 'bad_lines' when mutated then 'quote_changed' end as reason from claims c left join lined l on c.doc_id = l.doc_id)"
+
+
+@query(f"with {_ISSUES} select claim_id, case when reason is not null then 'STALE' else status end as status, reason is not null as newly_stale from checked")
 def ledger_audit(s, d):
     claims, cited, docs = _cited(s, d)
     return evidence.audit(claims, evidence.issues(cited, docs)).select("claim_id", "status", "newly_stale")
 
 
-@query("select claim_id, 'quote_changed' as reason from claims where mutated")
+@query(f"with {_ISSUES} select claim_id, reason from checked where reason is not null")
 def audit_issues(s, d):
     _, cited, docs = _cited(s, d)
     return evidence.issues(cited, docs).select("claim_id", "reason")
@@ -404,8 +411,16 @@ _BOUNDS = "select n_nationkey, cast(n_nationkey - 12 as double) as low, cast(n_n
 
 @query(f"select *, case when low > 5 then 'CANDIDATE_ADVANTAGE' when high < -5 then 'REFERENCE_ADVANTAGE' else 'INCONCLUSIVE' end as decision from ({_BOUNDS})")
 def decision(s, d):
-    bounds = table(s, d, "nation").selectExpr("n_nationkey", "cast(n_nationkey - 12 as double) as low", "cast(n_nationkey - 10 as double) as high")
-    return C.superiority(bounds)
+    return C.superiority(_bounds(s, d))
+
+
+def _bounds(s, d):
+    return table(s, d, "nation").selectExpr("n_nationkey", "cast(n_nationkey - 12 as double) as low", "cast(n_nationkey - 10 as double) as high")
+
+
+@query(f"select *, case when low > -5 then 'CANDIDATE_ELIGIBLE' when high < -5 then 'REFERENCE_REQUIRED' else 'UNRESOLVED' end as decision from ({_BOUNDS})")
+def non_inferiority(s, d):
+    return C.non_inferiority(_bounds(s, d))
 
 
 _Z = "chr(0)"
@@ -418,10 +433,27 @@ base as (select *, row_number() over (partition by family order by m, model) - 1
 select b.family, task_id, sample_k, digest, family_ordinal, model, cast((at_ - family_ordinal % 3 + 3) % 3 as int) as position from placed b join base on b.family = base.family""")
 def block_schedule(s, d):
     customer, nation = table(s, d, "customer"), table(s, d, "nation")
-    tasks = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("family"), F.col("c_custkey").cast("string").alias("task_id"), F.lit(1).alias("sample_k"))
+    tasks = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("family"), F.col("c_custkey").cast("string").alias("task_id"), F.lit(1).alias("sample_k"))
     return C.block_schedule(tasks, s.createDataFrame([("m1",), ("m2",), ("m3",)], "model string"), "seed")
 
 
-@query()
+_PICK = "0"
+for _at in range(8):
+    _PICK = f"(({_PICK}) * 4294967296 + cast('0x' || substr(h, {8 * _at + 1}, 8) as bigint)) % k"
+
+
+@query(f"""with tasks as (select cluster_id, task_id, avg(a_pass) - avg(b_pass) as delta from arms group by all), clusters as (select cluster_id, sum(delta) as delta, count(*) as n, row_number() over (order by cluster_id) - 1 as pick from tasks group by 1),
+hashed as (select i, k, sha256('bootstrap-v1' || {_Z} || 'analysis' || {_Z} || i || {_Z} || d) as h from (select count(*) as k from clusters) t, range(10000) a(i), range((select count(*) from clusters)) b(d)),
+picked as (select i, {_PICK} as pick from hashed), deltas as (select i, 100 * sum(delta) / sum(n) as delta from picked p join clusters c on p.pick = c.pick group by 1), sorted as (select list_sort(list(delta)) as s from deltas)
+select round(s[250], 6) as low, round(s[9750], 6) as high from sorted""")
 def cluster_bootstrap(s, d):
     return C.interval(C.cluster_bootstrap(view(s, d, "arms"), "analysis"))
+
+
+@query(f"""with tasks as (select cast(task_id % 4 as int) as scope, cluster_id, task_id, avg(a_pass) - avg(b_pass) as delta from arms group by all), clusters as (select scope, cluster_id, sum(delta) as delta, count(*) as n, row_number() over (partition by scope order by cluster_id) - 1 as pick from tasks group by 1, 2),
+sizes as (select scope, count(*) as k from clusters group by 1), hashed as (select scope, i, k, sha256('bootstrap-v1' || {_Z} || 'analysis/' || scope || {_Z} || i || {_Z} || d) as h from sizes, range(1000) a(i), lateral (select unnest(range(k)) as d) b),
+picked as (select scope, i, {_PICK} as pick from hashed), deltas as (select p.scope, i, 100 * sum(delta) / sum(n) as delta from picked p join clusters c on p.scope = c.scope and p.pick = c.pick group by 1, 2), sorted as (select scope, list_sort(list(delta)) as s from deltas group by 1)
+select scope, round(s[6], 6) as low, round(s[994], 6) as high, case when round(s[6], 6) > -5 then 'CANDIDATE_ELIGIBLE' when round(s[994], 6) < -5 then 'REFERENCE_REQUIRED' else 'UNRESOLVED' end as decision from sorted""")
+def scope_decisions(s, d):
+    """Four scopes share the error of their intervals."""
+    return C.scope_decisions(view(s, d, "arms").withColumn("scope", (F.col("task_id") % 4).cast("int")), "analysis", 4, iterations=1000)

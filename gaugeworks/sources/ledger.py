@@ -11,6 +11,7 @@ from gaugeworks.errors import LedgerError
 from gaugeworks.functions.text import BLANKS
 from gaugeworks.operators.evidence import line_range
 from gaugeworks.schemas import CLAIM, STATUSES
+from gaugeworks.sources.runs import log_lines
 
 _REQUIRED = {"claim_id", "statement", "decision_surface", "sources", "status", "evidence", "last_verified_utc"}
 
@@ -39,15 +40,15 @@ def violations(claims: DataFrame) -> DataFrame:
 
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Claims; any blank or broken line, unknown or missing key, or broken rule is fatal."""
-    raw = spark.read.text(path, wholetext=True).where(F.btrim("value", F.lit(BLANKS)) != "")
-    # one newline may end the file
-    lines = raw.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("at", "line"))
+    lines = log_lines(spark, path)
+    if not lines.where(F.btrim("line", F.lit(BLANKS)) != "").take(1):
+        return spark.createDataFrame([], CLAIM)
     keys, names = F.json_object_keys("line"), CLAIM.fieldNames()
     unknown = F.size(F.array_except(keys, F.array(*map(F.lit, names)))) > 0
     missing = F.size(F.array_except(F.array(*map(F.lit, sorted(_REQUIRED))), keys)) > 0
     bad = lines.where(F.try_parse_json("line").isNull() | F.coalesce(unknown | missing, F.lit(True))).take(3)
     if bad:
-        raise LedgerError(f"bad ledger lines: {[r['at'] + 1 for r in bad]}")
+        raise LedgerError(f"bad ledger lines: {[r['line'][:60] for r in bad]}")
     claims = lines.select(F.from_json("line", CLAIM).alias("c")).select("c.*")
     broken = violations(claims).take(5)
     if broken:

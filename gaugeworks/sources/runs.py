@@ -46,6 +46,20 @@ _TYPES = {"string": "STRING", "double": "DOUBLE|DECIMAL.*|BIGINT", "int": "BIGIN
 _NULLABLE = {"parsed", "score", "scorer", "judge_scores", "error"}
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, last, torn) of JSON-lines logs: ``torn`` marks a last line without its newline.
+
+    Files are split between tasks as any text.  The bytes of a file's lines,
+    each with a newline, make one more than its size where the last one has none.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_at"), F.col("value").alias("line")
+    )
+    files = lines.groupBy("file").agg(F.max("_at").alias("_last"), (F.sum(F.octet_length("line") + 1) > F.max("_size")).alias("_open"))
+    last = F.col("_at") == F.col("_last")
+    return lines.join(files, "file").select("file", "line", last.alias("last"), (last & F.col("_open")).alias("torn"))
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON-lines log, tolerant of one torn tail.
 
@@ -53,11 +67,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     another type.  A bad last line that lacks its newline is dropped; any
     other bad line is fatal, and the check runs before rows are given out.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = lines.select("file", F.posexplode(F.split("value", "\n", -1)).alias("at", "line"))
-    last = lines.groupBy("file").agg(F.max("at").alias("last"))
-    # a text that ends in a newline splits into one more, empty part
-    lines = lines.join(last, "file").where("not (at = last and line = '')")
+    lines = log_lines(spark, path)
     doc = F.try_parse_json("line")
     keys = F.json_object_keys("line")
     names = ROW.fieldNames()
@@ -67,9 +77,9 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
         fits = kind.rlike(rf"\A(?:{_TYPES[f.dataType.simpleString()]})\z")
         good = good & F.coalesce(fits | (kind == "VOID") if f.name in _NULLABLE else fits, F.lit(f.name in _NULLABLE))
     marked = lines.withColumn("good", good)
-    broken = marked.where("not good and at < last").select("file", "at").take(3)
+    broken = marked.where("not good and not torn").select("file", F.substring("line", 1, 60).alias("line")).take(3)
     if broken:
-        raise RunError(f"bad rows before the tail: {[(r[0], r[1] + 1) for r in broken]}")
+        raise RunError(f"bad rows before the tail: {[tuple(r) for r in broken]}")
     return marked.where("good").select(F.from_json("line", ROW).alias("r")).select("r.*")
 
 
@@ -78,11 +88,13 @@ def append_rows(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").partitionBy("run_id", "model").parquet(folder)
 
 
-def write_version(rows: DataFrame, folder: str, version: int) -> str:
-    """A new snapshot beside the ones that are read; a reader is pointed to it once it is whole."""
-    target = f"{folder}/v{version:06d}"
-    rows.write.mode("errorifexists").parquet(target)
-    return target
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Move a whole folder in place; refuses to replace one."""
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target)]
+    store = paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(paths[1].getParent())
+    if store.exists(paths[1]) or not store.rename(*paths):
+        raise RunError(f"{target} is there already or cannot be written")
 
 
 def write_once(spark: SparkSession, value: dict, folder: str) -> None:

@@ -30,7 +30,7 @@ def samples(spark, rows):
 def test_medians_and_gate(spark):
     s = samples(spark, [("A", "1", True, "SCORE: 6"), ("A", "1", True, "none"), ("A", "1", True, "SCORE: 8"), ("B", "1", False, ""), ("B", "1", True, "SCORE: 8"), ("B", "1", True, "SCORE: 6"), ("C", "1", True, "x"), ("C", "1", True, "y"), ("D", "2", False, "")])
     assert {r["judge"]: r["median"] for r in judging.medians(s).collect()} == {"A": 7.0, "B": 7.0}
-    assert {r["item_id"]: (r["score"], r["parsed"]) for r in judging.item_scores(s).collect()} == {"1": (0.7, None), "2": (0.0, "parse_fail")}
+    assert {r["item_id"]: (r["score"], r["parsed"]) for r in judging.item_scores(s).collect()} == {"1": (0.7, "7.0"), "2": (0.0, "parse_fail")}
     stats = judging.parse_stats(s)
     assert {r["judge"]: (r["fail"], r["attempts"]) for r in stats.collect()} == {"A": (1, 3), "B": (0, 2), "C": (2, 2), "D": (0, 0)}
     with pytest.raises(JudgeParseError, match="^C"):

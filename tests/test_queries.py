@@ -30,5 +30,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_entry_without_training_operators(spark, monkeypatch):
-    monkeypatch.setattr(entry, "_llm_present", lambda: False)
+    monkeypatch.setattr(entry, "_module", lambda name: None)
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE_SQL)
