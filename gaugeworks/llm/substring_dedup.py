@@ -1,17 +1,21 @@
-"""Operator 7, substring dedup by windows' hashes, in place of a relative Lempel-Ziv parse.
-
-Every 20-word window that has an earlier place in the collection is found, and
-its words are removed.  Windows are indexed by content-defined seeds: of the
-thirteen 8-word sequences in a 20-word window the least hash is its seed, so
-equal windows have equal seeds, and about one word in seven starts a seed.
-Seeds that occur once end there.  If all runs of windows around a seed are
-equal, the first run is the source of the others; at the boundaries, where they
-differ, each 20-word window is looked up by hash.  A window's source is its
-first place in (doc_id, start) order.
-``factors`` joins neighbouring windows whose first places are neighbours too.
-No match is extended along a reference document, so these factors can overlap:
-a document that copies B whole, where part of B came from A, has several in
-place of the one of a parse.  The removed words are those of the windows.
+"""Operator 7, substring dedup by relative Lempel-Ziv parsing.
+
+Every document is a block of the reference, which indexes each 20-word sequence
+at its first place in (doc_id, start) order.  A document is parsed greedily from
+left to right: where the next 20 words have an earlier place, a factor copies
+from there and runs as long as the source runs along in the index; the parse
+goes on behind it.  A sequence has one place, so no choice between sources is
+left, and factors do not overlap.  At a boundary, where the next 20 words have
+no earlier place, the windows across it are looked up too: if one that began
+within the factors before reaches further, its rest is a factor, which may be
+shorter than 20 words.  So factors cover the words of all repeated windows, and
+no others.  Words of factors go.
+
+The index: of the thirteen 8-word sequences in a 20-word window the least hash
+is its seed, so equal windows have equal seeds, and about one word in seven
+starts a seed.  Seeds that occur once end there.  If all runs of windows around
+a seed are equal, the first run is the source of the others as a whole; at the
+boundaries, where they differ, each 20-word window is looked up by hash.
 
 Order and ties: a null doc_id comes first; rows that share a doc_id but not
 the text are ordered by a 64-bit hash of the text; rows equal in both are one
@@ -152,13 +156,26 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def factors(start: np.ndarray, source: np.ndarray, source_tie: np.ndarray, source_at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Sorted repeated windows, joined where their first places run along: (start, words, source doc, source start)."""
+    """The parse of a document from its repeated windows, sorted by distinct start: (start, words, source doc, source start)."""
     if not len(start):
         return []
     new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(source) != 0) | (np.diff(source_tie) != 0) | (np.diff(source_at) != 1)])
     a = np.flatnonzero(new)
-    length = np.diff(np.concatenate([a, [len(start)]])) + WINDOW - 1
-    return list(zip(start[a].tolist(), length.tolist(), source[a].tolist(), source_at[a].tolist()))
+    ends = np.repeat(start[np.append(a[1:], len(start)) - 1] + WINDOW, np.diff(np.append(a, len(start))))  # of each window's run
+    parse, at, n = [], int(start[0]), len(start)
+    while True:
+        i = int(np.searchsorted(start, at))
+        if i < n and start[i] == at:
+            end, k = int(ends[i]), i
+        elif i and start[i - 1] + WINDOW > at:
+            end, k = int(start[i - 1]) + WINDOW, i - 1
+        elif i < n:
+            at = int(start[i])
+            continue
+        else:
+            return parse
+        parse.append((at, end - at, int(source[k]), int(source_at[k]) + at - int(start[k])))
+        at = end
 
 
 _FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
@@ -190,9 +207,8 @@ def _digest(text: str, listed: pa.StructArray | None, found: pa.StructArray | No
     parsed: list[tuple[int, int, int, int]] = []
     keep = np.ones(len(words), dtype=bool)
     if start:
-        begin = np.concatenate(start)
-        order = np.argsort(begin, kind="stable")
-        parsed = factors(begin[order], *(np.concatenate(x)[order] for x in (source, source_tie, source_at)))
+        begin, order = np.unique(np.concatenate(start), return_index=True)  # equal rows list their windows twice
+        parsed = factors(begin, *(np.concatenate(x)[order] for x in (source, source_tie, source_at)))
         for a, length, _, _ in parsed:
             keep[a : a + length] = False
     kept = words if keep.all() else [words[k] for k in np.flatnonzero(keep)]
