@@ -15,8 +15,7 @@ has a fixed size in words.
 u comes from an MD5 of seed, doc_id and text: reruns agree.  c is found from
 words by source and weight class, the cut by three rounds of 4,096 buckets, each
 a grouped sum: no source is ever sorted or gathered, however large.  What stands
-in one task is a row a source for the targets, and at most 4,096 bucket sums a
-source for the cut.
+in one task is a row a source for the targets, and 64 sums a source for the cut.
 
 Null and empty texts have size 0 and are never taken.  Rows equal in doc_id
 and text share u and are taken or left together.  Ties in the last of 2**36
@@ -113,8 +112,7 @@ def cuts(small: DataFrame, goal: DataFrame) -> DataFrame:
         if state is None:
             sure = sums.groupBy("source").agg(F.sum("sure").alias("sure")).withColumnRenamed("source", "_s")
             state = goal.join(sure, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rest", F.col("target") - F.col("sure")).drop("_s", "sure").withColumn("before", F.lit(0.0)).withColumn("prefix", F.lit(0).cast("long"))
-        runs = _on_source(sums, state.select("source", "rest", "before"))
-        runs = runs.withColumn("upto", F.expr("before + sum(words) over (partition by source order by bucket)"))
+        runs = _running(_on_source(sums, state.select("source", "rest", "before")))
         if k < ROUNDS - 1:
             # the bucket in which the words run out; the last one if they never do
             inside = runs.groupBy("source").agg(F.expr("coalesce(min(bucket) filter (where upto > rest), max(bucket))").alias("next"), F.expr("coalesce(min_by(upto - words, bucket) filter (where upto > rest), max_by(upto - words, bucket))").alias("ahead"))
@@ -131,6 +129,15 @@ def cuts(small: DataFrame, goal: DataFrame) -> DataFrame:
     return state.drop("before").withColumnRenamed("prefix", "cut")
 
 
+def _running(sums: DataFrame) -> DataFrame:
+    """Bucket sums with ``upto``, the words of a source up to each bucket; no task orders more than 64 rows of a source."""
+    sums = sums.withColumn("high", F.shiftright("bucket", BITS // 2))
+    highs = sums.groupBy("source", "high").agg(F.sum("words").alias("all"))
+    highs = highs.select(F.col("source").alias("_s"), F.col("high").alias("_h"), F.expr("sum(all) over (partition by source order by high) - all").alias("ahead"))
+    joined = sums.join(highs, F.col("source").eqNullSafe(F.col("_s")) & (F.col("high") == F.col("_h")))
+    return joined.withColumn("upto", F.expr("before + ahead + sum(words) over (partition by source, high order by bucket)")).drop("_s", "_h", "high", "ahead")
+
+
 def _on_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Join to a table with one row per source; small ones are broadcast by Spark's own threshold."""
     table = table.withColumnRenamed("source", "_source")
