@@ -85,8 +85,8 @@ def pack(ids: list[int], length: int) -> list[bytes]:
 
 #: Bytes of sequences that a task remembers, so that copies of a text are tokenised once.
 REMEMBERED = 32 << 20
-#: Bytes of sequences that a range partition is to hold, about; one shard at least.
-PARTITION = 64 << 20
+#: Bytes of sequences that a range partition is to hold, about, and the most partitions; one shard at least each.
+PARTITION, MOST_RANGES = 16 << 20, 100_000
 
 PACKED = "at long, doc_id long, part int, n_tokens int, tokens binary"
 
@@ -147,7 +147,7 @@ def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
         return pd.Series(Feistel(total, key).permute(number.to_numpy()))
 
     shards = -(-total // per_shard)
-    ranges = max(1, min(shards, max(spark.sparkContext.defaultParallelism, total * 2 * length // PARTITION)))
+    ranges = max(1, min(shards, MOST_RANGES, max(spark.sparkContext.defaultParallelism, total * 2 * length // PARTITION)))
     placed = packed.join(offsets, "task").withColumn("slot", slot_of(F.col("before") + F.col("at")))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).withColumn("byte_offset", F.col("slot") % per_shard * (2 * length))
     dealt = placed.repartitionById(ranges, F.expr(f"cast(shard * {ranges}L div {max(1, shards)} as int)")).sortWithinPartitions("slot")
