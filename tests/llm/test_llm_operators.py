@@ -221,6 +221,44 @@ def test_substring_duplicates(spark, docs, none):
     assert substring_dedup.substring_duplicates(none).count() == 0
 
 
+def test_factors_are_a_greedy_parse(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [prose(80) for _ in range(6)]
+    texts.append(texts[0][10:50] + texts[1][5:60] + prose(9) + texts[2][:30])  # two sources side by side
+    texts.append(prose(5) + texts[6] + texts[3][40:])  # a copy of a copy
+    texts.append(texts[4][:25] + texts[4][20:45])  # sources that overlap in the document's own windows
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in substring_dedup.substring_duplicates(docs).collect()}
+    place = {}  # of every 20-word sequence, its first
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 19):
+            place.setdefault(tuple(w[k : k + 20]), (i, k))
+    for i, w in enumerate(texts):
+        repeated = {k: place[tuple(w[k : k + 20])] for k in range(len(w) - 19) if place[tuple(w[k : k + 20])] != (i, k)}
+        want, at = [], 0
+        while at < len(w):
+            across = [k for k in range(max(0, at - 19), at) if k in repeated]
+            if at in repeated:
+                (source, k), n = repeated[at], 20  # as long as the source runs along in the reference
+                while repeated.get(at + n - 19) == (source, k + n - 19):
+                    n += 1
+                want.append((at, n, source, k))
+            elif across:
+                source, k = repeated[across[-1]]
+                n = across[-1] + 20 - at
+                want.append((at, n, source, k + at - across[-1]))
+            else:
+                n = 1
+            at += n
+        assert [tuple(f) for f in found[i]["factors"]] == want
+        assert sum(f[1] for f in want) == found[i]["n_removed"]
+        assert all(w[a : a + n] == texts[s][k : k + n] for a, n, s, k in want)
+    assert [f["source"] for f in found[6]["factors"]] == [0, 1, 2] and [f["source"] for f in found[7]["factors"]] == [0, 1, 6, 2, 3]
+    assert any(f["words"] < 20 for f in found[7]["factors"])
+
+
 def test_substrings_of_rows_that_share_a_doc_id(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(5000)]

@@ -62,12 +62,12 @@ def test_every_stage(spark, tmp_path, monkeypatch):
     given = []
 
     def spied(f):
-        return lambda s, docs, d: (given.append(docs), f(s, docs, d))[1]
+        return lambda s, docs, d: (given.append((sorted(docs.columns), [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])), f(s, docs, d))[1]
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, spied(f)) for name, f in corpus_pipeline.STAGES])
     tokens = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert all(sorted(g.columns) == ["doc_id", "lang", "n_chars", "source", "text"] for g in given)
-    start, clean, single, decontaminated, mixed = ([(r["doc_id"], r["text"]) for r in g.select("doc_id", "text").collect()] for g in given)
+    assert all(columns == ["doc_id", "lang", "n_chars", "source", "text"] for columns, _ in given)
+    start, clean, single, decontaminated, mixed = (found for _, found in given)
     assert {doc: text for doc, text in start} == {r[0]: r[1] for r in rows} and len(start) == len(rows)
 
     harmless = {r[0] for r in rows if "zwirk" not in (r[1] or "")}
@@ -92,3 +92,31 @@ def test_every_stage(spark, tmp_path, monkeypatch):
         assert all(x == found[0] for x in found)
         ids.setdefault(doc, []).extend(found[0])
     assert {doc: decode.decode(x[:-1]) for doc, x in ids.items()} == {doc: text or "" for doc, text in mixed}
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, ties, a long text, extra columns with the names that stages use; and empty tables."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("ka lo mi nu pe ra si to".split()) + str(rng.randrange(90)) for _ in range(n))
+    long, one, two = prose(20_000), prose(50), prose(40)
+    texts = [(1, one), (1, one), (1, one + " tail"), (2, one), (None, one), (None, two), (None, two), (3, None), (None, None), (4, ""), (5, long), (6, long + " more"), (7, two), (8, prose(30)), (8, prose(30))]
+    names = ["_row", "_lower", "_lang", "_copy", "_own", "size", "tie", "sk", "score", "threshold", "u", "copies", "slot"]
+    rows = [(i, t, None if k % 3 else "en", None if k % 4 else "s", None, *range(len(names))) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, None, None), (None, 1, 1), (8, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "words that stand nowhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/a/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")] and docs.schema == spark.read.parquet(f"{tmp_path}/a/documents.parquet").schema
+        kept.append([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert len(kept[0]) == len(texts)
+    first = set(kept[1]) - {(7, two), (5, long), (3, None), (None, None), (4, ""), *texts[-2:]}
+    assert len(kept[1]) == 8 and len(first) == 1 and first <= {(1, one), (1, one + " tail")}
+    assert kept[2] != [] and sorted(map(str, kept[2])) == sorted(map(str, kept[1])) and all(text for _, text in kept[3])
+    tokens = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted(r["slot"] for r in tokens) == list(range(len(tokens))) and tokens
+    for table, columns in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/b/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
