@@ -1,9 +1,18 @@
 """From raw documents to token shards: five stages, each written as Parquet and read again.
 
 Every stage works on all rows that its predecessor kept.  All but the last
-return the columns of documents; the last returns the sequences of the token
-shards.  SQL cannot express a trained classifier or a BPE tokeniser, so there
-is no ORACLE_SQL; tests hold the stages against brute force.
+return the columns of documents, extra ones included, whatever their names; the
+last returns the sequences of the token shards.  SQL cannot express a trained
+classifier or a BPE tokeniser, so there is no ORACLE_SQL; tests hold the stages
+against brute force.
+
+Null and empty texts pass the first three stages (they hold nothing toxic, link
+with nothing and match no item) and end in mixing, which takes words only.  A
+null doc_id is a value like any other and stands last within a near-duplicate
+group, first in training order.  Of rows that repeat doc_id and text one stays;
+of ties in a group, the least doc_id and then the least hash of the text.
+Without usable labels the first stage keeps all; without benchmark items the
+third does; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,5 +64,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir), free=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
