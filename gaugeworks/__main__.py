@@ -83,6 +83,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--goldens")
     p.add_argument("--reviews")
     p.add_argument("--patches", help="Parquet table (sha, committed_at, patch)")
+    p.add_argument("--git", help="repository whose newest commits are read")
+    p.add_argument("--limit", type=int, default=harvest.MAX_COMMITS, help="commits to read")
     p.add_argument("--name", default="stub")
     p.add_argument("--write", required=True)
     return top
@@ -206,9 +208,10 @@ def _author(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     parts = [harvest.goldens(spark, a.goldens)] if a.goldens else []
     parts += [harvest.reviews(spark, a.reviews)] if a.reviews else []
-    parts += [harvest.patches(spark.read.parquet(a.patches))] if a.patches else []
+    parts += [harvest.patches(spark.read.parquet(a.patches), a.limit)] if a.patches else []
+    parts += [harvest.patches(harvest.git_commits(spark, a.git, a.limit), a.limit)] if a.git else []
     if not parts:
-        raise GaugeError("name a source: --goldens, --reviews or --patches")
+        raise GaugeError("name a source: --goldens, --reviews, --patches or --git")
     everything = evidence.union_sources(parts)
     kept = evidence.dedup(everything, ["prompt", "expected"], ["source_ordinal", "id"])
     kept.select(F.to_json(F.struct("expected", "id", "prompt", "provenance")).alias("value")).write.mode("errorifexists").text(a.write)
