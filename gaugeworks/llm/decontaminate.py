@@ -20,17 +20,17 @@ Texts are whole, in lower case, and words are runs of letters and digits, so
 shouting and marks around words do not hide a copy.  Null or empty texts match
 nothing; items of fewer than three words have no seed and match nothing
 (``unseeded`` names them).  Rows with equal doc_ids are scored by themselves;
-equal rows give equal results; rows of the stage travel whole, so no column name
-can clash; an empty table or benchmark gives no hits.
+equal rows give equal results; the stage adds no column, so no name can clash;
+an empty table or benchmark gives no hits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -236,20 +236,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no copy of an item, in place: no shuffle."""
-    rows = docs.select(F.struct("*").alias("_row"), F.lower("text").alias("_lower"))
-    for shared in _shared(docs.sparkSession, benchmark):
+def _holds(shared) -> Callable[[Column], Column]:
+    """Whether a text holds a copy of an item of a block."""
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = _matcher(shared.value)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[f[0] for f in match(batch.column("_lower"))]] = False
-                yield batch.filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        match = _matcher(shared.value)
+        for column in columns:
+            found = np.zeros(len(column), dtype=bool)
+            found[[f[0] for f in match(column)]] = True
+            yield pa.array(found)
+
+    return holds
 
-        rows = rows.mapInArrow(clean, rows.schema)
-    return rows.select("_row.*")
+
+def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of an item, in place: no shuffle, and only texts go to the workers."""
+    for shared in _shared(docs.sparkSession, benchmark):
+        docs = docs.where(~_holds(shared)(F.lower("text")))
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
