@@ -59,7 +59,7 @@ def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = (
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written[path] = spark
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", codec).parquet(path)

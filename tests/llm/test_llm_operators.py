@@ -116,7 +116,9 @@ def test_stage_keeps_one_row_of_each_group(spark):
     assert len(kept) == 7 and {(i, groups[t]) for i, t in kept} == {(1, a), (3, b), (None, c), (9, d), (3, e), (7, None), (8, "")}
 
 
-def test_large_groups_are_decided_in_blocks(spark, docs, monkeypatch):
+@pytest.mark.parametrize("parts", [64, 0])
+def test_large_groups_are_decided_in_blocks(spark, docs, monkeypatch, parts):
+    monkeypatch.setattr(near_dedup, "MOST_PARTS", parts)
     monkeypatch.setattr(near_dedup, "GROUP_SETS", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     monkeypatch.setattr(near_dedup, "LEADERS", 1)
@@ -124,6 +126,24 @@ def test_large_groups_are_decided_in_blocks(spark, docs, monkeypatch):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in rows) == brute_components(corpus())
 
 
+@pytest.mark.parametrize("parts", [64, 0])
+def test_large_group_with_many_apart(spark, monkeypatch, parts):
+    """Candidates that fall short of the bound, in a chain: most of the group lies outside the first leader's component."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(60):
+        for _ in range(2 if k % 3 else 5):  # every third step is too far for a link, but not for the estimate
+            words[rng.randrange(120)] = f"edit{k}.{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    for name, value in (("GROUP_SETS", 3), ("BLOCK", 4), ("LEADERS", 2), ("MOST_PARTS", parts)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == want and 3 < len({x[2] for x in want}) < 60
+
+
 def test_nodes_of_different_members_are_all_compared(spark):
     hashes = np.array([r[0] for r in spark.range(4000).selectExpr("xxhash64(id) >> 24").collect()])
     a, b = np.triu_indices(4000, 1)
