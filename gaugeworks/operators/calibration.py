@@ -96,9 +96,11 @@ def draws(spark, seed: str, iterations: int, k: int) -> DataFrame:
     """
     grid = spark.range(iterations * k).select(F.expr(f"id div {k}").alias("i"), (F.col("id") % k).alias("d"))
     digest = F.sha2(F.concat_ws("\0", F.lit("bootstrap-v1"), F.lit(seed), F.col("i").cast("string"), F.col("d").cast("string")), 256)
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(digest, j * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    pick = F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, x: (acc * F.lit(4294967296) + x) % k)
-    return grid.select("i", pick.alias("pick")).groupBy("i", "pick").agg(F.count("*").alias("times"))
+    pick = F.lit(0).cast("long")
+    for at in range(1, 65, 8):
+        pick = (pick * F.lit(4294967296) + F.conv(F.substring("h", at, 8), 16, 10).cast("long")) % k
+    # the digest has a projection of its own, since eight terms name it
+    return grid.select("i", digest.alias("h")).select("i", pick.alias("pick")).groupBy("i", "pick").agg(F.count("*").alias("times"))
 
 
 def cluster_bootstrap(arms: DataFrame, seed: str, iterations: int = 10_000) -> DataFrame:
