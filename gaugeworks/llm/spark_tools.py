@@ -45,7 +45,8 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go with the query, and workers get 1,000 texts at a time.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = ()) -> DataFrame:
@@ -54,17 +55,19 @@ def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = (
     The table survives lost executors, is computed once however often it is
     read, and goes when the driver ends; Spark removes the shuffle files of the
     write when it ends.  ``free`` names stored tables whose last reader this
-    is; they go at once.
+    is; they go at once.  Settings that the session has of its own stay.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written[path] = spark
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    ours = {k: v for k, v in WRITING.items() if spark.conf.get(k, None) is None}
     try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k in ours:
+            spark.conf.unset(k)
     release(*free)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path

@@ -84,7 +84,7 @@ def pack(ids: list[int], length: int) -> list[bytes]:
 
 
 #: Bytes of sequences that a task remembers, so that copies of a text are tokenised once.
-REMEMBERED = 32 << 20
+REMEMBERED = 16 << 20
 #: Bytes of sequences that a range partition is to hold, about, and the most partitions; one shard at least each.
 PARTITION, MOST_RANGES = 16 << 20, 100_000
 
