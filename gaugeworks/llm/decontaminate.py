@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gaugeworks.llm import words as W
-from gaugeworks.llm.spark_tools import documents
+from gaugeworks.llm.spark_tools import documents, tidied
 
 SEED, MIN_SCORE, BLOCK_BYTES = 3, 0.5, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["doc_id", "item_id", "score", "doc_start", "doc_end", "n_seeds"],
                     )
 
-        out = out.unionByName(rows.mapInArrow(hits, schema))
+        out = out.unionByName(rows.mapInArrow(tidied(hits), schema))
     return out
 
 
@@ -240,6 +240,7 @@ def _holds(shared) -> Callable[[Column], Column]:
     """Whether a text holds a copy of an item of a block."""
 
     @F.arrow_udf("boolean")
+    @tidied
     def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = _matcher(shared.value)
         for column in columns:

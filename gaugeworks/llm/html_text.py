@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm.spark_tools import documents
+from gaugeworks.llm.spark_tools import documents, tidied
 
 WINDOW, SURGE, OUTSIDE = 3, 86, 4
 
@@ -292,7 +292,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x.as_py()) for x in batch.column("html")]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidied(run), f"page_id {id_type}, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.spark_tools import documents
+from gaugeworks.llm.spark_tools import documents, tidied
 
 UNIT, FRAME, LACE, CLUSTER_MS = 64, 4096, 8, 30_000
 
@@ -287,7 +287,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 files = [mux(pad((x.as_py() or "").encode())) for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(files, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, media binary")
 
 
 def packet_table(files: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def packet_table(files: DataFrame) -> DataFrame:
                     columns = zip(*rows[at : at + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, PACKETS)
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(tidied(run), PACKETS)
 
 
 def digest(files: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def digest(files: DataFrame) -> DataFrame:
                 columns = [pa.array(c, pa.int64() if isinstance(c[0], int) else pa.string()) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, RESULT)
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), RESULT)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,4 +340,4 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 files = [mux(pad(raw)) for raw in raws]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in raws], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return digest(docs.mapInArrow(run, "doc_id long, n_bytes long, media binary"))
+    return digest(docs.mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +128,24 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tu
     return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_before", "_at"), total
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(work: Work) -> Work:
+    """``work`` on the batches of a task, after which the worker gives its free memory back: Spark keeps workers for later tasks."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``work`` on runs of whole groups of a long, non-null key.
 
@@ -155,7 +176,7 @@ def by_group(df: DataFrame, key: str, work: Callable[[pa.Table, np.ndarray], Ite
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(tidied(run), schema)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +212,7 @@ def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
     with over ``hub`` edges and over a 256th of all edges, of which there are
     at most 512, are broadcast, so that the edges of a hub stay where they are.
     """
-    now, seen = stored(edges.select("u", "v").mapInArrow(_forest, "u long, v long").distinct()), None
+    now, seen = stored(edges.select("u", "v").mapInArrow(tidied(_forest), "u long, v long").distinct()), None
     while True:
         state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if state == seen:

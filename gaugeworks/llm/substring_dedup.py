@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import words as W
-from gaugeworks.llm.spark_tools import documents, hot_join, stored
+from gaugeworks.llm.spark_tools import documents, hot_join, stored, tidied
 
 WINDOW, SEED = 20, 8
 SPREAD = WINDOW - SEED + 1
@@ -231,7 +231,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, n_words, n_removed, kept_sha256, factors) for each row of docs(doc_id, text)."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    seeds = rows.mapInArrow(_seeds, "seed long, span long, doc_id long, tie long, at int")
+    seeds = rows.mapInArrow(tidied(_seeds), "seed long, span long, doc_id long, tie long, at int")
     counts = stored(seeds.groupBy("seed").agg(F.count("*").alias("cnt")).where("cnt > 1"))
     repeated = stored(hot_join(seeds, counts.withColumn("again", F.lit(True)).drop("cnt"), "seed", counts).where("again").drop("again"))
     # where all runs of a seed are equal, the first is the source of all; elsewhere windows decide
@@ -239,17 +239,17 @@ def substring_duplicates(docs: DataFrame) -> DataFrame:
     runs = hot_join(repeated.select("seed", "doc_id", "tie", "at"), first, "seed", counts).where("not one or f.doc_id <> doc_id or f.tie <> tie or f.at <> at")
     place = F.struct(F.col("at").alias("place"), *(F.expr(f"if(one, f.{x}, null)").alias(y) for x, y in (("doc_id", "source"), ("tie", "source_tie"), ("at", "source_at"))))
     places = runs.groupBy("doc_id", "tie").agg(F.collect_list(place).alias("places"))
-    split = rows.join(places, ["doc_id", "tie"], "left").mapInArrow(_split, f"{PARSED}, text string, places {_PLACES}")
+    split = rows.join(places, ["doc_id", "tie"], "left").mapInArrow(tidied(_split), f"{PARSED}, text string, places {_PLACES}")
     split = stored(split, "zstd", free=(repeated, first, counts))
     open_ = split.where("places is not null").select("doc_id", "tie", "text", "places")
-    windows = open_.mapInArrow(_windows, "value long, doc_id long, tie long, at int")
+    windows = open_.mapInArrow(tidied(_windows), "value long, doc_id long, tie long, at int")
     first = windows.groupBy("value").agg(F.min(F.struct("doc_id", "tie", "at")).alias("f"), F.count("*").alias("cnt")).where("cnt > 1")
     first = stored(first.select("value", F.col("f.doc_id").alias("source"), F.col("f.tie").alias("source_tie"), F.col("f.at").alias("source_at"), "cnt"))
     known = hot_join(windows, first.drop("cnt"), "value", first.select("value", "cnt"))
     later = known.where("doc_id <> source or tie <> source_tie or at <> source_at")
     window = F.struct(F.col("at").alias("start"), "source", "source_tie", "source_at")
     found = stored(later.groupBy("doc_id", "tie").agg(F.collect_list(window).alias("found")), free=(first,))
-    parsed = open_.join(found, ["doc_id", "tie"], "left").mapInArrow(_parse, PARSED)
+    parsed = open_.join(found, ["doc_id", "tie"], "left").mapInArrow(tidied(_parse), PARSED)
     ready = split.where("places is null").drop("text", "places")
     return parsed.unionByName(ready).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
 

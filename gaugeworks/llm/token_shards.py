@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.feistel import Feistel
-from gaugeworks.llm.spark_tools import documents, stored
+from gaugeworks.llm.spark_tools import documents, stored, tidied
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of the vocabulary in its possessive form, which parts every text as the plain one does but without backtracking.
@@ -126,7 +126,7 @@ def _packed(rows: DataFrame, length: int, vocabulary: str) -> DataFrame:
                 )
                 at += len(blobs)
 
-    return rows.mapInArrow(run, PACKED)
+    return rows.mapInArrow(tidied(run), PACKED)
 
 
 def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -196,7 +196,7 @@ def write_shards(sequences: DataFrame, folder: str, length: int = LENGTH, per_sh
         if blobs:
             yield write(now, blobs)
 
-    made = sequences.select("slot", "tokens").mapInArrow(run, "shard int, first_slot long, n_sequences long, sha256 string")
+    made = sequences.select("slot", "tokens").mapInArrow(tidied(run), "shard int, first_slot long, n_sequences long, sha256 string")
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
     return sequences.sparkSession.read.parquet(f"{folder}/manifest")
 

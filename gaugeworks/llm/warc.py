@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.html_text import lines_of, tags_of
-from gaugeworks.llm.spark_tools import documents
+from gaugeworks.llm.spark_tools import documents, tidied
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
@@ -251,7 +251,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         yield from _batches(_records(pieces))
 
     lines = spark.read.option("lineSep", PARTING.decode()).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(run, RECORD)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(tidied(run), RECORD)
 
 
 def _derived(headers: dict[str, str], block: bytes) -> list[Row]:
@@ -268,7 +268,7 @@ def derive(records: DataFrame) -> DataFrame:
         rows = (row for batch in batches for h, b in zip(batch.column("headers"), batch.column("block")) for row in _derived(dict(h.as_py() or []), b.as_py() or b""))
         yield from _batches(rows)
 
-    return records.select("headers", "block").mapInArrow(run, RECORD)
+    return records.select("headers", "block").mapInArrow(tidied(run), RECORD)
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def page_derivatives(pages: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, [("page_id", part.column("page_id").take(pa.array(place)))])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {id_type}, {RECORD}")
+    return pages.select("page_id", "url", "html").mapInArrow(tidied(run), f"page_id {id_type}, {RECORD}")
 
 
 def members(records: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def members(records: DataFrame) -> DataFrame:
                 made = [serialise(dict(h.as_py() or []), b.as_py() or b"", compress=True) for h, b in zip(part.column("headers"), part.column("block"))]
                 yield pa.RecordBatch.from_arrays([part.column("record_id"), pa.array(made, pa.binary())], names=["record_id", "member"])
 
-    return records.where("error is null").select("record_id", "headers", "block").mapInArrow(run, "record_id string, member binary")
+    return records.where("error is null").select("record_id", "headers", "block").mapInArrow(tidied(run), "record_id string, member binary")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
