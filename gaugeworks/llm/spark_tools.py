@@ -72,11 +72,20 @@ def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = (
         for k in ours:
             spark.conf.unset(k)
     release(*free)
+    _trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
 
 
+def _trim(spark: SparkSession) -> None:
+    """Give the driver's free native memory back where its JVM can: a long chain of queries leaves much of it in its threads' arenas."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
@@ -209,18 +218,20 @@ def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
 
     Alternating large-star and small-star steps; every round is two grouped
     minima and two joins, and ends in a written table.  The minima of nodes
-    with over ``hub`` edges and over a 256th of all edges, of which there are
-    at most 512, are broadcast, so that the edges of a hub stay where they are.
+    with over ``hub`` edges and over a 256th of all edges are broadcast, so
+    that the edges of a hub stay where they are; there can be some hundreds.
     """
     now, seen = stored(edges.select("u", "v").mapInArrow(tidied(_forest), "u long, v long").distinct()), None
+    total = now.count()
     while True:
-        state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if state == seen:
+        many = max(hub, total // 128)
+        degrees = now.groupBy("v").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(u, v))").alias("x"))
+        *state, hubs = degrees.agg(F.sum("c"), F.bit_xor("x"), F.collect_list(F.when(F.col("c") > many, F.col("v")))).first()
+        if state == seen or not state[0]:
             break
-        seen, before = state, now
+        seen, total, before = state, state[0], now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        many = max(hub, 2 * state[0] // 256)
-        large = _to_least(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), many)
+        large = _to_least(both, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), hubs)
         # dealt by u once: its distinct edges, their minima and the join of both need no other exchange
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -230,9 +241,8 @@ def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _to_least(both: DataFrame, least: DataFrame, many: int) -> DataFrame:
+def _to_least(both: DataFrame, least: DataFrame, hubs: list[int]) -> DataFrame:
     """Edges (u, v) with the least neighbour m of u; edges of hubs are not moved."""
-    hubs = [r[0] for r in both.groupBy("u").agg(F.count("*").alias("c")).where(F.col("c") > many).select("u").collect()]
     if not hubs:
         return both.join(least, "u")
     is_hub = F.col("u").isin(hubs)

@@ -648,3 +648,19 @@ def test_inclusion_is_as_likely_as_it_should_be(spark):
         assert abs(np.mean(taken[n]) - e) < 4 * spread + 0.01
     for s in {r["source"] for r in found}:
         assert abs(sum(r["size"] * r["copies"] for r in found if r["source"] == s) - 0.6 * words) <= 200
+
+
+def test_hubs_stay_where_they_are(spark):
+    rng = random.Random(7)
+    edges = [(5000 + i, 3) for i in range(900)] + [(5000 + i, 4000 + rng.randrange(40)) for i in range(0, 900, 9)] + [(9000 + i, 9001 + i) for i in range(20)] + [(3, 1)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), hub=10).collect()}
+    assert got == {x: find(x) for x in up}
