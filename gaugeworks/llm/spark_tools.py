@@ -72,20 +72,11 @@ def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = (
         for k in ours:
             spark.conf.unset(k)
     release(*free)
-    _trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
 
 
-def _trim(spark: SparkSession) -> None:
-    """Give the driver's free native memory back where its JVM can: a long chain of queries leaves much of it in its threads' arenas."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
-
-
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
