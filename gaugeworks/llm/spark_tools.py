@@ -204,7 +204,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
+def components(edges: DataFrame, hub: int = 20_000) -> DataFrame:
     """(node, root): connected components of (u, v) long edges, root the least node.
 
     Alternating large-star and small-star steps; every round is two grouped
@@ -216,8 +216,11 @@ def components(edges: DataFrame, hub: int = 1000) -> DataFrame:
     total = now.count()
     while True:
         many = max(hub, total // 128)
-        degrees = now.groupBy("v").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(u, v))").alias("x"))
-        *state, hubs = degrees.agg(F.sum("c"), F.bit_xor("x"), F.collect_list(F.when(F.col("c") > many, F.col("v")))).first()
+        if total > hub:
+            degrees = now.groupBy("v").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(u, v))").alias("x"))
+            *state, hubs = degrees.agg(F.sum("c"), F.bit_xor("x"), F.collect_list(F.when(F.col("c") > many, F.col("v")))).first()
+        else:  # too few edges for a hub
+            state, hubs = [*now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()], []
         if state == seen or not state[0]:
             break
         seen, total, before = state, state[0], now
