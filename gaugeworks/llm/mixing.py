@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.spark_tools import documents, stored
+from gaugeworks.llm.spark_tools import documents, settle, stored
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 BITS, ROUNDS = 12, 3
@@ -128,6 +128,7 @@ def cuts(small: DataFrame, goal: DataFrame) -> DataFrame:
             last = F.when(last < 0, F.col("prefix") * 2**BITS - 1).otherwise(last)
         state = stored(joined.select(*goal.columns, "rest", last.alias("prefix"), F.coalesce("ahead", F.lit(0.0)).alias("before")), free=(sums,) if cut is None else (sums, cut))
         cut = state
+    settle(state.sparkSession)
     return state.drop("before").withColumnRenamed("prefix", "cut")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,6 +78,12 @@ def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = (
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect the driver's garbage at the end of a long chain of queries: their plans, generated classes and broadcasts."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
@@ -231,6 +238,7 @@ def components(edges: DataFrame, hub: int = 20_000) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), free=(before,))
+    settle(now.sparkSession)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
