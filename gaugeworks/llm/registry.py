@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import decontaminate, html_text, media, mixing, near_dedup, sharding, substring_dedup, token_shards, toxicity, warc
+from gaugeworks.llm import decontaminate, html_text, language_id, media, mixing, near_dedup, phrases, prefix_trie, sharding, substring_dedup, token_shards, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media": media.op9_media,
     "op10_mixing": mixing.op10_mixing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_language_id": language_id.op12_language_id,
+    "op13_phrases": phrases.op13_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_phrases": phrases.ORACLE}

@@ -84,12 +84,15 @@ def text_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def scan(column: pa.Array, lower: bool = False, size: int = SLICE, letters: bool = False) -> Iterator[Words]:
+def scan(column: pa.Array, lower: bool = False, size: int = SLICE, letters: bool = False, parting: np.ndarray | None = None) -> Iterator[Words]:
     """Words of every text of a string column, slice by slice; null is empty.
 
     With ``letters``, words are runs of ASCII letters and digits and of all
-    bytes above ASCII.
+    bytes above ASCII.  ``parting`` says for each of the 256 bytes, of which
+    none above 127, whether it parts words, in place of the blanks.
     """
+    if parting is None:
+        parting = _MARKS if letters else _BLANK
     column = text_array(column)
     if not len(column):
         return
@@ -101,7 +104,7 @@ def scan(column: pa.Array, lower: bool = False, size: int = SLICE, letters: bool
     while row < len(column):
         stop = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         stop = min(max(stop, row + 1), len(column))
-        yield _slice(data, offsets[row : stop + 1], row, lower, _MARKS if letters else _BLANK)
+        yield _slice(data, offsets[row : stop + 1], row, lower, parting)
         row = stop
 
 
@@ -161,6 +164,14 @@ def grams(w: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray
     return mix(sums), first, at
 
 
+def runs(w: Words, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Values of the sequences of n[i] words from word at[i] on, in time free of n."""
+    total = len(w.value)
+    sums = np.zeros(total + 1, dtype=np.uint64)
+    np.cumsum(w.value * _powers(_BASE, total), out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * _powers(_INVERSE, total + 1)[at] + n.astype(np.uint64))
+
+
 def heads(w: Words, n: int) -> np.ndarray:
     """Values of the first n bytes of each word; of the whole word where it is shorter."""
     sums = np.zeros(len(w.data) + 1, dtype=np.uint64)

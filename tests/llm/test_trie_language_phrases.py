@@ -1,0 +1,294 @@
+"""Prefix trie, language ID and phrase mining against slow plain versions, and on odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import language_id, phrases, prefix_trie
+from gaugeworks.llm.registry import ORACLE_SQL, QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def oracle(name, **tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for table, path in tables.items():
+        con.execute(f"create view {table} as select * from read_parquet('{path}/*.parquet')")
+    found = con.execute(ORACLE_SQL[name])
+    return [d[0] for d in found.description], found.fetchall()
+
+
+# --- prefix trie
+
+
+def plain_trie(sequences):
+    """{conv: [(role, text)]} -> rows of the trie."""
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, seq in sequences.items():
+        for d in range(len(seq) + 1):
+            members[tuple(seq[:d])].append(c)
+        ends[tuple(seq)].append(c)
+    children = defaultdict(list)
+    for key in members:
+        if key:
+            children[key[:-1]].append(key)
+    leaves, saved = {}, {}
+    for key in sorted(members, key=len, reverse=True):
+        leaves[key] = sum(leaves[k] for k in children[key]) or 1
+        saved[key] = sum(saved[k] for k in children[key]) + ((len(members[key]) - 1) * len(key[-1][1].encode()) if key else 0)
+    digest = lambda key: hashlib.sha256(",".join(map(str, sorted(ends.get(key, [])))).encode()).hexdigest()
+    return sorted(map(str, ((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(children[k]), leaves[k], saved[k], digest(k)) for k, m in members.items())))
+
+
+def plain_conversations(rows):
+    found = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            found[c].append(((turn is not None, turn or 0), hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest(), (role, text)))
+    return {c: [x[2] for x in sorted(v)] for c, v in found.items()}
+
+
+def plain_rebuilt(convs):
+    out = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = convs.get(c - math.fmod(c, 5), [])[:h] + own[h:]
+    return out
+
+
+def turns():
+    rng = random.Random(5)
+    rows = []
+    for c in range(0, 140):
+        if c % 7 == 6:
+            continue  # bases may be absent
+        for k in range(rng.choice((1, 2, 5, 12))):
+            rows.append((c, k, rng.choice(("user", "assistant")), rng.choice(("hi", "héllo", "go on", ""))))
+    rows += [(500 + c, k, "user", f"long path {k}") for c in range(0, 30) for k in range(40)]
+    rows += [(3, 0, "user", "again"), (3, None, None, None), (4, 1, None, "x"), (4, 1, None, "x"), (None, 0, "user", "nobody"), (8, 99, "user", "y" * 300_000), (-3, 0, "user", "hi")]
+    return rows
+
+
+def test_trie_query(spark, tmp_path):
+    spark.createDataFrame(turns(), TURNS).withColumn("node", F.lit("clash")).repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op11_prefix_trie"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, got.collect()))) == plain_trie(plain_rebuilt(plain_conversations(turns())))
+    names, rows = oracle("op11_prefix_trie", conversations=f"{tmp_path}/conversations.parquet")
+    assert names == got.columns and sorted(map(str, rows)) == sorted(map(str, map(tuple, got.collect())))
+
+
+@pytest.mark.parametrize("run_turns, parts", [(1, 1), (7, 3), (40, 9), (10**6, 200)])
+def test_trie_of_any_runs_and_parts(spark, monkeypatch, run_turns, parts):
+    monkeypatch.setattr(prefix_trie, "RUN_TURNS", run_turns)
+    monkeypatch.setattr(prefix_trie, "PART_TURNS", max(1, 400 // parts))
+    rows = [(c, k, "u", "same" if k < 5 else f"{(c >> (k - 5)) & 1}") for c in range(60) for k in range(8 + c % 3)]
+    got = prefix_trie.prefix_trie(prefix_trie.conversations(spark.createDataFrame(rows, TURNS).repartition(4)))
+    assert sorted(map(str, map(tuple, got.collect()))) == plain_trie(plain_conversations(rows))
+
+
+def test_trie_of_nothing(spark):
+    empty = spark.createDataFrame([], TURNS)
+    assert prefix_trie.prefix_trie(prefix_trie.conversations(empty)).count() == 0
+    bare = spark.createDataFrame([(7, [])], "conv_id long, turns array<struct<digest:binary,bytes:long>>")
+    (root,) = prefix_trie.prefix_trie(bare).collect()
+    assert tuple(root) == (7, 0, None, 1, 0, 1, 0, hashlib.sha256(b"7").hexdigest())
+
+
+def test_loser_tree_compares_no_shared_turn_again():
+    rng = random.Random(2)
+
+    class Turn(bytes):
+        seen = Counter()
+
+        def __eq__(self, other):
+            Turn.seen["equal"] += bytes.__eq__(self, other)
+            return bytes.__eq__(self, other)
+
+        __hash__ = bytes.__hash__
+
+    for k in (1, 2, 5, 8):
+        every = sorted({tuple([b"a"] * rng.randrange(6) + [bytes([rng.randrange(98, 101)]) for _ in range(rng.randrange(4))]) for _ in range(80)})
+        runs = [[] for _ in range(k)]
+        for seq in every:
+            mine = rng.choice(runs)
+            seq = [Turn(x) for x in seq]
+            mine.append((prefix_trie.lcp(mine[-1][1], seq) if mine else 0, seq, None))
+        Turn.seen.clear()
+        got = list(prefix_trie.merged(runs))
+        assert [tuple(g[1]) for g in got] == every
+        assert [g[0] for g in got] == [0, *(prefix_trie.lcp(list(a), list(b)) for a, b in zip(every, every[1:]))]
+    assert Turn.seen["equal"] < 2 * sum(map(len, every))  # those of prefix_trie.lcp above are half of them
+
+
+# --- language ID
+
+
+def texts():
+    rng = random.Random(11)
+    stems = {"en": "the and ing tion wh ough".split(), "fr": "eau que ère çon ment ai".split(), "ру": "про ста ени ать ого шь".split()}
+    rows = []
+    for i in range(600):
+        lang = rng.choice(list(stems))
+        text = " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.choice((2, 10, 60))))
+        rows.append((i, text.title() if i % 9 == 0 else text, lang if i % 10 else None, "s", 0))
+    rows += [(700, None, "en", "s", 0), (701, "", "fr", "s", 0), (702, "12 3,4 \n!", "xx", "s", 0), (703, "ქართული", None, None, 0), (None, "the thing", "en", "s", 0), (5, "une autre ménage", "fr", "s", 0)]
+    rows += [(704, "ment que eau " * 90_000, "fr", "s", 0), (705, "é" * 700_001, None, "s", 0)]
+    return rows
+
+
+def plain_read(text):
+    out = [" "]
+    for c in text or "":
+        low = c.lower() if unicodedata.category(c)[0] in "LM" and len(c.lower()) == 1 else c
+        low = low if unicodedata.category(c)[0] in "LM" else " "
+        if low != " " or out[-1] != " ":
+            out.append(low)
+    return [ord(c) for c in out]
+
+
+def plain_features(text):
+    found, read, m = Counter(), plain_read(text), [int(x) for x in language_id._MULTIPLIER]
+    for n in range(1, language_id.ORDERS + 1):
+        for k in range(len(read) - n + 1):
+            h = read[k] * m[0] % 2**32
+            for j in range(1, n):
+                h = (h * m[j + 1] + read[k + j]) % 2**32
+            found[(h * m[language_id.ORDERS] % 2**32) >> (32 - language_id.BITS)] += 1
+    return found
+
+
+def letters(text):
+    return any(unicodedata.category(c)[0] == "L" for c in text or "")
+
+
+def test_language_query(spark, tmp_path):
+    rows = texts()
+    spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("clash"), "seed": F.lit(1)}).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op12_language_id"](spark, str(tmp_path)).collect()
+    held = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 3 == 1
+    cached = {r[1]: plain_features(r[1]) for r in rows}
+    counts, shares = defaultdict(Counter), Counter()
+    for r in rows:
+        if not held(r) and r[2] and letters(r[1]):
+            counts[r[2]] += cached[r[1]]
+            shares[r[2]] += 1
+    model = {k: (math.log(shares[k] / shares.total()), v, math.log(v.total() + language_id.SMOOTH * language_id.BUCKETS)) for k, v in counts.items()}
+    want = {}
+    for r in rows:
+        logit = {k: share + sum(n * (math.log(v[b] + language_id.SMOOTH) - total) for b, n in cached[r[1]].items()) for k, (share, v, total) in model.items()}
+        best = max(sorted(logit), key=logit.get)
+        score = 1 / sum(math.exp(max(-700, x - logit[best])) for x in logit.values())
+        want[r[0], r[1]] = (held(r), best, score) if letters(r[1]) else (held(r), "und", 0.0)
+    assert len(got) == len(rows)
+    by_id = defaultdict(list)
+    for (doc, _), v in want.items():
+        by_id[doc].append(v)
+    for r in got:
+        assert any((r.held_out, r.lang_pred) == v[:2] and abs(r.score - v[2]) < 1e-3 for v in by_id[r.doc_id]), r
+    truth = {r[0]: r[2] for r in rows if r[2] and r[0] is not None and r[0] < 600 and r[0] != 5}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in got if r.doc_id in truth and r.held_out]) > 0.97
+
+
+def test_pieces_of_a_long_text_count_as_the_whole(monkeypatch):
+    text = "Ça va, ÉTÉ — l'été 日本語 " * 50
+    (whole,) = [g for _, g, _ in language_id.features(pa.array([text]))]
+    monkeypatch.setattr(language_id, "PIECE", 37)
+    parts = np.concatenate([g for _, g, _ in language_id.features(pa.array([text]))])
+    assert Counter(whole.tolist()) == Counter(parts.tolist()) == plain_features(text)
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en"), (3, "12", "en")], "doc_id long, text string, lang string")
+    got = language_id.predict(docs, language_id.learn(docs)).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * 3
+    assert language_id.predict(docs.limit(0), language_id.learn(docs.limit(0))).count() == 0
+
+
+# --- phrases
+
+
+def plain_phrases(rows, least, top):
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            for m in range(1, 6):
+                for k in range(len(w) - m + 1):
+                    f[lang or "und"][tuple(w[k : k + m])] += 1
+    out = []
+    for lang, counts in f.items():
+        often = {g: a for g, a in counts.items() if a >= least}
+        inside = defaultdict(int)
+        for g, a in often.items():
+            for m in range(2, len(g)):
+                for k in range(len(g) - m + 1):
+                    inside[g[k : k + m]] = max(inside[g[k : k + m]], a)
+        scored = []
+        for g, a in often.items():
+            if len(g) > 1 and inside[g] < a:
+                score, _, left, right = min((1000 * a * n[lang] // (often[g[:k]] * often[g[k:]]), k, often[g[:k]], often[g[k:]]) for k in range(1, len(g)))
+                scored.append((-score, -a, " ".join(g).encode(), left, right))
+        out += [(lang, k, p.decode(), -a, left, right, n[lang], -s) for k, (s, a, p, left, right) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+def prose(seed=4, docs=300):
+    rng = random.Random(seed)
+    words = ["the", "of", "Then", "é", "x", *(f"w{i}" for i in range(40))]
+    weights = [30, 20, 6, 4, 3, *([1] * 40)]
+    rows = []
+    for i in range(docs):
+        text = " ".join(rng.choices(words, weights, k=rng.randrange(0, 40)))
+        text += rng.choice((" new york city", ", New\tYork  city hall of", "", "\nnew york. city"))
+        rows.append((i, text, rng.choice(("en", "en", "de", None)), "s", 0))
+    rows += [(1, None, "en", "s", 0), (2, "", None, "s", 0), (None, "ha " * 3000, "und", "s", 0), (3, " ".join(["the of"] * 4000), "fr", "s", 0), (3, " ".join(["the of"] * 4000), "fr", "s", 0)]
+    return rows
+
+
+@pytest.mark.parametrize("per_place, chunk, bits", [(1 << 18, 100_000, 24), (20, 50, 24), (7, 10, 1)])
+def test_phrases(spark, monkeypatch, per_place, chunk, bits):
+    for name, value in (("PER_PLACE", per_place), ("CHUNK_ROWS", chunk), ("MOST_BITS", bits)):
+        monkeypatch.setattr(phrases, name, value)
+    rows = prose()
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"place": F.lit(1), "seed": F.lit("clash")}).repartition(5)
+    got = phrases.collocations(docs, least=6, top=25)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == plain_phrases([r[1:3] for r in rows], 6, 25)
+
+
+def test_phrases_query_and_sql(spark, tmp_path):
+    rows = prose(9, 900)
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op13_phrases"](spark, str(tmp_path))
+    want = plain_phrases([r[1:3] for r in rows], phrases.LEAST, phrases.TOP)
+    assert sorted(map(tuple, got.collect())) == want
+    names, found = oracle("op13_phrases", documents=f"{tmp_path}/documents.parquet")
+    assert names == got.columns and sorted(found) == want
+
+
+def test_scores_beyond_64_bits(spark, monkeypatch):
+    found = [("en", "a b", 2, 4 * 10**12)]
+    monkeypatch.setattr(phrases, "frequent_phrases", lambda *_: spark.createDataFrame(found, "lang string, phrase string, n_words int, a long"))
+    monkeypatch.setattr(phrases, "word_counts", lambda _: spark.createDataFrame([("en", "a", 1, 5 * 10**12 + 1), ("en", "b", 2, 6 * 10**13 + 7)], "lang string, word string, key long, n long"))
+    (r,) = phrases.collocations(spark.createDataFrame([], DOCS)).collect()
+    assert r.score == 1000 * r.a * r.n // (r.l * r.r) and r.n == 65 * 10**12 + 8
+
+
+def test_phrases_of_nothing(spark):
+    assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
+    assert phrases.collocations(spark.createDataFrame([(1, "a b", "en", "s", 3)], DOCS)).count() == 0
