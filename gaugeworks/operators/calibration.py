@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.ordinals import numbered_by
+
 
 def item_difficulty(rows: DataFrame) -> DataFrame:
     rate = F.avg((F.col("score") == 1).cast("double"))
@@ -166,7 +168,7 @@ def block_schedule(tasks: DataFrame, models: DataFrame, seed: str) -> DataFrame:
 
     blocks = tasks.withColumn("digest", digest("schedule-block-v1", seed, F.col("family"), F.col("task_id"), F.col("sample_k")))
     order = ["digest", "family", "task_id", "sample_k"]
-    blocks = blocks.withColumn("family_ordinal", F.row_number().over(Window.partitionBy("family").orderBy(*order)) - 1)
+    blocks = numbered_by(blocks, ["family"], order, "family_ordinal").withColumn("family_ordinal", F.col("family_ordinal").cast("int"))
     base = tasks.select("family").distinct().crossJoin(models)  # configuration
     base = base.withColumn("m", digest("schedule-model-v1", seed, F.col("family"), F.col("model")))
     mine = Window.partitionBy("family")

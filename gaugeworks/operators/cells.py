@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import RunError
+from gaugeworks.operators.ordinals import numbered, numbered_by
 from gaugeworks.schemas import CELL, NO_RESPONSE
 
 
@@ -15,13 +16,42 @@ MOST_MODELS = 10_000
 
 def sweep_grid(items: DataFrame, roster: DataFrame, samples: int) -> DataFrame:
     """Every (model, item_id, sample_k): each item is exploded in place, without a join."""
+    return _pairs(items, roster, samples).select("model", "item_id", F.explode(_samples(samples)).alias("sample_k"))
+
+
+def _samples(samples: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(samples - 1))
+
+
+def _pairs(items: DataFrame, roster: DataFrame, samples: int) -> DataFrame:
     if samples < 1:
         raise RunError("samples per cell must be at least 1")
     models = sorted(r[0] for r in roster.select("model").distinct().limit(MOST_MODELS + 1).collect())
     if len(models) > MOST_MODELS:
         raise RunError(f"a roster of over {MOST_MODELS} models")
-    each = items.select("item_id", F.explode(F.array(*map(F.lit, models)).cast("array<string>")).alias("model"))
-    return each.select("model", "item_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_k"))
+    return items.select("item_id", F.explode(F.array(*map(F.lit, models)).cast("array<string>")).alias("model"))
+
+
+def done_bitmaps(rows: DataFrame) -> DataFrame:
+    """(model, item_id, done): the samples that have a row, as words of 64 bits by sample_k div 64."""
+    bit = F.expr("shiftleft(cast(1 as bigint), sample_k % 64)")
+    words = rows.where("sample_k >= 0").groupBy("model", "item_id", F.expr("cast(sample_k div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("model", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("done"))
+
+
+def _marked(items: DataFrame, roster: DataFrame, samples: int, rows: DataFrame, done: bool) -> DataFrame:
+    known = _pairs(items, roster, samples).join(done_bitmaps(rows), ["model", "item_id"], "inner" if done else "left").withColumn("_k", _samples(samples))
+    has = "coalesce((try_element_at(done, cast(k div 64 as int)) & shiftleft(cast(1 as bigint), k % 64)) <> 0, false)"
+    return known.select("model", "item_id", F.explode(F.expr(f"filter(_k, k -> {'' if done else 'not '}{has})")).alias("sample_k"))
+
+
+def pending_cells(items: DataFrame, roster: DataFrame, samples: int, rows: DataFrame) -> DataFrame:
+    """Cells of the grid without a row: pairs meet bitmaps of their samples, and only what is pending is ever exploded."""
+    return _marked(items, roster, samples, rows, done=False)
+
+
+def completed_cells(items: DataFrame, roster: DataFrame, samples: int, rows: DataFrame) -> DataFrame:
+    return _marked(items, roster, samples, rows, done=True)
 
 
 def pending(grid: DataFrame, rows: DataFrame) -> DataFrame:
@@ -35,19 +65,16 @@ def completed(grid: DataFrame, rows: DataFrame) -> DataFrame:
 def budget_split(cells: DataFrame, order: list[str], budget: int) -> DataFrame:
     """Cells with ``run``: the first ``budget`` in sweep order.
 
-    The cut is found by a top-k; only then are cells marked, so no global sort
-    of the rest is needed.
+    Cells are numbered by prefix counts, so a budget of any size is spread over all tasks.
     """
     if budget < 1:
         raise RunError("the budget must be at least 1")
-    taken = cells.orderBy(*order).limit(budget).withColumn("run", F.lit(True))
-    return cells.join(taken, cells.columns, "left").withColumn("run", F.coalesce("run", F.lit(False)))
+    return numbered(cells, order, "_number").withColumn("run", F.col("_number") < budget).drop("_number")
 
 
 def waves(cells: DataFrame, order: list[str], pool: int) -> DataFrame:
     """Wave numbers of cells run ``pool`` at a time, model by model."""
-    at = F.row_number().over(Window.partitionBy("model").orderBy(*order))
-    return cells.withColumn("wave", F.floor((at - 1) / F.lit(pool)).cast("int"))
+    return numbered_by(cells, ["model"], order, "_number").withColumn("wave", F.floor(F.col("_number") / F.lit(pool)).cast("int")).drop("_number")
 
 
 def with_gold(rows: DataFrame, items: DataFrame) -> DataFrame:

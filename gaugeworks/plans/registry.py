@@ -76,10 +76,13 @@ def report_roster_complete(s, d):
     return reports.roster_report(model_report(s, d), roster)
 
 
-def _grid(s, d):
+def _sweep(s, d):
     """Three samples of every item for four models, one of which has no rows."""
-    items = rows(s, d).select("item_id").distinct()
-    return cells.sweep_grid(items, s.createDataFrame([(m,) for m in ROSTER], "model string"), 3)
+    return rows(s, d).select("item_id").distinct(), s.createDataFrame([(m,) for m in ROSTER], "model string"), 3
+
+
+def _grid(s, d):
+    return cells.sweep_grid(*_sweep(s, d))
 
 
 _GRID = "grid as (select m.model, i.item_id, k.sample_k from (select distinct item_id from run_rows) i cross join (values ('view'), ('click'), ('purchase'), ('absent')) m(model) cross join (values (0), (1), (2)) k(sample_k))"
@@ -93,12 +96,12 @@ def sweep_grid(s, d):
 
 @query(f"with {_GRID} select g.* from grid g where not exists (select 1 from run_rows r where {_KEYS})")
 def resume_pending(s, d):
-    return cells.pending(_grid(s, d), rows(s, d))
+    return cells.pending_cells(*_sweep(s, d), rows(s, d))
 
 
 @query(f"with {_GRID} select g.* from grid g where exists (select 1 from run_rows r where {_KEYS})")
 def resume_completed(s, d):
-    return cells.completed(_grid(s, d), rows(s, d))
+    return cells.completed_cells(*_sweep(s, d), rows(s, d))
 
 
 @query(f"with {_GRID} select *, row_number() over (order by model, item_id, sample_k) <= 500 as run from grid")
