@@ -2,8 +2,9 @@
 
 A run's folder holds ``manifest.json`` and ``suite.json``, written once, and
 ``rows/v000000``, ``v000001`` ..: Parquet, partitioned by run and model.  A
-sweep appends to the newest version wave by wave, so a failure loses the
-replies of one wave at most; scoring writes the next version aside and moves it
+sweep appends to the newest version wave by wave; live replies are journaled
+below ``calls`` as they come (``sources.calls``), so neither a lost executor nor
+a failed wave loses one.  Scoring writes the next version aside and moves it
 in place once it is checked, so a reader never sees half of it.  Replies come
 from a table of recorded ones, from a service or a command line
 (``sources.services``) or from a caller in Python that runs within the executors.
@@ -12,24 +13,25 @@ from a table of recorded ones, from a service or a command line
 from __future__ import annotations
 
 import json
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.errors import AdapterError, ReportError, RunError, ScoringError
+from gaugeworks.errors import AdapterError, BudgetExhausted, ReportError, RunError, ScoringError
 from gaugeworks.functions import text as X
 from gaugeworks.operators import cells, judging, reports
+from gaugeworks.operators.ordinals import numbered
 from gaugeworks.schemas import CELL, NO_RESPONSE, PARSE_FAIL, REASONS, ROW
 from gaugeworks.sources import runs, services, suites
+from gaugeworks.sources.calls import Budget, Calls
+from gaugeworks.sources.tables import remove
 
 #: (model, prompt) -> (state, text, reason, resolved model); state is success, no_response or error.
 Caller = Callable[[str, str], tuple[str, str, str | None, str | None]]
-Replies = Callable[[DataFrame], DataFrame]
+Replies = services.Replies
 
 REPLY = "state string, response_raw string, reason string, model_id_resolved string, elapsed_s double"
 
@@ -100,22 +102,20 @@ def recorded(table: DataFrame) -> Replies:
     return replies
 
 
-def called(call: Caller, pool: int = 2) -> Replies:
-    """Replies of a caller, at most ``pool`` at a time; it must not raise.  A lost executor's cells are called again."""
+def _sound(reply: tuple) -> bool:
+    """Whether a caller's reply keeps the contract that ``_checked`` holds it to."""
+    state, text, reason = reply[:3]
+    return state == "no_response" or (state == "success" and isinstance(text, str) and bool(text.strip())) or (state == "error" and reason in REASONS)
 
-    def replies(todo: DataFrame) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out = []
-                for model, prompt in zip(frame["model"], frame["prompt"]):
-                    began = time.monotonic()
-                    out.append((*call(model, prompt), time.monotonic() - began))
-                yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=[x.split()[0] for x in REPLY.split(", ")])], axis=1)
 
-        fields = ", ".join(f"`{n}` {k}" for n, k in todo.dtypes)
-        return todo.repartition(pool).mapInPandas(run, f"{fields}, {REPLY}")
+def called(call: Caller, pool: int = 2) -> Replies:
+    """Replies of a caller, at most ``pool`` at a time; an exception is an error of the operating system."""
+    fields = REPLY.rpartition(", ")[0]
+
+    def replies(todo: DataFrame, calls: Calls | None = None) -> DataFrame:
+        return services.each(todo, call, ("error", "", "os_error", None), fields, pool, calls, _sound)
 
-    return replies
+    return services.live(replies)
 
 
 #: Cells whose replies are kept together.
@@ -133,8 +133,14 @@ def _checked(done: DataFrame) -> DataFrame:
     return done.withColumn("error", F.when(bad, F.raise_error(told)).when(F.col("state") == "error", F.col("reason")))
 
 
-def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE) -> dict:
-    """Fill pending cells in sweep order up to the budget, ``wave`` cells at a time; called again, it resumes with a fresh budget."""
+def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE, budget: Budget | None = None) -> dict:
+    """Fill pending cells in sweep order, ``wave`` cells at a time, until none is left or the calls are spent.
+
+    Pending cells are numbered once; a wave is a range of numbers.  ``budget``
+    may be shared with other steps; else the run's number of calls is dealt
+    anew, so that another sweep resumes with a fresh one.  Live replies are
+    journaled until their wave is committed; cells that found no call left stay pending.
+    """
     suites.whole(wave, 1, "wave", RunError)
     manifest, suite = runs.open_run(spark, folder)
     items = suites.item_frame(spark, suite)
@@ -142,28 +148,40 @@ def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE)
     models = spark.createDataFrame(list(enumerate(manifest["roster"])), "_model int, model string")
     cells.check_no_orphans(rows(spark, folder), items)
     parsed, score, name = scorer(suite)
-    budget, target = manifest["budgets"]["max_calls"], f"{folder}/rows/v{newest(spark, folder):06d}"
-    grid = cells.sweep_grid(items, models, manifest["samples_per_cell"])
-    waiting = cells.pending(grid, rows(spark, folder)).count()
-    executed = 0
-    while executed < min(waiting, budget):
-        size = min(wave, budget - executed)
-        left = cells.pending(grid, rows(spark, folder)).join(places, "item_id").join(models, "model")
-        todo = left.orderBy("_model", "_item", "sample_k").limit(size).join(items.select("item_id", "prompt", "expected"), "item_id").drop("_model", "_item")
-        done = _checked(cells.build_rows(replies(todo), parsed, score, name))
-        silent = F.col("error").isNotNull() | (F.coalesce(F.col("scorer"), F.lit("")) == NO_RESPONSE)
-        full = done.withColumns({
-            "run_id": F.lit(manifest["run_id"]), "model_id_resolved": F.coalesce("model_id_resolved", "model"), "judge_scores": F.lit(None).cast("array<double>"),
-            "elapsed_s": F.coalesce("elapsed_s", F.lit(0.0)), "response_raw": F.when(silent, "").otherwise(F.col("response_raw")),
-        })
-        try:
-            runs.append_rows(full.select(*ROW.fieldNames()), target)
-        except PySparkException as e:
-            if _BAD_REPLY in str(e):
-                raise AdapterError(str(e)[str(e).index(_BAD_REPLY) :].split("\n")[0]) from e
-            raise
-        executed += min(size, waiting - executed)
-    return {"run_id": manifest["run_id"], "executed": executed, "pending": waiting - executed, "aborted": waiting > budget}
+    most, target = manifest["budgets"]["max_calls"], f"{folder}/rows/v{newest(spark, folder):06d}"
+    live = getattr(replies, "live", False)
+    calls = Calls(f"{folder}/calls/journal", budget or Budget.deal(f"{folder}/calls", most)) if live else None
+    executed, waiting, refused, at = 0, None, True, 0
+    while refused:  # what one task gave back may be enough for cells that another had to leave
+        left = cells.pending_cells(items, models, manifest["samples_per_cell"], rows(spark, folder)).join(places, "item_id").join(models, "model")
+        left = numbered(left, ["_model", "_item", "sample_k"], "_number").drop("_model", "_item")
+        count, at, refused = left.count(), 0, False
+        waiting = count if waiting is None else waiting
+        while at < count:
+            room = calls.budget.reclaim() + sum(1 for _ in calls.answered()) if calls else most - executed
+            if not (size := min(wave, count - at, room)):
+                break
+            todo = left.where((F.col("_number") >= at) & (F.col("_number") < at + size)).drop("_number").join(items.select("item_id", "prompt", "expected"), "item_id")
+            found = replies(todo, calls) if live else replies(todo).withColumn("refused", F.lit(False))
+            done = _checked(cells.build_rows(found.where("not refused").drop("refused"), parsed, score, name))
+            silent = F.col("error").isNotNull() | (F.coalesce(F.col("scorer"), F.lit("")) == NO_RESPONSE)
+            full = done.withColumns({
+                "run_id": F.lit(manifest["run_id"]), "model_id_resolved": F.coalesce("model_id_resolved", "model"), "judge_scores": F.lit(None).cast("array<double>"),
+                "elapsed_s": F.coalesce("elapsed_s", F.lit(0.0)), "response_raw": F.when(silent, "").otherwise(F.col("response_raw")),
+            })
+            before = rows(spark, folder).count()
+            try:
+                runs.append_rows(full.select(*ROW.fieldNames()), target)
+            except PySparkException as e:
+                if _BAD_REPLY in str(e):
+                    raise AdapterError(str(e)[str(e).index(_BAD_REPLY) :].split("\n")[0]) from e
+                raise
+            if calls:
+                calls.forget(spark)
+            added = rows(spark, folder).count() - before
+            executed, at, refused = executed + added, at + size, refused or added < size
+        refused = refused and bool(calls and calls.budget.reclaim())
+    return {"run_id": manifest["run_id"], "executed": executed, "pending": waiting - executed, "aborted": waiting > executed}
 
 
 def score(spark: SparkSession, folder: str, samples: DataFrame | None = None) -> dict:
@@ -197,20 +215,35 @@ def score(spark: SparkSession, folder: str, samples: DataFrame | None = None) ->
     return reports.score_summary(rows(spark, folder)).first().asDict()
 
 
-def judged(spark: SparkSession, folder: str, judges: list[str], samples: int, replies: Replies) -> DataFrame:
-    """Judge samples of a run, written below its folder before they are read, so that no judge is called twice."""
+def judged(spark: SparkSession, folder: str, judges: list[str], samples: int, replies: Replies, budget: Budget | None = None) -> DataFrame:
+    """Judge samples of a run, written below its folder before they are read, so that no judge is called twice.
+
+    Gradings spend ``budget``, or the run's number of calls dealt anew.  Where
+    they do not do, BudgetExhausted is raised; what was answered is journaled, and the next try goes on from there.
+    """
     if not judges:
         raise ScoringError("a rubric run needs judges")
     for name in judges:
         suites.safe_name(name, "judge", ScoringError)
     suites.whole(samples, 1, "samples", ScoringError)
-    _, suite = runs.open_run(spark, folder)
+    manifest, suite = runs.open_run(spark, folder)
     if suite["scoring"]["type"] != "rubric":
         raise ScoringError("only rubric suites have judges")
-    made = services.judge_samples(rows(spark, folder), suites.item_frame(spark, suite), judges, samples, replies)
     target = f"{folder}/judged/v{newest(spark, folder):06d}"
-    made.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    live = getattr(replies, "live", False)
+    calls = Calls(f"{folder}/calls/judges", budget or Budget.deal(f"{folder}/calls", manifest["budgets"]["max_calls"])) if live else None
+    while True:
+        made = services.judge_samples(rows(spark, folder), suites.item_frame(spark, suite), judges, samples, replies, calls)
+        made.write.mode("overwrite").parquet(target)
+        found = spark.read.schema(made.schema).parquet(target)
+        if not (missing := found.where("refused").count()):
+            break
+        if not calls.budget.reclaim():
+            remove(spark, target)
+            raise BudgetExhausted(f"{missing} gradings found no call left")
+    if calls:
+        calls.forget(spark)
+    return found.drop("refused")
 
 
 def report(spark: SparkSession, folder: str) -> tuple[dict, list[dict]]:

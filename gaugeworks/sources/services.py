@@ -2,12 +2,15 @@
 
 Calls run within the executors and only record what came back; what it means is
 decided by the same columns that read recorded replies.  A call never raises: a
-failure is a transport word.  At most ``pool`` calls run at a time; a lost
-executor's cells are called again.
+failure is a transport word.  At most ``pool`` calls run at a time.  With
+``Calls`` every reply is kept as it comes, so that a lost executor's or a failed
+wave's answered cells are not called again, and calls stop at the budget: cells
+beyond it are ``refused`` and stay without a reply.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import signal
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.text import judge_prompt
 from gaugeworks.operators import replies as R
 from gaugeworks.schemas import NO_RESPONSE
+from gaugeworks.sources.calls import Calls, Desk
 
-Replies = Callable[[DataFrame], DataFrame]
+Replies = Callable[..., DataFrame]
 
 
 def _post(url: str, value: dict, timeout: float) -> tuple[str | None, str | None]:
@@ -66,20 +70,52 @@ def _run(argv: Sequence[str], text: str, timeout: float) -> tuple[str | None, in
         return None, -1, "os_error"
 
 
-def _each(todo: DataFrame, call: Callable[[str, str], tuple], fields: str, pool: int) -> DataFrame:
-    """``todo`` with the columns of ``call(model, prompt)`` and elapsed_s."""
+#: Replies that a task holds before it gives them on.
+GIVEN = 16
+
+
+def each(todo: DataFrame, call: Callable[[str, str], tuple], failed: tuple, fields: str, pool: int, calls: Calls | None = None, sound: Callable[[tuple], bool] = lambda reply: True) -> DataFrame:
+    """``todo`` with the columns of ``call(model, prompt)``, elapsed_s and refused.
+
+    With ``calls``, a call that raises gives ``failed`` and only a ``sound`` reply
+    is kept in the journal; without, nothing is kept and an exception ends the job.
+    """
     names = [x.split()[0] for x in fields.split(", ")]
-    schema = ", ".join(f"`{n}` {k}" for n, k in todo.dtypes)
+    keyed = todo.withColumn("_key", F.sha2(F.to_json(F.struct(*sorted(todo.columns)), {"ignoreNullFields": "false"}), 256))
+    schema = ", ".join(f"`{n}` {k}" for n, k in keyed.dtypes)
+
+    def answer(desk: Desk | None, key: str, model: str, prompt: str) -> tuple:
+        if desk and (known := desk.known(key)) is not None:
+            return (*known, False)
+        if desk and not desk.granted():
+            return (*(None for _ in names), 0.0, True)
+        began = time.monotonic()
+        try:
+            reply = tuple(call(model, prompt))
+        except Exception:
+            if desk is None:
+                raise
+            reply = failed  # whatever a caller does, its neighbours' replies stay
+        reply = (*reply, round(time.monotonic() - began, 3))
+        if desk and sound(reply):
+            desk.keep(key, list(reply))
+        return (*reply, False)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for model, prompt in zip(frame["model"], frame["prompt"]):
-                began = time.monotonic()
-                out.append((*call(model, prompt), round(time.monotonic() - began, 3)))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=[*names, "elapsed_s"])], axis=1)
+        with calls.desk() if calls else contextlib.nullcontext() as desk:
+            for frame in frames:
+                for at in range(0, len(frame), GIVEN):
+                    part = frame.iloc[at : at + GIVEN].reset_index(drop=True)
+                    out = [answer(desk, *cell) for cell in zip(part["_key"], part["model"], part["prompt"])]
+                    yield pd.concat([part, pd.DataFrame(out, columns=[*names, "elapsed_s", "refused"])], axis=1)
 
-    return todo.repartition(pool).mapInPandas(run, f"{schema}, {fields}, elapsed_s double")
+    return keyed.repartition(pool).mapInPandas(run, f"{schema}, {fields}, elapsed_s double, refused boolean").drop("_key")
+
+
+def live(replies: Replies) -> Replies:
+    """Mark replies that take ``calls`` and may refuse."""
+    replies.live = True
+    return replies
 
 
 def chat(base_url: str, max_tokens: int = 2000, timeout: float = 120.0, pool: int = 1) -> Replies:
@@ -88,10 +124,10 @@ def chat(base_url: str, max_tokens: int = 2000, timeout: float = 120.0, pool: in
     def call(model: str, prompt: str) -> tuple[str | None, str | None]:
         return _post(f"{base_url}/chat/completions", {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": 0, "max_tokens": max_tokens}, timeout)
 
-    def replies(todo: DataFrame) -> DataFrame:
-        return R.chat_reply(_each(todo, call, "body string, transport string", pool), F.col("model")).drop("body", "transport")
+    def replies(todo: DataFrame, calls: Calls | None = None) -> DataFrame:
+        return R.chat_reply(each(todo, call, (None, "os_error"), "body string, transport string", pool, calls), F.col("model")).drop("body", "transport")
 
-    return replies
+    return live(replies)
 
 
 def command(argv: Sequence[str], timeout: float = 300.0, pool: int = 2) -> Replies:
@@ -101,10 +137,10 @@ def command(argv: Sequence[str], timeout: float = 300.0, pool: int = 2) -> Repli
     def call(model: str, prompt: str) -> tuple[str | None, int, str | None]:
         return _run([x.replace("{model}", model) for x in words], prompt, timeout)
 
-    def replies(todo: DataFrame) -> DataFrame:
-        return R.cli_reply(_each(todo, call, "stdout string, returncode int, transport string", pool), F.col("model")).drop("stdout", "returncode", "transport")
+    def replies(todo: DataFrame, calls: Calls | None = None) -> DataFrame:
+        return R.cli_reply(each(todo, call, (None, -1, "os_error"), "stdout string, returncode int, transport string", pool, calls), F.col("model")).drop("stdout", "returncode", "transport")
 
-    return replies
+    return live(replies)
 
 
 def reachable(base_url: str, timeout: float = 2.0) -> bool:
@@ -117,14 +153,16 @@ def reachable(base_url: str, timeout: float = 2.0) -> bool:
         return False
 
 
-def judge_samples(rows: DataFrame, items: DataFrame, judges: Sequence[str], samples: int, replies: Replies) -> DataFrame:
-    """(model, item_id, sample_k, judge, ok, response_raw): ``samples`` gradings by each judge of every row with a text.
+def judge_samples(rows: DataFrame, items: DataFrame, judges: Sequence[str], samples: int, replies: Replies, calls: Calls | None = None) -> DataFrame:
+    """(model, item_id, sample_k, judge, ok, response_raw, refused): ``samples`` gradings by each judge of every row with a text.
 
     ``items`` has (item_id, prompt, expected), the rubric in ``expected``.  A
-    call that gave no text is not ok, and counts in no parse statistics.
+    call that gave no text is not ok, and counts in no parse statistics.  Each grading is a
+    call of its own and spends the budget of ``calls``.
     """
     names = list(dict.fromkeys(judges))
     told = rows.where(F.col("error").isNull() & (F.coalesce("scorer", F.lit("")) != NO_RESPONSE)).join(items.select("item_id", F.col("prompt").alias("asked"), "expected"), "item_id")
     todo = told.select(F.col("model").alias("graded"), "item_id", "sample_k", judge_prompt(F.col("asked"), F.col("response_raw"), F.col("expected")).alias("prompt"), F.explode(F.array(*map(F.lit, names))).alias("model"))
     todo = todo.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("turn"))
-    return replies(todo).select(F.col("graded").alias("model"), "item_id", "sample_k", F.col("model").alias("judge"), (F.col("state") == "success").alias("ok"), "response_raw")
+    found = replies(todo, calls) if getattr(replies, "live", False) else replies(todo).withColumn("refused", F.lit(False))
+    return found.select(F.col("graded").alias("model"), "item_id", "sample_k", F.col("model").alias("judge"), (F.col("state") == "success").alias("ok"), "response_raw", "refused")
