@@ -19,6 +19,7 @@ from gaugeworks.config import RunConfig, load_config
 from gaugeworks.errors import GaugeError
 from gaugeworks.operators import evidence, reports
 from gaugeworks.plans import lifecycle, surfaces
+from gaugeworks.schemas import ITEM
 from gaugeworks.sources import harvest, ledger, runs, services, suites
 
 
@@ -80,8 +81,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write", help="new ledger with the audited statuses")
     p = sub.add_parser("author")
     p.add_argument("what", choices=("harvest", "stub"))
-    p.add_argument("--goldens")
-    p.add_argument("--reviews")
+    p.add_argument("--goldens", help="golden folder, or the folder of skills that have one")
+    p.add_argument("--reviews", help="folder of review fixtures")
+    p.add_argument("--suite", help="write a draft suite of this name instead of items as JSON lines")
     p.add_argument("--patches", help="Parquet table (sha, committed_at, patch)")
     p.add_argument("--git", help="repository whose newest commits are read")
     p.add_argument("--limit", type=int, default=harvest.MAX_COMMITS, help="commits to read")
@@ -214,8 +216,14 @@ def _author(spark: SparkSession, a: argparse.Namespace) -> int:
         raise GaugeError("name a source: --goldens, --reviews, --patches or --git")
     everything = evidence.union_sources(parts)
     kept = evidence.dedup(everything, ["prompt", "expected"], ["source_ordinal", "id"])
-    kept.select(F.to_json(F.struct("expected", "id", "prompt", "provenance")).alias("value")).write.mode("errorifexists").text(a.write)
-    wrote = spark.read.text(a.write).count()
+    if a.suite:
+        suite = harvest.draft_suite(kept, a.suite)
+        suites.validate_suite(suite)
+        runs.write_once(spark, suite, a.write)
+        wrote = len(suite["items"])
+    else:
+        kept.select(F.to_json(F.struct(*sorted(ITEM.fieldNames()))).alias("value")).write.mode("errorifexists").text(a.write)
+        wrote = spark.read.text(a.write).count()
     print(json.dumps({"dropped": everything.count() - wrote, "items": wrote}))
     return 0
 

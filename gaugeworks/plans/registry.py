@@ -11,6 +11,7 @@ from gaugeworks.functions import text as X
 from gaugeworks.functions.views import CLAIM_COLUMNS, oracle, table, view
 from gaugeworks.operators import calibration as C
 from gaugeworks.operators import cells, evidence, judging, replies, reports
+from gaugeworks.sources import harvest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,6 +307,21 @@ def item_ids(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", X.item_id(F.lit("doc"), name, F.col("text")).alias("item_id"))
 
 
+_FRAMED = "'" + "' || text || '".join(x.replace("'", "''") for x in harvest.GOLDEN_FRAME) + "'"
+
+
+@query(f"""select doc_id, 'golden-' || trim(regexp_replace(source || '-' || doc_id, '[^A-Za-z0-9._-]+', '-', 'g'), '.-_') || '-' || substr(sha256(text), 1, 12) as id,
+ 'golden,skill-eval,skill-' || trim(regexp_replace(source, '[^A-Za-z0-9._-]+', '-', 'g'), '.-_') || ',' || expected as tags, {_FRAMED} as prompt, expected, 0.5::double as difficulty_prior,
+ 'harvested:' || source || '/' || doc_id || '.md;sha256=' || sha256(text) as provenance
+ from (select d.doc_id, d.source, d.text, case when l.quality = 1 then 'pass' else 'flag' end as expected from documents d join labels l on d.doc_id = l.doc_id where l.quality is not null) t""")
+def harvested_items(s, d):
+    """Labelled documents as golden artifacts: whole items, as any source of a harvest gives them."""
+    labels = table(s, d, "labels").where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, "pass").otherwise("flag").alias("expected"))
+    stem = F.col("doc_id").cast("string")
+    rows = table(s, d, "documents").join(labels, "doc_id").select("doc_id", F.concat("source", F.lit("/"), stem, F.lit(".md")).alias("source"), F.col("source").alias("skill"), stem.alias("stem"), "text", "expected")
+    return harvest.golden_items(rows).withColumn("tags", F.array_join("tags", ","))
+
+
 @query("select min(doc_id) as doc_id from documents group by sha256(text)")
 def dedup_candidates(s, d):
     hashed = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))

@@ -1,5 +1,6 @@
 """Live services, row logs, harvest sources and what stored runs say together."""
 
+import hashlib
 import http.server
 import json
 import subprocess
@@ -13,7 +14,7 @@ from gaugeworks.errors import AdapterError, AuthorError, LedgerError, RunError
 from gaugeworks.functions import text as X
 from gaugeworks.plans import lifecycle as L
 from gaugeworks.plans import surfaces
-from gaugeworks.schemas import ROW
+from gaugeworks.schemas import ITEM, ROW
 from gaugeworks.sources import harvest, ledger, runs, services, suites
 
 
@@ -144,27 +145,115 @@ def test_logs_in_many_splits(spark, tmp_path):
         ledger.load_ledger(spark, str(tmp_path / "gap"))
 
 
+def digest(raw):
+    return hashlib.sha256(raw).hexdigest()
+
+
 def test_golden_manifests(spark, tmp_path):
     for name in ("good.md", "bad.md", "other.md"):
         (tmp_path / name).write_text(name)
     put = lambda bads: (tmp_path / "manifest.json").write_text(json.dumps({"bads": bads}))
     put([{"file": "bad.md", "verified_fails": True, "note": "x"}, {"file": "other.md", "verified_fails": False}])
-    assert {(r["prompt"], r["expected"]) for r in harvest.goldens(spark, str(tmp_path)).collect()} == {("good.md", "pass"), ("bad.md", "flag")}
+    found = {r["expected"]: r for r in harvest.goldens(spark, str(tmp_path)).collect()}
+    assert set(found) == {"pass", "flag"} and "\ngood.md\n" in found["pass"]["prompt"] and "\nbad.md\n" in found["flag"]["prompt"]
     for bad in ([{"file": "../x.md", "verified_fails": True}], [{"file": "", "verified_fails": True}], [{"file": "bad.md", "verified_fails": 1}], [{"verified_fails": True}], ["bad.md"], "none", [{"file": "absent.md", "verified_fails": True}]):
         put(bad)
         with pytest.raises(AuthorError):
             harvest.goldens(spark, str(tmp_path))
 
 
+@pytest.fixture
+def skills(tmp_path):
+    for skill in ("plan it", "review"):
+        at = tmp_path / "skills" / skill / "evals" / "golden"
+        at.mkdir(parents=True)
+        (at / "good.md").write_text(f"good é {skill}")
+        (at / "bad.one.md").write_text("the same bad text")
+        (at / "maybe.md").write_text("unverified")
+        (at / "manifest.json").write_text(json.dumps({"bads": [{"file": "bad.one.md", "verified_fails": True}, {"file": "maybe.md", "verified_fails": False}]}))
+    return tmp_path / "skills"
+
+
+def test_goldens_of_all_skills_are_items(spark, skills, tmp_path, capsys):
+    found = harvest.goldens(spark, str(skills)).collect()
+    assert len(found) == 4 and found[0].__fields__ == ITEM.fieldNames()
+    raw = "good é plan it".encode()
+    (one,) = [r for r in found if r["id"] == f"golden-plan-it-good-{digest(raw)[:12]}"]
+    assert one["tags"] == ["golden", "skill-eval", "skill-plan-it", "pass"] and one["difficulty_prior"] == 0.5
+    assert one["provenance"] == f"harvested:plan it/evals/golden/good.md;sha256={digest(raw)}"
+    assert one["prompt"] == f"Review the following skill-evaluation artifact. Return `pass` only if it meets the stated skill contract; otherwise return `flag`.\n\n--- artifact ---\n{raw.decode()}\n--- end artifact ---"
+    do = lambda *a: (main([str(x) for x in a], spark), capsys.readouterr().out)
+    code, said = do("author", "harvest", "--goldens", skills, "--suite", "draft", "--write", tmp_path / "draft")
+    assert code == 0 and json.loads(said) == {"dropped": 1, "items": 3}  # two skills have one bad text
+    assert do("validate", tmp_path / "draft")[0] == 0
+    folder = L.start(spark, str(tmp_path / "runs"), suites.load_suite(spark, str(tmp_path / "draft")), ["m"])
+    L.sweep(spark, folder, L.called(lambda model, prompt: ("success", "pass" if "--- artifact ---\ngood" in prompt else "flag", None, None)))
+    assert {s[0] for s in states(spark, folder).values()} == {1.0}
+    assert do("author", "harvest", "--goldens", skills, "--write", tmp_path / "lines")[0] == 0
+    assert set(json.loads(spark.read.text(str(tmp_path / "lines")).first()[0])) == set(ITEM.fieldNames())
+
+
+def test_sources_that_are_refused(spark, skills, tmp_path):
+    at = skills / "review" / "evals" / "golden"
+    with pytest.raises(AuthorError, match="no folder"):
+        harvest.goldens(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    for read in (harvest.goldens, harvest.reviews):
+        with pytest.raises(AuthorError, match="no item"):
+            read(spark, str(tmp_path / "empty"))
+    (at / "good.md").unlink()
+    (at / "good.md").symlink_to(at / "bad.one.md")
+    with pytest.raises(AuthorError, match="is a link"):
+        harvest.goldens(spark, str(skills))
+    (at / "good.md").unlink()
+    (at / "good.md").write_bytes(b"\xff\xfe")
+    with pytest.raises(AuthorError, match="not UTF-8"):
+        harvest.goldens(spark, str(skills))
+    (at / "good.md").write_bytes(b"x" * (harvest.MAX_FILE + 1))
+    with pytest.raises(AuthorError, match="bytes"):
+        harvest.goldens(spark, str(skills))
+    (at / "good.md").unlink()
+    (skills / "linked").symlink_to(skills / "plan it")
+    with pytest.raises(AuthorError, match="is a link"):
+        harvest.goldens(spark, str(skills))
+
+
+def test_review_fixtures(spark, tmp_path):
+    lens = lambda name, verdict, **more: {"lens_id": name, "overall_verdict": verdict, "authority": "é", "findings": [{"b": 1, "a": [2]}], "secret": "x"} | more
+    value = {"lens_verdicts": [lens("correctness", "PASS"), lens("style", "NEEDS-WORK", coverage_claim=None), lens("style", "SKIPPED"), lens("other", "unknown")]}
+    raw = json.dumps(value, ensure_ascii=False)
+    (tmp_path / "one two.json").write_text(raw)
+    found = sorted(harvest.reviews(spark, str(tmp_path)).collect(), key=lambda r: r["tags"][2])
+    assert [(r["tags"], r["expected"]) for r in found] == [(["review-deep", "review", "correctness", "pass"], "pass"), (["review-deep", "review", "style", "flag"], "flag")]
+    assert [r["id"] for r in found] == [f"review-one-two-{x}-{digest((raw + x).encode())[:12]}" for x in ("correctness", "style")]
+    assert all(r["provenance"] == f"harvested:one two.json;sha256={digest(raw.encode())}" and "overall_verdict" not in r["prompt"] and "secret" not in r["prompt"] for r in found)
+    shown = {"authority": "é", "findings": [{"b": 1, "a": [2]}], "lens_id": "correctness"}
+    assert f"--- correctness evidence ---\n{json.dumps(shown, indent=2, sort_keys=True)}\n--- end evidence ---" in found[0]["prompt"]
+    for bad in ("[]", "{}", '{"lens_verdicts": [1]}', "no json", json.dumps({"lens_verdicts": [lens("style", "MAYBE")]}), json.dumps({"lens_verdicts": [lens("style", 3)]})):
+        (tmp_path / "two.json").write_text(bad)
+        with pytest.raises(AuthorError, match="two.json"):
+            harvest.reviews(spark, str(tmp_path))
+
+
 def test_git_patches(spark, tmp_path):
-    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True).stdout.decode()
     git("init", "-q")
     for k in range(3):
         (tmp_path / "f").write_text(f"line {k}\n")
         git("add", "f")
         git("commit", "-qm", f"c{k}")
-    found = harvest.patches(harvest.git_commits(spark, str(tmp_path), 2), 2).collect()
+    git("commit", "-qm", "nothing", "--allow-empty")
+    found = harvest.patches(harvest.git_commits(spark, str(tmp_path), 3), 3).collect()
     assert len(found) == 2 and all(r["expected"] == "CURATE" for r in found) and {x for r in found for x in ("+line 1", "+line 2") if x in r["prompt"]} == {"+line 1", "+line 2"}
+    for r in found:
+        sha = r["provenance"].split(":")[2].split(";")[0]
+        patch = git("show", "--format=", "--no-ext-diff", "--unified=0", "--no-renames", sha)
+        assert r["id"] == f"git-{sha[:12]}-{digest(patch.encode())[:12]}" and r["provenance"] == f"harvested:git:{sha};sha256={digest(patch.encode())}"
+        assert f"commit: {sha}\n--- patch ---\n{patch}\n--- end patch ---" in r["prompt"] and r["tags"] == ["git-history", "needs-gold", "candidate-only"]
+    with pytest.raises(AuthorError, match="needs a verdict"):
+        harvest.draft_suite(harvest.patches(harvest.git_commits(spark, str(tmp_path))), "s")
+    with pytest.raises(AuthorError, match="no item"):
+        harvest.patches(harvest.git_commits(spark, str(tmp_path), 1), 1)  # its patch is empty
     for bad in (0, 21):
         with pytest.raises(AuthorError):
             harvest.git_commits(spark, str(tmp_path), bad)
