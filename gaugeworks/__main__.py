@@ -78,6 +78,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("what", choices=("list", "audit", "render"))
     p.add_argument("--ledger", required=True)
     p.add_argument("--files", help="folder of the cited files")
+    p.add_argument("--index", help="folder of what earlier audits found; files that have not changed since are not read")
     p.add_argument("--write", help="new ledger with the audited statuses")
     p = sub.add_parser("author")
     p.add_argument("what", choices=("harvest", "stub"))
@@ -172,15 +173,6 @@ def _report(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-def _cited_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, text) below a folder, by relative path; the path of the folder itself is cut off."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\A[a-z0-9]+:(?://[^/]*)?", ""), r"\+", "%2B"))
-    return found.select(F.expr("path").alias("path"), F.decode("content", "UTF-8").alias("text"), path.alias("_p")).select(F.substring("_p", len(root) + 2, 1 << 20).alias("file"), "text")
-
-
 def _claims(spark: SparkSession, a: argparse.Namespace) -> int:
     claims = ledger.load_ledger(spark, a.ledger)
     if a.what == "render":
@@ -192,7 +184,13 @@ def _claims(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     if not a.files:
         raise GaugeError("an audit needs --files")
-    found = evidence.issues(evidence.sources(claims), _cited_files(spark, a.files))
+    if a.index:
+        cited, state = evidence.sources(claims), ledger.file_versions(spark, a.files)
+        checked, fresh = evidence.audit_changed(cited, state, ledger.load_index(spark, a.index), lambda wanted: ledger.file_texts(spark, a.files, wanted))
+        found = checked.where("reason is not null")
+        fresh.write.mode("append").parquet(a.index)
+    else:
+        found = evidence.issues(evidence.sources(claims), ledger.file_texts(spark, a.files))
     audited = evidence.audit(claims, found)
     for r in found.select("claim_id", "file", "reason").orderBy("claim_id", "file").collect():
         print(f"{r['claim_id']}\t{r['file']}\t{r['reason']}")

@@ -223,11 +223,12 @@ def text_lines(text: Column) -> Column:
     return let(F.split(text, LINE_ENDS), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
-def quote_hash(text: Column, first: Column, last: Column) -> Column:
-    """sha256 of lines first..last (from 1), joined by newlines; null outside the text."""
+def quote_hash(text: Column, first: Column, last: Column | None = None) -> Column:
+    """sha256 of lines first..last (from 1; to the end without ``last``), joined by newlines; null outside the text."""
 
     def quoted(lines: Column) -> Column:
-        return F.when((first >= 1) & (first <= last) & (last <= F.size(lines)), F.array_join(F.slice(lines, first, last - first + 1), "\n"))
+        end = F.size(lines) if last is None else last
+        return F.when((first >= 1) & (first <= end) & (end <= F.size(lines)), F.array_join(F.slice(lines, first, end - first + 1), "\n"))
 
     return F.sha2(let(text_lines(text), quoted), 256)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.ordinals import numbered_by
@@ -94,15 +94,20 @@ def scope_min_n(arms: DataFrame, scope: str, least: int = 8) -> DataFrame:
 def draws(spark, seed: str, iterations: int, k: int) -> DataFrame:
     """(i, pick, times): cluster ordinals drawn with replacement in each iteration.
 
-    sha256 of "bootstrap-v1", seed, i and d modulo k, folded 32 bits at a time.
+    sha256 of "bootstrap-v1", seed, i and the draw's number, modulo k, folded 32 bits at a time.
     """
-    grid = spark.range(iterations * k).select(F.expr(f"id div {k}").alias("i"), (F.col("id") % k).alias("d"))
-    digest = F.sha2(F.concat_ws("\0", F.lit("bootstrap-v1"), F.lit(seed), F.col("i").cast("string"), F.col("d").cast("string")), 256)
+    grid = spark.range(iterations * k).select(F.expr(f"id div {k}").alias("i"), (F.col("id") % k).alias("j"))
+    return _drawn(grid, F.lit(seed), F.lit(k), "i").groupBy("i", "pick").agg(F.count("*").alias("times"))
+
+
+def _drawn(grid: DataFrame, seed: Column, k: Column, *kept: str) -> DataFrame:
+    """The ``kept`` columns and the pick of every (i, j)."""
+    digest = F.sha2(F.concat_ws("\0", F.lit("bootstrap-v1"), seed, F.col("i").cast("string"), F.col("j").cast("string")), 256)
     pick = F.lit(0).cast("long")
     for at in range(1, 65, 8):
         pick = (pick * F.lit(4294967296) + F.conv(F.substring("h", at, 8), 16, 10).cast("long")) % k
     # the digest has a projection of its own, since eight terms name it
-    return grid.select("i", digest.alias("h")).select("i", pick.alias("pick")).groupBy("i", "pick").agg(F.count("*").alias("times"))
+    return grid.select("*", digest.alias("h")).select(*kept, pick.alias("pick"))
 
 
 def cluster_bootstrap(arms: DataFrame, seed: str, iterations: int = 10_000) -> DataFrame:
@@ -121,9 +126,28 @@ def cluster_bootstrap(arms: DataFrame, seed: str, iterations: int = 10_000) -> D
     return joined.groupBy("i").agg((100 * F.sum(F.col("d") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("delta"))
 
 
-def interval(deltas: DataFrame, low: int = 249, high: int = 9749) -> DataFrame:
-    ranked = deltas.agg(F.sort_array(F.collect_list("delta")).alias("s"))  # one bounded list: an entry per iteration
-    return ranked.select(F.round(F.get("s", F.lit(low)), 6).alias("low"), F.round(F.get("s", F.lit(high)), 6).alias("high"))
+def scoped_bootstrap(arms: DataFrame, seed: str, iterations: int = 10_000) -> DataFrame:
+    """(scope, i, delta): ``cluster_bootstrap`` of every scope of arms(scope, ...) at once, with the seed ``seed/scope``.
+
+    One pass draws for all scopes: a sparse matrix of how often each iteration
+    of each scope takes a cluster meets the sums of the clusters.  Iterations
+    are dealt over all tasks, clusters numbered by prefix counts.
+    """
+    tasks = arms.groupBy("scope", "cluster_id", "task_id").agg((F.avg("a_pass") - F.avg("b_pass")).alias("d"))
+    clusters = tasks.groupBy("scope", "cluster_id").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
+    ordered = numbered_by(clusters, ["scope"], ["cluster_id"], "pick")
+    sizes = ordered.groupBy("scope").agg(F.count("*").alias("k"))
+    turns = sizes.select("scope", "k", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")).repartition("scope", "i")
+    grid = turns.select("scope", "k", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    names = F.concat(F.lit(f"{seed}/"), F.col("scope").cast("string"))
+    drawn = _drawn(grid, names, F.col("k"), "scope", "i").groupBy("scope", "i", "pick").agg(F.count("*").alias("times"))
+    joined = drawn.join(ordered, ["scope", "pick"])
+    return joined.groupBy("scope", "i").agg((100 * F.sum(F.col("d") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("delta"))
+
+
+def interval(deltas: DataFrame, low: int = 249, high: int = 9749, by: tuple[str, ...] = ()) -> DataFrame:
+    ranked = deltas.groupBy(*by).agg(F.sort_array(F.collect_list("delta")).alias("s"))  # a bounded list: an entry per iteration
+    return ranked.select(*by, F.round(F.get("s", F.lit(low)), 6).alias("low"), F.round(F.get("s", F.lit(high)), 6).alias("high"))
 
 
 def ranks(iterations: int, scopes: int) -> tuple[int, int]:
@@ -141,19 +165,17 @@ def non_inferiority(bounds: DataFrame, margin: float = 5.0) -> DataFrame:
 
 
 def scope_decisions(arms: DataFrame, seed: str, scopes: int, iterations: int = 10_000, margin: float = 5.0) -> DataFrame:
-    """(scope, low, high, decision): non-inferiority of arms(scope, ...) in each of ``scopes`` scopes, which share the error.
-
-    Scopes are an analysis plan's, so few; each has a seed and draws of its own.
-    """
-    low, high = ranks(iterations, scopes)
-    names = sorted(r[0] for r in arms.select("scope").distinct().limit(scopes + 1).collect())
-    if len(names) > scopes:
+    """(scope, low, high, decision): non-inferiority of arms(scope, ...) in each of the plan's ``scopes`` scopes, which share the error."""
+    if arms.select("scope").distinct().limit(scopes + 1).count() > scopes:
         raise ValueError(f"more scopes than the {scopes} of the plan")
-    parts = [interval(cluster_bootstrap(arms.where(F.col("scope") == n), f"{seed}/{n}", iterations), low, high).select(F.lit(n).alias("scope"), "low", "high") for n in names]
-    out = arms.sparkSession.createDataFrame([], f"scope {arms.schema['scope'].dataType.simpleString()}, low double, high double")
-    for part in parts:
-        out = out.unionByName(part)
-    return non_inferiority(out, margin)
+    return non_inferiority(interval(scoped_bootstrap(arms, seed, iterations), *ranks(iterations, scopes), by=("scope",)), margin)
+
+
+def scope_intervals(arms: DataFrame, seed: str, least: int = 8, iterations: int = 10_000) -> DataFrame:
+    """(scope, n_clusters, low, high, label): 95 % intervals of all scopes with ``least`` clusters, exploratory and each for itself."""
+    enough = scope_min_n(arms, "scope", least).where("interval").drop("interval")
+    chosen = arms.join(enough.select("scope"), "scope", "left_semi")
+    return enough.join(interval(scoped_bootstrap(chosen, seed, iterations), *ranks(iterations, 1), by=("scope",)), "scope").select("scope", "n_clusters", "low", "high", "label")
 
 
 def block_schedule(tasks: DataFrame, models: DataFrame, seed: str) -> DataFrame:

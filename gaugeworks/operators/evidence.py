@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import let, quote_hash
 from gaugeworks.schemas import STATUSES
+from gaugeworks.sources.tables import written
 
 REVIEW = {"PASS": "pass", "DEFERRED-TO-UAT": "pass", "FAILED": "flag", "NEEDS-WORK": "flag", "NO-EVIDENCE": "flag"}
 
@@ -35,6 +38,32 @@ def issues(cited: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(*cited.columns, F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
+#: Quotes of versions of files, as an audit has found them: null where the lines are not there.
+QUOTE_INDEX = "file string, version string, line_from int, line_to int, quote_now string"
+
+
+def audit_changed(cited: DataFrame, state: DataFrame, index: DataFrame, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(cited with reason, null where all is well, and was_read; new entries of the index).
+
+    ``state`` has (file, version) of all files there are, ``index`` what earlier
+    audits found.  Only quotes that no audit has seen in this version of their
+    file are looked up, and ``read`` gets (file, version) of just those files,
+    to give (file, text).  Entries are found by file, version and lines, so a
+    changed file needs a new version and nothing else.
+    """
+    key = ["file", "version", "line_from", "line_to"]
+    live = cited.join(state.select("file", "version"), "file", "left")
+    asked = live.where("version is not null and line_from is not null and line_to is not null").select(*key).distinct()
+    unknown = asked.join(index.select(*key), key, "left_anti")
+    texts = read(unknown.select("file", "version").distinct()).select("file", "text")
+    now = quote_hash(F.col("text"), F.col("line_from"), F.col("line_to"))
+    fresh = written(unknown.join(texts, "file").select(*key, now.alias("quote_now")))
+    known = index.select(*key, "quote_now").withColumn("was_read", F.lit(False)).unionByName(fresh.withColumn("was_read", F.lit(True)))
+    found = live.join(known, key, "left").withColumn("was_read", F.coalesce("was_read", F.lit(False)))
+    stale = F.when(F.col("version").isNull(), "missing_file").when(F.col("quote_now").isNull(), "bad_lines").when(F.col("quote_now") != F.col("quote_sha256"), "quote_changed")
+    return found.withColumn("reason", stale).select(*cited.columns, "reason", "was_read"), fresh
+
+
 def audit(claims: DataFrame, found: DataFrame) -> DataFrame:
     """Claims with any issue become STALE and never come back; ``newly_stale`` marks the change."""
     bad = found.select("claim_id").distinct().withColumn("_bad", F.lit(True))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.errors import LedgerError
 from gaugeworks.functions.text import BLANKS
-from gaugeworks.operators.evidence import line_range
+from gaugeworks.operators.evidence import QUOTE_INDEX, line_range
 from gaugeworks.schemas import CLAIM, STATUSES
 from gaugeworks.sources.runs import log_lines
 
@@ -56,6 +56,40 @@ def load_ledger(spark: SparkSession, path: str) -> DataFrame:
     return claims
 
 
+def _relative(spark: SparkSession, folder: str) -> tuple[str, Column]:
+    """(qualified folder, path of a file below it)."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root)
+    path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\A[a-z0-9]+:(?://[^/]*)?", ""), r"\+", "%2B"))
+    return root.toString().rstrip("/"), F.substring(path, len(root.toUri().getPath().rstrip("/")) + 2, 1 << 20)
+
+
+def file_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, version) below a folder: length and time of change, from the listing alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return found.select(_relative(spark, folder)[1].alias("file"), F.concat_ws("/", "length", F.unix_micros("modificationTime")).alias("version"))
+
+
+def file_texts(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(file, text) below a folder, by relative path; with ``wanted`` (file, ..), those files only.
+
+    A ledger is curated by hand, so the files that it cites are few enough to be named one by one.
+    """
+    root, file = _relative(spark, folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    paths = [folder] if wanted is None else [f"{root}/{r[0]}" for r in wanted.select("file").distinct().collect()]
+    if not paths:
+        return spark.createDataFrame([], "file string, text string")
+    return reader.load(paths).select(file.alias("file"), F.decode("content", "UTF-8").alias("text"))
+
+
+def load_index(spark: SparkSession, folder: str) -> DataFrame:
+    """What audits with this index have found; none before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(QUOTE_INDEX).parquet(folder).distinct() if there else spark.createDataFrame([], QUOTE_INDEX)
+
+
 def write_ledger(claims: DataFrame, path: str) -> None:
     """Validated before anything is written; keys in a fixed order, rows by id."""
     broken = violations(claims).take(5)

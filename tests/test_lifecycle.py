@@ -8,7 +8,7 @@ import pytest
 from gaugeworks.__main__ import main
 from gaugeworks.errors import JudgeParseError, RunError
 from gaugeworks.plans import lifecycle as L
-from gaugeworks.sources import runs, suites
+from gaugeworks.sources import ledger, runs, suites
 from gaugeworks.schemas import CLAIM
 
 
@@ -100,3 +100,35 @@ def test_claims_audit(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["c2", "a", "b/x.txt", "quote_changed"]
     assert main(["claims", "list", "--ledger", f"{tmp_path}/new"], spark) == 0
     assert [x.split("\t")[1] for x in capsys.readouterr().out.splitlines()] == ["ASSERTED", "STALE"]
+
+
+def test_audit_with_an_index_reads_what_changed(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "files" / "a+b é").mkdir(parents=True)
+    names = ["a+b é/x.txt", "y.txt", "empty.txt"]
+    for name, text in zip(names, ("one\ntwo\n", "three\n", "")):
+        (tmp_path / "files" / name).write_text(text)
+    quote = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    claim = dict.fromkeys(CLAIM.fieldNames()) | {"statement": "s", "decision_surface": "d", "status": "ASSERTED", "evidence": [], "last_verified_utc": "2026-01-01T00:00:00Z"}
+    cites = [(names[0], "1-2", quote("one\ntwo")), (names[0], "2", quote("two")), (names[1], "1", quote("three")), (names[2], "1", quote("")), ("gone.txt", "1", quote("x"))]
+    lines = [claim | {"claim_id": f"c{i}", "sources": [{"file": f, "lines": n, "quote_sha256": q}]} for i, (f, n, q) in enumerate(cites)]
+    (tmp_path / "ledger").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    read, real = [], ledger.file_texts
+
+    def noting(spark, folder, wanted=None):
+        read.append(sorted(r[0] for r in wanted.select("file").distinct().collect()))
+        return real(spark, folder, wanted)
+
+    monkeypatch.setattr(ledger, "file_texts", noting)
+
+    def audit():
+        read.clear()
+        main(["claims", "audit", "--ledger", f"{tmp_path}/ledger", "--files", f"{tmp_path}/files", "--index", f"{tmp_path}/index"], spark)
+        return [x.split("\t")[::2] for x in capsys.readouterr().out.splitlines()], read[0]
+
+    bad = [["c3", "bad_lines"], ["c4", "missing_file"]]
+    assert audit() == (bad, sorted(names))
+    assert audit() == (bad, [])
+    (tmp_path / "files" / "y.txt").write_text("three and more\n")
+    assert audit() == ([["c2", "quote_changed"], *bad], ["y.txt"])
+    (tmp_path / "files" / "y.txt").unlink()
+    assert audit() == ([["c2", "missing_file"], *bad], [])
