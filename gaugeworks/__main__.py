@@ -184,13 +184,13 @@ def _claims(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     if not a.files:
         raise GaugeError("an audit needs --files")
+    cited = evidence.sources(claims)
     if a.index:
-        cited, state = evidence.sources(claims), ledger.file_versions(spark, a.files)
-        checked, fresh = evidence.audit_changed(cited, state, ledger.load_index(spark, a.index), lambda wanted: ledger.file_texts(spark, a.files, wanted))
+        checked, fresh = evidence.audit_changed(cited, ledger.file_versions(spark, a.files, cited), ledger.load_index(spark, a.index), lambda wanted: ledger.file_texts(spark, a.files, wanted))
         found = checked.where("reason is not null")
         fresh.write.mode("append").parquet(a.index)
     else:
-        found = evidence.issues(evidence.sources(claims), ledger.file_texts(spark, a.files))
+        found = evidence.issues(cited, ledger.file_texts(spark, a.files, cited))
     audited = evidence.audit(claims, found)
     for r in found.select("claim_id", "file", "reason").orderBy("claim_id", "file").collect():
         print(f"{r['claim_id']}\t{r['file']}\t{r['reason']}")

@@ -12,6 +12,7 @@ from gaugeworks.functions.text import BLANKS
 from gaugeworks.operators.evidence import QUOTE_INDEX, line_range
 from gaugeworks.schemas import CLAIM, STATUSES
 from gaugeworks.sources.runs import log_lines
+from gaugeworks.sources.suites import literal_paths
 
 _REQUIRED = {"claim_id", "statement", "decision_surface", "sources", "status", "evidence", "last_verified_utc"}
 
@@ -56,31 +57,48 @@ def load_ledger(spark: SparkSession, path: str) -> DataFrame:
     return claims
 
 
-def _relative(spark: SparkSession, folder: str) -> tuple[str, Column]:
-    """(qualified folder, path of a file below it)."""
+def _relative(spark: SparkSession, folder: str) -> Column:
+    """The path of a file below ``folder``."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\A[a-z0-9]+:(?://[^/]*)?", ""), r"\+", "%2B"))
-    return root.toString().rstrip("/"), F.substring(path, len(root.toUri().getPath().rstrip("/")) + 2, 1 << 20)
+    return F.substring(path, len(root) + 2, 1 << 20)
 
 
-def file_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, version) below a folder: length and time of change, from the listing alone."""
+def _empty(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    """(file): those of ``names`` that are files without a byte, which Spark's readers pass over."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for (name,) in names.select("file").distinct().collect():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name)
+        if store.exists(path) and store.getFileStatus(path).isFile() and not store.getFileStatus(path).getLen():
+            found.append((name,))
+    return spark.createDataFrame(found, "file string")
+
+
+def file_versions(spark: SparkSession, folder: str, cited: DataFrame) -> DataFrame:
+    """(file, version) below a folder: length and time of change, from the listing alone.
+
+    Of the files that ``cited`` names and Spark does not list, the empty ones are looked up one by one.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return found.select(_relative(spark, folder)[1].alias("file"), F.concat_ws("/", "length", F.unix_micros("modificationTime")).alias("version"))
+    found = found.select(_relative(spark, folder).alias("file"), F.concat_ws("/", "length", F.unix_micros("modificationTime")).alias("version"))
+    return found.unionByName(_empty(spark, folder, cited.join(found, "file", "left_anti")).withColumn("version", F.lit("0")))
 
 
-def file_texts(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(file, text) below a folder, by relative path; with ``wanted`` (file, ..), those files only.
+def file_texts(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """(file, text) of ``wanted`` (file, ..) below a folder, as far as they are there.
 
     A ledger is curated by hand, so the files that it cites are few enough to be named one by one.
     """
-    root, file = _relative(spark, folder)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    paths = [folder] if wanted is None else [f"{root}/{r[0]}" for r in wanted.select("file").distinct().collect()]
+    file = _relative(spark, folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", file.alias("file"))
+    paths = [r[0] for r in listed.join(wanted.select("file").distinct(), "file", "left_semi").select("path").collect()]
+    empty = _empty(spark, folder, wanted.join(listed, "file", "left_anti")).withColumn("text", F.lit(""))
     if not paths:
-        return spark.createDataFrame([], "file string, text string")
-    return reader.load(paths).select(file.alias("file"), F.decode("content", "UTF-8").alias("text"))
+        return empty
+    return spark.read.format("binaryFile").load(literal_paths(paths)).select(file.alias("file"), F.decode("content", "UTF-8").alias("text")).unionByName(empty)
 
 
 def load_index(spark: SparkSession, folder: str) -> DataFrame:

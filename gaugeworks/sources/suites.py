@@ -27,6 +27,11 @@ def read_bytes(spark: SparkSession, path: str, error: type[ValueError]) -> bytes
     return bytes(row[0])
 
 
+def literal_paths(paths: list[str]) -> list[str]:
+    """Paths that a reader takes as they are, whatever signs of patterns are in them."""
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+
+
 def strict_json(raw: bytes, where: str, error: type[ValueError]) -> dict:
     try:
         value = json.loads(raw.decode("utf-8"))
