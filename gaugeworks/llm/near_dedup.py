@@ -16,7 +16,8 @@ have a candidate partner, and narrow shuffles of (node, class) rows.  A group
 too large for one task, and a node that stays above ``LEAF`` at the greatest
 depth, is handled in blocks: every member against the classes nearest the
 consensus signature, then members still outside the largest component against
-all blocks.  No pair is capped or dropped.
+all blocks, or first against leaders drawn among them where they are very many.
+No pair is capped or dropped.
 
 Every row is a document.  Nulls and texts without words have an empty set, link
 with nothing and form their own component, named by their doc_id.  A null
@@ -43,7 +44,7 @@ SHINGLE, TREES, MINIMA, LEAF, DEPTH = 5, 16, 128, 2048, 6
 #: Estimates at or above this are candidates: 3.9 standard deviations below a similarity of 0.75.
 CANDIDATE = 0.60
 GROUP_SETS, GROUP_SHINGLES, BLOCK, LEADERS = 512, 2_000_000, 256, 16
-#: Blocks of members apart from a group's first leader that meet the whole group; where there are more, they meet the members of their nodes.
+#: Blocks of members apart from a group's leaders that meet the whole group; while there are more, leaders are drawn among them.
 MOST_PARTS = 64
 
 _MULTIPLIERS = W.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -287,30 +288,53 @@ def _in_blocks(members: DataFrame, leaders: DataFrame, payload: list[str], links
     The members of a group are dealt to blocks, and its leaders meet every
     block.  Then members that no block connects to the first leader, and only
     they, meet every block too: any link has such a member or lies within the
-    first leader's component.  Where they are over ``MOST_PARTS`` blocks, they
-    meet the members of their ``nodes`` (key, sk) instead, which hold all that
-    the trees propose, so no member travels more often than that or than it has
-    nodes.
+    first leader's component.
+
+    With ``nodes`` (key, sk), leaders are drawn among members apart as long as
+    those fill over ``MOST_PARTS`` blocks, twice as many each round.  They meet
+    every block, which settles the families they stand in; the last ones apart
+    meet every block as above.  Members that a drawn leader has settled are
+    connected to their family, and what else they link with is looked for among
+    the members of their nodes.  No member travels more often than MOST_PARTS,
+    than it has nodes and, where it leads, than there are blocks.
     """
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(sk, 1), blocks) as int)"))
     everywhere = F.explode(F.expr("sequence(0, blocks - 1)"))
-    spread = members.drop("block").join(leaders, ["cc", "sk"]).withColumn("block", everywhere)
-    task = F.xxhash64("cc", "block").alias("task")
-    rows = members.select(task, "sk", *payload, F.lit(0).alias("lead")).unionByName(spread.select(task, "sk", *payload, "lead"))
-    found = stored(by_group(rows, "task", links, "u long, v long"))
+
+    def met(leaders: DataFrame) -> DataFrame:
+        spread = members.drop("block").join(leaders, ["cc", "sk"]).withColumn("block", everywhere)
+        task = F.xxhash64("cc", "block").alias("task")
+        rows = members.select(task, "sk", *payload, F.lit(0).alias("lead")).unionByName(spread.select(task, "sk", *payload, "lead"))
+        return stored(by_group(rows, "task", links, "u long, v long"))
+
+    def parted(apart: DataFrame) -> DataFrame:
+        minor = apart.groupBy("cc").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("parts"))
+        return stored(apart.select("cc", "sk").join(minor, "cc"))
+
+    found = met(leaders)
     first = leaders.where("lead = 2").select("cc", F.col("sk").alias("first"))
-    apart = members.select("cc", "sk").join(first, "cc").where("sk <> first").distinct().join(found.select(F.col("u").alias("sk"), F.col("v").alias("first")).distinct(), ["sk", "first"], "left_anti")
-    minor = apart.groupBy("cc").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("parts"))
-    apart = stored(apart.select("cc", "sk").join(minor, "cc").withColumn("part", F.expr("cast(pmod(xxhash64(sk, 2), parts) as int)")))
+    apart = members.select("cc", "sk").join(first, "cc").where("sk <> first").distinct()
+    apart = parted(apart.join(found.select(F.col("u").alias("sk"), F.col("v").alias("first")).distinct(), ["sk", "first"], "left_anti"))
+    drawn, settled = LEADERS, None
+    while nodes is not None and not apart.where(F.col("parts") > MOST_PARTS).isEmpty():
+        many = apart.where(F.col("parts") > MOST_PARTS)
+        drawn *= 2
+        turn = F.row_number().over(Window.partitionBy("cc").orderBy(F.xxhash64("sk", F.lit(drawn)), "sk"))
+        leaders = stored(many.select("cc", "sk", turn.alias("rank")).where(F.col("rank") <= drawn).select("cc", "sk", F.lit(1).alias("lead")))
+        edges = met(leaders)
+        done = edges.select(F.col("u").alias("sk")).unionByName(edges.select(F.col("v").alias("sk"))).unionByName(leaders.select("sk")).distinct()
+        found, before = found.unionByName(edges), apart
+        new = many.join(done, "sk", "left_semi").select("sk")
+        settled = stored(new if settled is None else settled.unionByName(new))
+        apart = parted(many.join(done, "sk", "left_anti").unionByName(before.where(F.col("parts") <= MOST_PARTS)))
+    if settled is not None:
+        mine = nodes.join(settled, "sk").select("key", F.col("sk").alias("_late"))
+        around = nodes.join(mine.select("key").distinct(), "key").join(mine.select("key", F.col("_late").alias("sk"), F.lit(1).alias("lead")), ["key", "sk"], "left")
+        rows = around.join(members.select("sk", *payload), "sk").select(F.col("key").alias("task"), "sk", *payload, F.coalesce("lead", F.lit(0)).alias("lead"))
+        found = found.unionByName(by_group(rows, "task", links, "u long, v long"))
     if apart.isEmpty():
         return found
-    if nodes is not None:
-        many, apart = apart.where(F.col("parts") > MOST_PARTS), apart.where(F.col("parts") <= MOST_PARTS)
-        if not many.isEmpty():
-            mine = nodes.join(many.select("sk"), "sk").select("key", F.col("sk").alias("_apart"))
-            around = nodes.join(mine.select("key").distinct(), "key").join(mine.select("key", F.col("_apart").alias("sk"), F.lit(1).alias("lead")), ["key", "sk"], "left")
-            rows = around.join(members.select("sk", *payload), "sk").select(F.col("key").alias("task"), "sk", *payload, F.coalesce("lead", F.lit(0)).alias("lead"))
-            found = found.unionByName(by_group(rows, "task", links, "u long, v long"))
+    apart = apart.withColumn("part", F.expr("cast(pmod(xxhash64(sk, 2), parts) as int)"))
     task = F.xxhash64("cc", "part", "block").alias("task")
     firsts = members.drop("block").join(apart, ["cc", "sk"]).withColumn("block", everywhere)
     others = members.join(apart.select("cc", "parts").distinct(), "cc").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
