@@ -12,27 +12,32 @@ random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and takes them
 in that order up to the words that the certain copies leave open, so the sample
 has a fixed size in words.
 
-u comes from an MD5 of seed, doc_id and text: reruns agree.  c is found from
+u comes from an MD5 of seed, doc_id and text: reruns agree.  Of rows of a source that
+share u and size, as repeated rows do, the k-th goes on by k times the golden
+ratio, modulo 1, so each is drawn for itself; they are numbered over ``SALTS`` places.  c is found from
 words by source and weight class, the cut by three rounds of 4,096 buckets, each
 a grouped sum: no source is ever sorted or gathered, however large.  What stands
 in one task is a row a source for the targets, and at most 4,096 bucket sums a
 source for the cut.
 
-Null and empty texts have size 0 and are never taken.  Rows equal in doc_id
-and text share u and are taken or left together.  Ties in the last of 2**36
+Null and empty texts have size 0 and are never taken.  Repeated rows are
+alike, so which of them are taken does not matter.  Ties in the last of 2**36
 buckets are taken together.  An empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.spark_tools import documents, settle, stored
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
-BITS, ROUNDS = 12, 3
+BITS, ROUNDS, SALTS = 12, 3, 64
+GOLDEN = "0.6180339887498949e0"
+#: Kinds of tied rows, some 30 bytes each, that are broadcast; more are joined by a shuffle.
+MOST_TIED = 100_000
 
 SIZE = r"regexp_count(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _DRAW = f"md5(concat('{SEED}|', coalesce(cast(doc_id as string), ''), '|', coalesce(text, '')))"
@@ -77,6 +82,32 @@ def _drawn(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.expr(SIZE).cast("long")).withColumn("weight", F.expr(WEIGHT).cast("long")).withColumn("u", u)
 
 
+def _apart(rows: DataFrame, small: DataFrame) -> DataFrame | None:
+    """``rows`` with a u of its own for each row of a source that shares u and size with others; None if none do.
+
+    ``small`` has source, u and size of the same rows.  Tied rows are dealt to
+    SALTS places, written and numbered place by place, so that a row that
+    stands a thousand times is not one task.
+    """
+    key = ["source", "u", "size"]
+    tied = stored(small.where("size > 0").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if tied.isEmpty():
+        return None
+    named = F.broadcast(tied) if tied.count() <= MOST_TIED else tied
+    named = named.withColumnsRenamed({c: f"_{c}" for c in key})
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("u") == F.col("_u")) & (F.col("size") == F.col("_size"))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+    dealt = stored(rows.join(named, same, "left_semi").withColumn("_salt", salt))
+    place = Window.partitionBy(*key, "_salt").orderBy(F.lit(0))
+    counts = dealt.groupBy(*key, "_salt").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n").withColumnsRenamed({c: f"_{c}" for c in key}).withColumnRenamed("_salt", "_of")
+    numbered = dealt.withColumn("_k", F.row_number().over(place) - 1).join(starts, same & (F.col("_salt") == F.col("_of")))
+    moved = F.col("u") + (F.col("_before") + F.col("_k")) * F.expr(GOLDEN)
+    own = numbered.withColumn("u", moved - F.floor(moved)).select(*rows.columns)
+    return rows.join(named, same, "left_anti").unionByName(own)
+
+
 def _expected(rows: DataFrame) -> DataFrame:
     """Rows with c get certain copies, p and the Pareto rank v = q / (1 + q)."""
     each = F.when(F.col("size") > 0, F.least(F.lit(CAP), F.col("c") * F.col("weight"))).otherwise(F.lit(0.0))
@@ -154,13 +185,18 @@ def _taken(rows: DataFrame, table: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target, e and ``copies``."""
     drawn = _drawn(docs)
-    table = _sample(stored(drawn.select("source", "size", "weight", "u")))
-    return _taken(drawn, table).drop("u", "weight", "c", "certain", "p", "rank", "cut", "rest")
+    small = stored(drawn.select("source", "size", "weight", "u"))
+    if (apart := _apart(drawn, small)) is not None:
+        drawn = stored(apart)
+        small = drawn.select("source", "size", "weight", "u")
+    return _taken(drawn, _sample(small)).drop("u", "weight", "c", "certain", "p", "rank", "cut", "rest")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     small = stored(_drawn(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", "weight", "u"))
+    if (apart := _apart(small, small)) is not None:
+        small = stored(apart)
     rows = _taken(small, _sample(small))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -174,10 +210,12 @@ def stage(docs: DataFrame) -> DataFrame:
 #: The same mix in DuckDB.
 ORACLE = (
     f"""
-with draws as (
+with plain as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
          (cast(cast('0x' || substr(md5(concat('{SEED}|', coalesce(cast(doc_id as varchar), ''), '|', coalesce(text, ''))), 1, 13) as bigint) as double) + cast(0.5 as double)) / cast({2**52} as double) as u
   from documents),
+repeats as (select *, row_number() over (partition by source, u, size) - 1 as k from plain),
+draws as (select doc_id, source, size, case when k > 0 and size > 0 then u + k * cast({GOLDEN} as double) - floor(u + k * cast({GOLDEN} as double)) else u end as u from repeats),
 sized as (select source, cast(sum(size) as bigint) as source_size from draws group by source)"""
     + TARGETS
     + f"""

@@ -292,12 +292,14 @@ def plain_mix_of(rows):
         for _ in range(200):
             c = (low + high) / 2
             low, high = (c, high) if sum(n * min(2.0, c * n.bit_length()) for _, _, n in mine) < goal[s] else (low, c)
-        words, drawn = goal[s], []
+        words, drawn, seen = goal[s], [], {}
         for d, t, n in mine:
             e = min(2.0, high * n.bit_length()) if n else 0.0
             sure = 2 if e > 2 - 1e-9 else int(e)
             words -= sure * n
             u = (int(hashlib.md5(f"{mixing.SEED}|{'' if d is None else d}|{t or ''}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            k = seen[u, n] = seen.get((u, n), -1) + 1  # repeated rows are drawn one by one
+            u = (u + k * 0.6180339887498949) % 1
             p = e - sure
             drawn.append(((u / (1 - u)) / (p / (1 - p)) if 0 < p < 1 else float("inf"), d, n, sure))
         drawn.sort(key=lambda x: x[0])
