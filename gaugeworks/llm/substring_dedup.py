@@ -229,8 +229,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def substring_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, n_words, n_removed, kept_sha256, factors) for each row of docs(doc_id, text)."""
+    """(doc_id, tie, n_words, n_removed, kept_sha256, factors) for each row of docs(doc_id, text).
+
+    Rows equal in doc_id and text are one document: it is parsed once, and each row gets its digest.
+    """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    named = ["doc_id", "tie"]
+    again = stored(rows.groupBy(*named).agg(F.count("*").alias("cnt")).where("cnt > 1"))
+    if again.isEmpty():
+        return _parsed(rows)
+    one = rows.join(again, named, "left_semi").groupBy(*named).agg(F.first("text").alias("text"))
+    parsed = stored(_parsed(stored(rows.join(again, named, "left_anti").unionByName(one), "zstd")))
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "tie").alias("_key")
+    each = rows.select(*named).join(again, named, "left_semi").select(key)
+    digests = parsed.join(again.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID))).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi")
+    back = hot_join(each, digests.select(key, "*"), "_key", again.select(key, "cnt")).drop("_key")
+    whole = parsed.join(digests.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_anti")
+    return whole.unionByName(back)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """``substring_duplicates`` of rows(doc_id, tie, text), no two of them equal."""
     seeds = rows.mapInArrow(tidied(_seeds), "seed long, span long, doc_id long, tie long, at int")
     counts = stored(seeds.groupBy("seed").agg(F.count("*").alias("cnt")).where("cnt > 1"))
     repeated = stored(hot_join(seeds, counts.withColumn("again", F.lit(True)).drop("cnt"), "seed", counts).where("again").drop("again"))
