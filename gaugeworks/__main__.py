@@ -1,4 +1,4 @@
-"""Command line: validate, run, smoke, score, report, calibrate, profile, leaderboard, catalog, export, claims, author.
+"""Command line: validate, run, smoke, score, report, calibrate, profile, leaderboard, catalog, export, refresh, claims, author.
 
 Replies come from a Parquet table of recorded ones, from a command or from the
 chat service of the configuration; judge samples likewise.  Data errors go to the error
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gaugeworks.config import RunConfig, load_config
 from gaugeworks.errors import GaugeError
 from gaugeworks.operators import evidence, reports
-from gaugeworks.plans import lifecycle, surfaces
+from gaugeworks.plans import lifecycle, refresh, surfaces
 from gaugeworks.schemas import ITEM
 from gaugeworks.sources import harvest, ledger, runs, services, suites
 
@@ -27,9 +27,12 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="gaugeworks")
     sub = top.add_subparsers(dest="action", required=True)
     sub.add_parser("validate").add_argument("suite")
-    for name in ("run", "smoke"):
+    for name in ("run", "smoke", "refresh"):
         p = sub.add_parser(name)
-        p.add_argument("--suite", required=True)
+        if name == "refresh":
+            p.add_argument("--suites", required=True, help="folder of suite files")
+            p.add_argument("--yes", action="store_true", help="carry the plan out without asking")
+        p.add_argument("--suite", required=name != "refresh", help="suite file; for refresh its name or file in the folder, else it is asked for")
         p.add_argument("--models")
         source = p.add_mutually_exclusive_group(required=True)
         source.add_argument("--replies", help="Parquet table of recorded replies")
@@ -39,7 +42,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--samples", type=int)
         p.add_argument("--judges")
         p.add_argument("--budget", type=int)
-        p.add_argument("--resume", metavar="RUN_ID")
+        if name != "refresh":
+            p.add_argument("--resume", metavar="RUN_ID")
         p.add_argument("--out", default="data")
         p.add_argument("--config")
         p.add_argument("--preregister")
@@ -164,6 +168,39 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(bool(failed) or left)
 
 
+def _asked(question: str) -> str:
+    """An answer from the terminal; none at the end of the input."""
+    try:
+        return input(question).strip()
+    except EOFError:
+        return ""
+
+
+def _refresh(spark: SparkSession, a: argparse.Namespace) -> int:
+    config, found = load_config(a.config), refresh.choices(spark, a.suites)
+    if a.suite:
+        chosen = [x for x in found if a.suite in (x["suite"], x["file"])]
+        if len(chosen) != 1:
+            raise GaugeError(f"{a.suites} has {len(chosen)} valid suites {a.suite}")
+    else:
+        for i, x in enumerate(found, 1):
+            print(f"{i}\t{x['suite']}\t{x['n_items']} items\t{x['suite_hash'][:12]}\t{x['description']}")
+        answer = _asked("suite: ")
+        chosen = [found[int(answer) - 1]] if answer.isascii() and answer.isdigit() and 1 <= int(answer) <= len(found) else []
+    if not chosen:
+        print("cancelled")
+        return 0
+    samples, budget = config.samples_per_cell if a.samples is None else a.samples, config.max_calls if a.budget is None else a.budget
+    plan = refresh.plan(spark, f"{a.suites.rstrip('/')}/{chosen[0]['file']}", a.out, _names(a.models, config.roster), budget, samples, _names(a.judges, config.judges))
+    print(plan.render())
+    if not a.yes and _asked("carry this out (yes or no)? ") != "yes":
+        print("cancelled")
+        return 0
+    replies = lifecycle.recorded(spark.read.parquet(a.replies)) if a.replies else _live(a, config)
+    print(json.dumps(refresh.execute(spark, plan, replies, a.wave, config.config_source, a.preregister), sort_keys=True))
+    return 0
+
+
 def _report(spark: SparkSession, a: argparse.Namespace) -> int:
     folders = [runs.run_dir(a.out, x) for x in (a.run_id, *a.compare)]
     if a.compare:
@@ -234,7 +271,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             suite = suites.load_suite(spark, a.suite)
             print(f"{suite['suite']} {len(suite['items'])} items {suites.suite_hash(suite)}")
             return 0
-        done = {"run": _run, "smoke": _run, "score": _score, "report": _report, "claims": _claims, "author": _author}
+        done = {"run": _run, "smoke": _run, "refresh": _refresh, "score": _score, "report": _report, "claims": _claims, "author": _author}
         return done.get(a.action, _surfaces)(spark, a)
     except GaugeError as e:
         print(f"gaugeworks: {e}", file=sys.stderr)

@@ -1,12 +1,13 @@
 """Runs from start to report: start, sweep or resume, score, report, compare.
 
 A run's folder holds ``manifest.json`` and ``suite.json``, written once, and
-``rows/v000000``, ``v000001`` ..: Parquet, partitioned by run and model.  A
-sweep appends to the newest version wave by wave; live replies are journaled
-below ``calls`` as they come (``sources.calls``), so neither a lost executor nor
-a failed wave loses one.  Scoring writes the next version aside and moves it
-in place once it is checked, so a reader never sees half of it.  Replies come
-from a table of recorded ones, from a service or a command line
+``rows``, a log of commits (``sources.versions``) of Parquet, partitioned by run
+and model.  A sweep commits wave by wave; live replies are journaled below
+``calls`` as they come (``sources.calls``), so neither a lost executor nor a
+failed wave loses one.  Scoring replaces all rows by one commit once they are
+checked.  Several sweeps may fill one run: a cell counts once.  Scores that
+another commit has overtaken are refused, and the run is to be scored again.
+Replies come from a table of recorded ones, from a service or a command line
 (``sources.services``) or from a caller in Python that runs within the executors.
 """
 
@@ -25,7 +26,7 @@ from gaugeworks.functions import text as X
 from gaugeworks.operators import cells, judging, reports
 from gaugeworks.operators.ordinals import numbered
 from gaugeworks.schemas import CELL, NO_RESPONSE, PARSE_FAIL, REASONS, ROW
-from gaugeworks.sources import runs, services, suites
+from gaugeworks.sources import runs, services, suites, versions
 from gaugeworks.sources.calls import Budget, Calls
 from gaugeworks.sources.tables import remove
 
@@ -33,29 +34,22 @@ from gaugeworks.sources.tables import remove
 Caller = Callable[[str, str], tuple[str, str, str | None, str | None]]
 Replies = services.Replies
 
+#: Rows lie by run and model, so that reports prune and never read replies they do not need.
+BY = ["run_id", "model"]
 REPLY = "state string, response_raw string, reason string, model_id_resolved string, elapsed_s double"
 
 
-def files(spark: SparkSession, path: str) -> list[str]:
-    """Names below a folder of whatever store; none if it is not there."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(x.getPath().getName() for x in store.listStatus(target)) if store.exists(target) else []
-
-
 def newest(spark: SparkSession, folder: str) -> int:
-    """The last version whose writing has ended; 0 for a run without rows."""
-    whole = [int(v[1:]) for v in files(spark, f"{folder}/rows") if "_SUCCESS" in files(spark, f"{folder}/rows/{v}")]
-    return max(whole, default=0)
+    """How often the rows of a run have been replaced by newly scored ones."""
+    return versions.current(spark, f"{folder}/rows").generation
 
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
-    at = f"{folder}/rows/v{newest(spark, folder):06d}"
-    return spark.read.schema(ROW).parquet(at) if files(spark, at) else spark.createDataFrame([], ROW)
+    return versions.read(spark, f"{folder}/rows", ROW)
 
 
-def start(spark: SparkSession, root: str, suite: dict, roster: list[str], samples: int = 1, judges: list[str] = (), budget: int = 500, config_source: str = "defaults", preregistration: str | None = None, now: datetime | None = None) -> str:
-    """The folder of a new run; every parameter is checked before anything is written."""
+def checked(roster: list[str], samples: int, judges: list[str], budget: int) -> tuple[list[str], list[str]]:
+    """(roster, judges), each name once, if they and the numbers keep the rules."""
     roster, judges = list(dict.fromkeys(roster)), list(dict.fromkeys(judges))
     if not roster:
         raise RunError("the roster is empty")
@@ -63,12 +57,19 @@ def start(spark: SparkSession, root: str, suite: dict, roster: list[str], sample
         suites.safe_name(name, "model", RunError)
     suites.whole(samples, 1, "samples", RunError)
     suites.whole(budget, 1, "budget", RunError)
+    return roster, judges
+
+
+def start(spark: SparkSession, root: str, suite: dict, roster: list[str], samples: int = 1, judges: list[str] = (), budget: int = 500, config_source: str = "defaults", preregistration: str | None = None, now: datetime | None = None) -> str:
+    """The folder of a new run; every parameter is checked before anything is written."""
+    roster, judges = checked(roster, samples, judges, budget)
     now = now or datetime.now(timezone.utc)
     run_id = runs.mint_run_id(now)
     folder = runs.run_dir(root, run_id)
     manifest = {
         "run_id": run_id, "suite": suite["suite"], "suite_hash": suites.suite_hash(suite), "roster": roster, "samples_per_cell": samples, "judges": judges,
         "started_utc": f"{now:%Y-%m-%dT%H:%M:%SZ}", "config_source": config_source, "budgets": {"max_calls": budget}, "preregistration": preregistration,
+        "fingerprint": suites.fingerprint(suite),
     }
     runs.write_once(spark, manifest, f"{folder}/manifest.json")
     runs.write_once(spark, {**suite, "scoring": {k: v for k, v in suite["scoring"].items() if v is not None and (v or k != "regex")}}, f"{folder}/suite.json")
@@ -133,12 +134,12 @@ def _checked(done: DataFrame) -> DataFrame:
     return done.withColumn("error", F.when(bad, F.raise_error(told)).when(F.col("state") == "error", F.col("reason")))
 
 
-def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE, budget: Budget | None = None) -> dict:
+def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE, budget: Budget | None = None, most: int | None = None) -> dict:
     """Fill pending cells in sweep order, ``wave`` cells at a time, until none is left or the calls are spent.
 
     Pending cells are numbered once; a wave is a range of numbers.  ``budget``
-    may be shared with other steps; else the run's number of calls is dealt
-    anew, so that another sweep resumes with a fresh one.  Live replies are
+    may be shared with other steps; else ``most`` calls, or the run's number of
+    them, are dealt anew, so that another sweep resumes with a fresh one.  Live replies are
     journaled until their wave is committed; cells that found no call left stay pending.
     """
     suites.whole(wave, 1, "wave", RunError)
@@ -148,12 +149,14 @@ def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE,
     models = spark.createDataFrame(list(enumerate(manifest["roster"])), "_model int, model string")
     cells.check_no_orphans(rows(spark, folder), items)
     parsed, score, name = scorer(suite)
-    most, target = manifest["budgets"]["max_calls"], f"{folder}/rows/v{newest(spark, folder):06d}"
+    most, target = most or manifest["budgets"]["max_calls"], f"{folder}/rows"
     live = getattr(replies, "live", False)
     calls = Calls(f"{folder}/calls/journal", budget or Budget.deal(f"{folder}/calls", most)) if live else None
     executed, waiting, refused, at = 0, None, True, 0
     while refused:  # what one task gave back may be enough for cells that another had to leave
-        left = cells.pending_cells(items, models, manifest["samples_per_cell"], rows(spark, folder)).join(places, "item_id").join(models, "model")
+        seen = versions.current(spark, target)
+        known = set(seen.parts)
+        left = cells.pending_cells(items, models, manifest["samples_per_cell"], versions.read(spark, target, ROW, seen)).join(places, "item_id").join(models, "model")
         left = numbered(left, ["_model", "_item", "sample_k"], "_number").drop("_model", "_item")
         count, at, refused = left.count(), 0, False
         waiting = count if waiting is None else waiting
@@ -169,17 +172,16 @@ def sweep(spark: SparkSession, folder: str, replies: Replies, wave: int = WAVE,
                 "run_id": F.lit(manifest["run_id"]), "model_id_resolved": F.coalesce("model_id_resolved", "model"), "judge_scores": F.lit(None).cast("array<double>"),
                 "elapsed_s": F.coalesce("elapsed_s", F.lit(0.0)), "response_raw": F.when(silent, "").otherwise(F.col("response_raw")),
             })
-            before = rows(spark, folder).count()
             try:
-                runs.append_rows(full.select(*ROW.fieldNames()), target)
+                part, added, others = versions.append(full.select(*ROW.fieldNames()), target, known, CELL, BY)
             except PySparkException as e:
                 if _BAD_REPLY in str(e):
                     raise AdapterError(str(e)[str(e).index(_BAD_REPLY) :].split("\n")[0]) from e
                 raise
             if calls:
                 calls.forget(spark)
-            added = rows(spark, folder).count() - before
-            executed, at, refused = executed + added, at + size, refused or added < size
+            known.add(part)
+            executed, waiting, at, refused = executed + added, waiting - others, at + size, refused or added + others < size
         refused = refused and bool(calls and calls.budget.reclaim())
     return {"run_id": manifest["run_id"], "executed": executed, "pending": waiting - executed, "aborted": waiting > executed}
 
@@ -190,7 +192,8 @@ def score(spark: SparkSession, folder: str, samples: DataFrame | None = None) ->
     Orphan rows and the judges' gate raise before anything is written.
     """
     _, suite = runs.open_run(spark, folder)
-    items, now = suites.item_frame(spark, suite), rows(spark, folder)
+    seen = versions.current(spark, f"{folder}/rows")
+    items, now = suites.item_frame(spark, suite), versions.read(spark, f"{folder}/rows", ROW, seen)
     cells.check_no_orphans(now, items)
     if suite["scoring"]["type"] == "rubric":
         if samples is None:
@@ -207,12 +210,11 @@ def score(spark: SparkSession, folder: str, samples: DataFrame | None = None) ->
     else:
         parsed, value, name = scorer(suite)
         out = cells.rescore(now.join(items.select("item_id", "expected"), "item_id"), parsed, value, name)
-    version = newest(spark, folder) + 1
-    aside = f"{folder}/aside/v{version:06d}"
-    out.select(*ROW.fieldNames()).write.mode("overwrite").partitionBy("run_id", "model").parquet(aside)
-    runs.check_same_rows(now, spark.read.schema(ROW).parquet(aside))
-    runs.move(spark, aside, f"{folder}/rows/v{version:06d}")
-    return reports.score_summary(rows(spark, folder)).first().asDict()
+    part = versions.write(out.select(*ROW.fieldNames()), f"{folder}/rows", BY)
+    made = versions.Version(parts=(part,))
+    runs.check_same_rows(now, versions.read(spark, f"{folder}/rows", ROW, made))
+    done = versions.commit(spark, f"{folder}/rows", seen, part, replace=True)
+    return reports.score_summary(versions.read(spark, f"{folder}/rows", ROW, done)).first().asDict()
 
 
 def judged(spark: SparkSession, folder: str, judges: list[str], samples: int, replies: Replies, budget: Budget | None = None) -> DataFrame:
@@ -273,6 +275,8 @@ def compare(spark: SparkSession, folders: list[str]) -> str:
         raise ReportError("nothing to compare")
     built = [report(spark, f) for f in folders]
     reports.check_same_instrument(spark.createDataFrame([(m["suite_hash"],) for m, _ in built], "suite_hash string"))
+    if len({m["fingerprint"] for m, _ in built if m["fingerprint"]}) > 1:
+        raise ReportError("runs that were scored in different ways cannot be compared")
     scores = [{m["model"]: m["suite_score"] for m in models} for _, models in built]
     lines = [f"| {name} | " + " | ".join(X.score_text(s[name]) if name in s else "-" for s in scores) + " |" for name in sorted(set().union(*scores))]
     return "\n".join(["| model | " + " | ".join(m["run_id"] for m, _ in built) + " |", "|-" * (len(built) + 1) + "|", *lines, ""])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +10,14 @@ from gaugeworks.functions.text import score_text
 from gaugeworks.operators import calibration as C
 from gaugeworks.operators import reports
 from gaugeworks.plans import lifecycle
-from gaugeworks.sources import runs, suites
+from gaugeworks.sources import runs, suites, versions
 
 CONTRACT = 1
 
 
 def stored_runs(spark: SparkSession, root: str) -> list[str]:
     """Folders of the runs below ``root``, by name."""
-    return [f"{root.rstrip('/')}/{x}" for x in lifecycle.files(spark, root) if runs.RUN_ID.match(x)]
-
-
-def fingerprint(suite: dict) -> str:
-    """How a suite is scored; runs with another one are not comparable even over the same items."""
-    return hashlib.sha256(json.dumps(suite["scoring"], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return [f"{root.rstrip('/')}/{x}" for x in versions.names(spark, root) if runs.RUN_ID.match(x)]
 
 
 def _of_suite(spark: SparkSession, folders: list[str], wanted: str | None = None) -> tuple[dict, list[str]]:
@@ -77,20 +69,30 @@ def render_profile(model: str, tags: list[dict], gaps: list[dict]) -> str:
     return "\n".join([f"# {model}", "", "| tag | items | accuracy | to the mean | rank |", "|-|-|-|-|-|", *lines, "", "| tag | gap between models |", "|-|-|", *widest, ""])
 
 
+#: Why an entry has no rank: its run was started before fingerprints were kept.
+LEGACY = "incomparable_legacy"
+
+
 def leaderboard(spark: SparkSession, folders: list[str]) -> list[dict]:
-    """Models of the newest run of each (suite, way of scoring, model), ranked within comparable groups only."""
+    """Models of the newest run of each (suite, way of scoring, model), ranked within comparable groups only.
+
+    Entries of runs without a fingerprint come last, each by itself, without a rank and with the reason as ``refused``.
+    """
     entries = []
     for folder in folders:
         manifest, suite = runs.open_run(spark, folder)
         models = lifecycle.report(spark, folder)[1]
-        same = {"suite": suite["suite"], "suite_hash": manifest["suite_hash"], "fingerprint": fingerprint(suite), "run_id": manifest["run_id"], "started": manifest["started_utc"]}
+        same = {"suite": suite["suite"], "suite_hash": manifest["suite_hash"], "fingerprint": manifest["fingerprint"], "run_id": manifest["run_id"], "started": manifest["started_utc"]}
         entries += [same | {k: m[k] for k in ("model", "suite_score", "n_items", "n_scored", "n_parse_fail")} for m in models if m["n_cells"]]
     if not entries:
         return []
     schema = "suite string, suite_hash string, fingerprint string, run_id string, started string, model string, score double, n_items long, n_scored long, n_parse_fail long"
-    table = spark.createDataFrame([tuple(e.values()) for e in entries], schema)
-    latest = reports.latest_runs(table, ["suite_hash", "fingerprint", "model"]).where("score is not null")
-    return [r.asDict() for r in reports.leaderboard(latest).orderBy("suite", "suite_hash", "fingerprint", "rank", "model").collect()]
+    table = spark.createDataFrame([tuple(e.values()) for e in entries], schema).where("score is not null")
+    latest = reports.latest_runs(table.where("fingerprint is not null"), ["suite_hash", "fingerprint", "model"])
+    ranked = reports.leaderboard(latest).withColumn("refused", F.lit(None).cast("string"))
+    legacy = table.where("fingerprint is null").withColumns({"rank": F.lit(None).cast("int"), "refused": F.lit(LEGACY)})
+    order = [F.col("refused").asc_nulls_first(), "suite", "suite_hash", "fingerprint", "rank", "model", "started", "run_id"]
+    return [r.asDict() for r in ranked.unionByName(legacy).orderBy(*order).collect()]
 
 
 def render_leaderboard(rows: list[dict]) -> str:
@@ -98,16 +100,16 @@ def render_leaderboard(rows: list[dict]) -> str:
     for r in rows:
         group = (r["suite"], r["suite_hash"], r["fingerprint"])
         if group != now:
-            out += ["", f"## {r['suite']} ({r['suite_hash'][:12]}, scoring {r['fingerprint'][:12]})", "", "| rank | model | score | items | scored | parse fail | run |", "|-|-|-|-|-|-|-|"]
+            out += ["", f"## {r['suite']} ({r['suite_hash'][:12]}, scoring {(r['fingerprint'] or r['refused'])[:20]})", "", "| rank | model | score | items | scored | parse fail | run |", "|-|-|-|-|-|-|-|"]
             now = group
-        out.append(f"| {r['rank']} | {r['model']} | {score_text(r['score'])} | {r['n_items']} | {r['n_scored']} | {r['n_parse_fail']} | {r['run_id']} |")
+        out.append(f"| {'-' if r['rank'] is None else r['rank']} | {r['model']} | {score_text(r['score'])} | {r['n_items']} | {r['n_scored']} | {r['n_parse_fail']} | {r['run_id']} |")
     return "\n".join(["# Leaderboard", *out, ""])
 
 
 def catalog(spark: SparkSession, folder: str) -> list[dict]:
     """The suites of a folder; one that breaks a rule stays in the list as invalid, with the reason."""
     out = []
-    for name in lifecycle.files(spark, folder):
+    for name in versions.names(spark, folder):
         if not name.endswith(".json"):
             continue
         try:
@@ -118,7 +120,7 @@ def catalog(spark: SparkSession, folder: str) -> list[dict]:
         tags = sorted({t for item in suite["items"] for t in item["tags"]})
         provenance = sorted({item["provenance"].split(";")[0] for item in suite["items"]})
         about = {k: suite[k] for k in ("suite", "version", "description", "domain", "scoring")}
-        out.append({"file": name, "valid": True, **about, "n_items": len(suite["items"]), "tags": tags, "provenance": provenance, "suite_hash": suites.suite_hash(suite), "fingerprint": fingerprint(suite)})
+        out.append({"file": name, "valid": True, **about, "n_items": len(suite["items"]), "tags": tags, "provenance": provenance, "suite_hash": suites.suite_hash(suite), "fingerprint": suites.fingerprint(suite)})
     return out
 
 

@@ -16,7 +16,7 @@ ROW = _struct(
     run_id=S, model=S, model_id_resolved=S, item_id=S, sample_k=I, response_raw=S, parsed=S, score=D, scorer=S, judge_scores=T.ArrayType(D), elapsed_s=D, error=S
 )
 MANIFEST = _struct(
-    run_id=S, suite=S, suite_hash=S, roster=T.ArrayType(S), samples_per_cell=I, judges=T.ArrayType(S), started_utc=S, config_source=S, budgets=_struct(max_calls=I), preregistration=S
+    run_id=S, suite=S, suite_hash=S, roster=T.ArrayType(S), samples_per_cell=I, judges=T.ArrayType(S), started_utc=S, config_source=S, budgets=_struct(max_calls=I), preregistration=S, fingerprint=S
 )
 CLAIM = _struct(
     claim_id=S, statement=S, decision_surface=S, sources=T.ArrayType(_struct(file=S, lines=S, quote_sha256=S)), status=S, evidence=T.ArrayType(S), verdict=S, preregistration=S, last_verified_utc=S

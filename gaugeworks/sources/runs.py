@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugeworks.errors import RunError
 from gaugeworks.schemas import MANIFEST, ROW
 from gaugeworks.sources.suites import check_keys, read_bytes, strict_json, suite_hash, validate_suite
+from gaugeworks.sources.versions import create_once
 
 RUN_ID = re.compile(r"\Arun_\d{8}T\d{6}Z_[0-9a-f]{6}\Z")
 
@@ -28,9 +29,10 @@ def run_dir(root: str, run_id: str) -> str:
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:
+    """The manifest; runs from before fingerprints were kept have none."""
     value = strict_json(read_bytes(spark, f"{folder}/manifest.json", RunError), "manifest", RunError)
-    check_keys(value, set(MANIFEST.fieldNames()), set(), "manifest", RunError)
-    return value
+    check_keys(value, set(MANIFEST.fieldNames()) - {"fingerprint"}, {"fingerprint"}, "manifest", RunError)
+    return {"fingerprint": None} | value
 
 
 def open_run(spark: SparkSession, folder: str) -> tuple[dict, dict]:
@@ -83,23 +85,10 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return marked.where("good").select(F.from_json("line", ROW).alias("r")).select("r.*")
 
 
-def append_rows(rows: DataFrame, folder: str) -> None:
-    """Parquet rows, partitioned so that reports prune and never read replies they do not need."""
-    rows.write.mode("append").partitionBy("run_id", "model").parquet(folder)
-
-
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Move a whole folder in place; refuses to replace one."""
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target)]
-    store = paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(paths[1].getParent())
-    if store.exists(paths[1]) or not store.rename(*paths):
-        raise RunError(f"{target} is there already or cannot be written")
-
-
-def write_once(spark: SparkSession, value: dict, folder: str) -> None:
-    """A control object as JSON; refuses to overwrite."""
-    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(folder)
+def write_once(spark: SparkSession, value: dict, path: str) -> None:
+    """A control object as a JSON file; refuses to overwrite, also what another writer has just made."""
+    if not create_once(spark, path, json.dumps(value, sort_keys=True) + "\n"):
+        raise RunError(f"{path} is there already")
 
 
 def check_same_rows(before: DataFrame, after: DataFrame) -> None:

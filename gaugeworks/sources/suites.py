@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -140,3 +141,13 @@ def item_frame(spark: SparkSession, suite: dict) -> DataFrame:
 
 def suite_hash(suite: dict) -> str:
     return canonical_hash(suite["items"])
+
+
+#: To be raised with every change of how replies become scores.
+SCORING_VERSION = 1
+
+
+def fingerprint(suite: dict) -> str:
+    """How a suite is scored, by its rules and by this version; runs with another one are not comparable even over the same items."""
+    rules = {k: v for k, v in suite["scoring"].items() if v is not None and (v or k != "regex")}
+    return hashlib.sha256(json.dumps({"scoring": rules, "version": SCORING_VERSION}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
