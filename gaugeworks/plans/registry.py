@@ -11,7 +11,9 @@ from gaugeworks.functions import text as X
 from gaugeworks.functions.views import CLAIM_COLUMNS, oracle, table, view
 from gaugeworks.operators import calibration as C
 from gaugeworks.operators import cells, evidence, judging, replies, reports
-from gaugeworks.sources import harvest
+from gaugeworks.sources import accepted, harvest
+from gaugeworks.sources.tables import own_path
+from gaugeworks.streaming import rowlog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +46,12 @@ def model_report(s, d):
     return reports.model_report(rows(s, d))
 
 
+@query(_REPORT)
+def report_of_item_sums(s, d):
+    """The report as a live one adds it up: from sums by (model, item)."""
+    return rowlog.report_of_sums(rowlog.item_sums(rows(s, d)))
+
+
 @query(f"with report as ({_REPORT}) select count(*) as n_models, cast(sum(n_cells) as bigint) as n_cells, cast(sum(n_scored) as bigint) as n_scored, cast(sum(n_no_response) as bigint) as n_no_response, cast(sum(n_parse_fail) as bigint) as n_parse_fail, cast(sum(n_error) as bigint) as n_error from report")
 def run_totals(s, d):
     return reports.run_totals(model_report(s, d))
@@ -350,6 +358,17 @@ def dedup_candidates(s, d):
     return evidence.dedup(hashed, ["h"], ["doc_id"]).select("doc_id")
 
 
+@query("select min(doc_id) as doc_id from documents group by sha256(text) having count(case when doc_id in (select doc_id from labels) then 1 end) = 0 and max(text) is not null")
+def second_harvest(s, d):
+    """Labelled documents are accepted by a first harvest; a second one of all documents gives what is new in it, the first of each text."""
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", "text")
+    index = accepted.Accepted(s, own_path(s))
+    index.accept(docs.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["text"], ["doc_id"], "labelled")
+    fresh = index.accept(docs, ["text"], ["doc_id"], "all").select("doc_id")
+    index.forget()
+    return fresh
+
+
 @query("select d.doc_id from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 0)")
 def approved_bads(s, d):
     manifest = table(s, d, "labels").select(F.col("doc_id").alias("file"), (F.col("quality") == 0).alias("verified_fails"))

@@ -33,10 +33,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def own_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/gaugeworks-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _ours[path] = spark
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table that outlives lost executors and goes when the driver ends."""
-    path = f"{shared_folder(df.sparkSession)}/gaugeworks-tables/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _ours[path] = df.sparkSession
+    path = own_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
