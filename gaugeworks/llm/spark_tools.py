@@ -53,25 +53,37 @@ atexit.register(_clean)
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
-
-    The table survives lost executors, is computed once however often it is
-    read, and goes when the driver ends; Spark removes the shuffle files of the
-    write when it ends.  ``free`` names stored tables whose last reader this
-    is; they go at once.  Settings that the session has of its own stay.
-    """
-    spark = df.sparkSession
+def own_path(spark: SparkSession) -> str:
+    """A new path below the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written[path] = spark
+    return path
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of ``WRITING`` for a while, but for those that the session has of its own."""
     ours = {k: v for k, v in WRITING.items() if spark.conf.get(k, None) is None}
     try:
         for k, v in ours.items():
             spark.conf.set(k, v)
-        df.write.option("compression", codec).parquet(path)
+        yield
     finally:
         for k in ours:
             spark.conf.unset(k)
+
+
+def stored(df: DataFrame, codec: str = "snappy", free: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
+
+    The table survives lost executors, is computed once however often it is
+    read, and goes when the driver ends; Spark removes the shuffle files of the
+    write when it ends.  ``free`` names stored tables whose last reader this
+    is; they go at once.  Settings that the session has of its own stay.
+    """
+    spark, path = df.sparkSession, own_path(df.sparkSession)
+    with writing(spark):
+        df.write.option("compression", codec).parquet(path)
     release(*free)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path

@@ -13,7 +13,10 @@ One pass tokenises the texts in range partitions of (doc_id, text) order and
 keeps the packed sequences; with the counts of its partitions every sequence
 has its number, and so its slot.  The sequences then go to range partitions of
 slots, dealt by arithmetic without sampling, a whole number of shards each.
-``write_shards`` writes one file a shard; ``ShardReader`` reads from any slot on.
+``write_shards`` writes one file a shard and an index of what each slot holds;
+``ShardReader`` reads from any slot on.  The query and the pipeline return what
+``read_back`` finds in those files: tasks seek to the bytes that the index
+names, so nothing is shuffled again.
 
 Null and empty texts give one sequence of end marks with n_tokens 1 (the end
 mark).  Equal rows take neighbouring numbers, each its own sequences.  A null
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import uuid
 from array import array
@@ -34,11 +38,12 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.feistel import Feistel
-from gaugeworks.llm.spark_tools import documents, stored, tidied
+from gaugeworks.llm.spark_tools import documents, own_path, release, stored, tidied, writing
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of the vocabulary in its possessive form, which parts every text as the plain one does but without backtracking.
@@ -88,6 +93,9 @@ REMEMBERED = 16 << 20
 #: Bytes of sequences that a range partition is to hold, about, and the most partitions; one shard at least each.
 PARTITION, MOST_RANGES = 16 << 20, 100_000
 
+#: What the index of written shards says of each sequence.
+INDEX = ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens"]
+INDEXED = "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, sha256 string"
 PACKED = "at long, doc_id long, part int, n_tokens int, tokens binary"
 
 
@@ -131,6 +139,11 @@ def _packed(rows: DataFrame, length: int, vocabulary: str) -> DataFrame:
 
 def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, part, n_tokens, tokens): every sequence, in partitions of whole shards, sorted by slot."""
+    return _placed(docs, length, per_shard, key, vocabulary)[0]
+
+
+def _placed(docs: DataFrame, length: int, per_shard: int, key: int, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    """(what ``materialise`` gives, the stored sequences it is made from)."""
     spark = docs.sparkSession
     order = ["doc_id", "tie", "row"]  # the place in the input spreads equal rows over partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -151,7 +164,14 @@ def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     placed = packed.join(offsets, "task").withColumn("slot", slot_of(F.col("before") + F.col("at")))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).withColumn("byte_offset", F.col("slot") % per_shard * (2 * length))
     dealt = placed.repartitionById(ranges, F.expr(f"cast(shard * {ranges}L div {max(1, shards)} as int)")).sortWithinPartitions("slot")
-    return dealt.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens")
+    return dealt.select(*INDEX, "tokens"), packed
+
+
+def _store(folder: str):
+    """(file system, path) of an address as Spark writes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"\Afile:/(?!/)", "file:///", folder))
 
 
 def shard_name(shard: int) -> str:
@@ -159,55 +179,88 @@ def shard_name(shard: int) -> str:
 
 
 def write_shards(sequences: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write one file a shard to an absolute path or address; gives (shard, first_slot, n_sequences, sha256), also kept in its ``manifest``.
+    """Write one file a shard to an absolute path or address; gives (shard, first_slot, n_sequences, sha256).
 
     ``sequences`` are as ``materialise`` gives them.  A file is written beside
     its place and then moved there, so a task that runs again does no harm and
-    a reader never sees half a shard.
+    a reader never sees half a shard.  ``index`` in the folder keeps what every
+    slot holds and the digest of its shard; it is there once all shards are.
     """
     stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
 
-        def write(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
-            data = b"".join(blobs)
+        def write(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            data = b"".join(x.as_buffer() for x in whole["tokens"])
             beside = f"{root}/.{shard_name(shard)}-{uuid.uuid4().hex}"
             with store.open_output_stream(beside) as out:
                 out.write(data)
             store.move(beside, f"{root}/{shard_name(shard)}")
-            columns = [pa.array([shard], pa.int32()), pa.array([shard * per_shard]), pa.array([len(blobs)]), pa.array([hashlib.sha256(data).hexdigest()])]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "first_slot", "n_sequences", "sha256"])
+            index = whole.drop_columns(["tokens"]).append_column("sha256", pa.array([hashlib.sha256(data).hexdigest()] * len(whole)))
+            return index.to_batches()[0]
 
-        now, blobs = None, []
+        now, held, n = None, [], 0
         for batch in batches:
-            for slot, tokens in zip(batch.column("slot").to_pylist(), batch.column("tokens")):
-                shard, place = divmod(slot, per_shard)
-                if shard != now:
-                    if blobs:
-                        yield write(now, blobs)
-                    now, blobs = shard, []
-                if place != len(blobs) or len(tokens.as_buffer()) != stride:
-                    raise ValueError(f"slot {slot} does not follow: sequences are not sorted or of another length")
-                blobs.append(tokens.as_py())
-        if blobs:
-            yield write(now, blobs)
-
-    made = sequences.select("slot", "tokens").mapInArrow(tidied(run), "shard int, first_slot long, n_sequences long, sha256 string")
-    made.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return sequences.sparkSession.read.parquet(f"{folder}/manifest")
+            slot, size = batch.column("slot").to_numpy(), pa.compute.binary_length(batch.column("tokens")).to_numpy()
+            shards = slot // per_shard
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(slot)] if len(slot) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if shards[a] != now:
+                    if held:
+                        yield write(now, held)
+                    now, held, n = int(shards[a]), [], 0
+                if (slot[a:b] != now * per_shard + n + np.arange(b - a)).any() or (size[a:b] != stride).any():
+                    raise ValueError(f"shard {now} has gaps: sequences are not sorted or of another length")
+                held.append(batch.slice(a, b - a))
+                n += b - a
+        if held:
+            yield write(now, held)
+
+    spark = sequences.sparkSession
+    made = sequences.select(*INDEX, "tokens").mapInArrow(tidied(run), INDEXED)
+    with writing(spark):
+        made.write.mode("overwrite").parquet(f"{folder}/index")
+    index = spark.read.schema(INDEXED).parquet(f"{folder}/index")
+    return index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n_sequences"), F.first("sha256").alias("sha256"))
+
+
+def read_back(spark: SparkSession, folder: str, length: int = LENGTH) -> DataFrame:
+    """What ``materialise`` gave, from the files that ``write_shards`` made of it: each task reads the bytes that its rows of the index name."""
+    stride = 2 * length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        open_, file = None, None
+        for batch in batches:
+            slot, shard, at = (batch.column(c).to_numpy() for c in ("slot", "shard", "byte_offset"))
+            cuts = [0, *(np.flatnonzero((np.diff(slot) != 1) | (np.diff(shard) != 0)) + 1), len(slot)] if len(slot) else []
+            blobs = []
+            for a, b in zip(cuts[:-1], cuts[1:]):  # neighbours in a shard are read at once
+                if shard[a] != open_:
+                    if file:
+                        file.close()
+                    open_, file = shard[a], store.open_input_file(f"{root}/{shard_name(int(shard[a]))}")
+                file.seek(int(at[a]))
+                raw = file.read((b - a) * stride)
+                if len(raw) != (b - a) * stride:
+                    raise ValueError(f"shard {open_} ends before slot {slot[b - 1]}")
+                blobs += [raw[k : k + stride] for k in range(0, len(raw), stride)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blobs, pa.binary())], names=[*batch.schema.names, "tokens"])
+        if file:
+            file.close()
+
+    index = spark.read.schema(INDEXED).parquet(f"{folder}/index").select(*INDEX)
+    return index.mapInArrow(tidied(run), index.schema.add("tokens", "binary"))
 
 
 class ShardReader:
     """Reads sequences in training order from any slot on, one seek and then straight through."""
 
     def __init__(self, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD):
-        from pyarrow import fs
-
-        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store, self.root = _store(folder)
         self.stride, self.per_shard = 2 * length, per_shard
 
     def read(self, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
@@ -227,5 +280,14 @@ class ShardReader:
                 return
 
 
+def stage(docs: DataFrame) -> DataFrame:
+    """Write all shards below the shared folder; gives every sequence as it is read back from them."""
+    spark, folder = docs.sparkSession, own_path(docs.sparkSession)
+    sequences, packed = _placed(docs, LENGTH, PER_SHARD, KEY, VOCABULARY)
+    write_shards(sequences, folder)
+    release(packed)
+    return read_back(spark, folder)
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(documents(spark, sf_dir))
+    return stage(documents(spark, sf_dir))

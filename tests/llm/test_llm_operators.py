@@ -490,6 +490,16 @@ def test_token_shards(docs, none, tmp_path):
     for start in (0, 5, 16, 37, len(rows) - 1, len(rows)):
         read = list(token_shards.ShardReader(folder, 64, 16).read(start))
         assert [s for s, _ in read] == list(range(start, len(rows))) and [x.tobytes() for _, x in read] == tokens[start:]
+    back = token_shards.read_back(docs.sparkSession, folder.replace("file:///", "file:/"), 64)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows)) and back.columns == token_shards.materialise(docs, 64, 16).columns
+    digests = {m["shard"]: m["sha256"] for m in made}
+    for path in tmp_path.glob("shards/shard-*.bin"):
+        assert digests[int(path.name[6:14])] == hashlib.sha256(path.read_bytes()).hexdigest()
+    last = max(tmp_path.glob("shards/shard-*.bin"))
+    last.write_bytes(last.read_bytes()[:-1])
+    with pytest.raises(Exception, match="ends before slot"):
+        back.collect()
+    assert token_shards.stage(none).count() == 0
     shards = token_shards.materialise(docs, 64, 16).select("shard", F.spark_partition_id().alias("p")).distinct().collect()
     assert len({r["shard"] for r in shards}) == len(shards)  # a shard lies in one partition
     assert token_shards.materialise(none).count() == 0
