@@ -253,7 +253,7 @@ def read_back(spark: SparkSession, folder: str, length: int = LENGTH) -> DataFra
             file.close()
 
     index = spark.read.schema(INDEXED).parquet(f"{folder}/index").select(*INDEX)
-    return index.mapInArrow(tidied(run), index.schema.add("tokens", "binary"))
+    return index.mapInArrow(tidied(run), INDEXED.replace("sha256 string", "tokens binary"))
 
 
 class ShardReader:
