@@ -142,8 +142,8 @@ def materialise(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     return _placed(docs, length, per_shard, key, vocabulary)[0]
 
 
-def _placed(docs: DataFrame, length: int, per_shard: int, key: int, vocabulary: str) -> tuple[DataFrame, DataFrame]:
-    """(what ``materialise`` gives, the stored sequences it is made from)."""
+def _placed(docs: DataFrame, length: int, per_shard: int, key: int, vocabulary: str) -> tuple[DataFrame, DataFrame, int]:
+    """(what ``materialise`` gives, the stored sequences it is made from, the number of shards)."""
     spark = docs.sparkSession
     order = ["doc_id", "tie", "row"]  # the place in the input spreads equal rows over partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -164,7 +164,7 @@ def _placed(docs: DataFrame, length: int, per_shard: int, key: int, vocabulary:
     placed = packed.join(offsets, "task").withColumn("slot", slot_of(F.col("before") + F.col("at")))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)")).withColumn("byte_offset", F.col("slot") % per_shard * (2 * length))
     dealt = placed.repartitionById(ranges, F.expr(f"cast(shard * {ranges}L div {max(1, shards)} as int)")).sortWithinPartitions("slot")
-    return dealt.select(*INDEX, "tokens"), packed
+    return dealt.select(*INDEX, "tokens"), packed, shards
 
 
 def _store(folder: str):
@@ -178,13 +178,18 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(sequences: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+#: Turns in which shards are written: the shuffle files of one are gone before the next begins.
+TURNS = 4
+
+
+def write_shards(sequences: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, shards: int = 1) -> DataFrame:
     """Write one file a shard to an absolute path or address; gives (shard, first_slot, n_sequences, sha256).
 
     ``sequences`` are as ``materialise`` gives them.  A file is written beside
     its place and then moved there, so a task that runs again does no harm and
     a reader never sees half a shard.  ``index`` in the folder keeps what every
     slot holds and the digest of its shard; it is there once all shards are.
+    Of ``shards`` in all, a quarter is written at a time.
     """
     stride = 2 * length
 
@@ -220,9 +225,11 @@ def write_shards(sequences: DataFrame, folder: str, length: int = LENGTH, per_sh
             yield write(now, held)
 
     spark = sequences.sparkSession
-    made = sequences.select(*INDEX, "tokens").mapInArrow(tidied(run), INDEXED)
-    with writing(spark):
-        made.write.mode("overwrite").parquet(f"{folder}/index")
+    turns = max(1, min(TURNS, shards))
+    for k in range(turns):
+        some = sequences if turns == 1 else sequences.where(F.col("shard").between(shards * k // turns, shards * (k + 1) // turns - 1))
+        with writing(spark):
+            some.select(*INDEX, "tokens").mapInArrow(tidied(run), INDEXED).write.mode("overwrite").parquet(f"{folder}/index/turn={k}")
     index = spark.read.schema(INDEXED).parquet(f"{folder}/index")
     return index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n_sequences"), F.first("sha256").alias("sha256"))
 
@@ -283,8 +290,8 @@ class ShardReader:
 def stage(docs: DataFrame) -> DataFrame:
     """Write all shards below the shared folder; gives every sequence as it is read back from them."""
     spark, folder = docs.sparkSession, own_path(docs.sparkSession)
-    sequences, packed = _placed(docs, LENGTH, PER_SHARD, KEY, VOCABULARY)
-    write_shards(sequences, folder)
+    sequences, packed, shards = _placed(docs, LENGTH, PER_SHARD, KEY, VOCABULARY)
+    write_shards(sequences, folder, shards=shards)
     release(packed)
     return read_back(spark, folder)
 

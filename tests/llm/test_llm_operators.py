@@ -484,7 +484,7 @@ def test_token_shards(docs, none, tmp_path):
     again = token_shards.materialise(docs.repartition(7), length=64, per_shard=16).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     folder = f"file://{tmp_path}/shards"
-    made = token_shards.write_shards(token_shards.materialise(docs, 64, 16), folder, 64, 16).collect()
+    made = token_shards.write_shards(token_shards.materialise(docs, 64, 16), folder, 64, 16, -(-len(rows) // 16)).collect()
     assert sum(m["n_sequences"] for m in made) == len(rows) and len(made) == -(-len(rows) // 16)
     tokens = [bytes(r["tokens"]) for r in sorted(rows, key=lambda r: r["slot"])]
     for start in (0, 5, 16, 37, len(rows) - 1, len(rows)):
