@@ -363,8 +363,8 @@ def second_harvest(s, d):
     """Labelled documents are accepted by a first harvest; a second one of all documents gives what is new in it, the first of each text."""
     docs = table(s, d, "documents").where("text is not null").select("doc_id", "text")
     index = accepted.Accepted(s, own_path(s))
-    index.accept(docs.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["text"], ["doc_id"], "labelled")
-    fresh = index.accept(docs, ["text"], ["doc_id"], "all").select("doc_id")
+    index.accept(docs.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["text"], ["doc_id"], "labelled", ["doc_id"])
+    fresh = index.accept(docs, ["text"], ["doc_id"], "all", ["doc_id"])
     index.forget()
     return fresh
 

@@ -1,9 +1,10 @@
 """What earlier harvests have accepted: a bucketed index of contents that later harvests are held against.
 
 The index is a Parquet table in a folder, in ``BUCKETS`` buckets by the hash of
-the content and sorted within each.  A harvest is shuffled once, into the same
-buckets: that one exchange serves both the choice of the first row of each
-content and the join with the index, which itself is never shuffled.
+the content and sorted within each, so it is never shuffled.  A harvest is cut
+down first: copies are combined before they are shuffled, so a content that a
+third of all rows share is one row a task, and only the columns that are asked
+for travel, not the content.  What is left goes into the buckets of the index.
 
 Harvests are the commits of a log (``sources.versions``): one that another
 harvest has overtaken looks at what that one has accepted and tries again, so a
@@ -17,7 +18,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.evidence import dedup
 from gaugeworks.sources import versions
 from gaugeworks.sources.tables import written
 
@@ -59,14 +59,18 @@ class Accepted:
             out = out.unionByName(self.spark.table(self._bucketed(part)))
         return out
 
-    def accept(self, candidates: DataFrame, key: list[str], order: list[str], harvest: str) -> DataFrame:
+    def accept(self, candidates: DataFrame, key: list[str], order: list[str], harvest: str, give: list[str] | None = None) -> DataFrame:
         """The first candidate of each content that no harvest has accepted yet, now accepted by this one.
 
-        ``order`` must break all ties.  Rows keep their columns.  Null fields
-        are equal to each other only.  A harvest that is run again gives none of its rows anew.
+        ``order`` must break all ties.  Rows have the columns ``give``, or all;
+        their types must have an order.  Null fields are equal to each other
+        only.  A harvest that is run again gives none of its rows anew.
         """
-        hashed = candidates.withColumn("_content", _hash(key)).repartition(self.buckets, "_content")
-        fresh, known = dedup(hashed, ["_content"], order), ()
+        give = give or candidates.columns
+        row = F.struct(*(F.col(c).alias(f"order{i}") for i, c in enumerate(order)), *(F.col(c).alias(f"give{i}") for i, c in enumerate(give)))
+        first = candidates.select(_hash(key).alias("_content"), row.alias("_row")).groupBy("_content").agg(F.min("_row").alias("_row"))
+        fresh = first.select("_content", *(F.col(f"_row.give{i}").alias(c) for i, c in enumerate(give))).repartition(self.buckets, "_content")
+        known = ()
         while True:
             now = versions.current(self.spark, self.folder)
             for part in now.parts:

@@ -81,9 +81,11 @@ def test_a_second_harvest_drops_what_the_first_accepted(spark, tmp_path):
     assert sorted(r["id"] for r in second.collect()) == [7, 10, 11]
     assert again.accept(frame(spark, (1, "b", "pass")), key, order, "h3").count() == 0
     assert again.accept(frame(spark), key, order, "h4").count() == 0
-    assert {r[0]: r[1] for r in again.contents().groupBy("harvest").count().collect()} == {"h1": 4, "h2": 3}
+    copies = spark.range(2000).selectExpr("cast(id as int) as id", "'hot' as prompt", "'x' as expected")
+    assert again.accept(copies, key, order, "h5", ["expected", "id"]).collect() == [("x", 0)]
+    assert {r[0]: r[1] for r in again.contents().groupBy("harvest").count().collect()} == {"h1": 4, "h2": 3, "h5": 1}
     again.forget()
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("accepted_")] and Accepted(spark, f"{tmp_path}/it's here", 4).contents().count() == 7
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("accepted_")] and Accepted(spark, f"{tmp_path}/it's here", 4).contents().count() == 8
 
 
 def test_the_index_is_not_shuffled(spark, tmp_path):
