@@ -361,10 +361,10 @@ def dedup_candidates(s, d):
 @query("select min(doc_id) as doc_id from documents group by sha256(text) having count(case when doc_id in (select doc_id from labels) then 1 end) = 0 and max(text) is not null")
 def second_harvest(s, d):
     """Labelled documents are accepted by a first harvest; a second one of all documents gives what is new in it, the first of each text."""
-    docs = table(s, d, "documents").where("text is not null").select("doc_id", "text")
+    docs = table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
     index = accepted.Accepted(s, own_path(s))
-    index.accept(docs.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["text"], ["doc_id"], "labelled", ["doc_id"])
-    fresh = index.accept(docs, ["text"], ["doc_id"], "all", ["doc_id"])
+    index.accept(docs.join(table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), ["h"], ["doc_id"], "labelled", ["doc_id"])
+    fresh = index.accept(docs, ["h"], ["doc_id"], "all", ["doc_id"])
     index.forget()
     return fresh
 
