@@ -14,7 +14,7 @@ keeps the packed sequences; with the counts of its partitions every sequence
 has its number, and so its slot.  The sequences then go to range partitions of
 slots, dealt by arithmetic without sampling, a whole number of shards each.
 ``write_shards`` writes one file a shard and an index of what each slot holds;
-``ShardReader`` reads from any slot on.  The query and the pipeline return what
+``ShardReader`` reads from any slot on.  The query returns what
 ``read_back`` finds in those files: tasks seek to the bytes that the index
 names, so nothing is shuffled again.
 
