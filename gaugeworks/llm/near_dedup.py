@@ -46,6 +46,8 @@ CANDIDATE = 0.60
 GROUP_SETS, GROUP_SHINGLES, BLOCK, LEADERS = 512, 2_000_000, 256, 16
 #: Blocks of members apart from a group's leaders that meet the whole group; while there are more, leaders are drawn among them.
 MOST_PARTS = 64
+#: Groups whose bytes a task counts before it sends the counts on; 256 KB each.
+TALLIES = 128
 
 _MULTIPLIERS = W.mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -255,20 +257,30 @@ def _block_links(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch
 
 def _consensus(large: DataFrame) -> DataFrame:
     """(cc, sk, lead) of the LEADERS classes of each large group that agree most with its modal signature; lead is 2 for the first, else 1."""
+    large = stored(large.select("cc", "sk", "sig"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for g, c in counts.items():
+                at, byte = np.nonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(at), pa.array(byte), pa.array(c[at, byte])], names=["cc", "at", "byte", "c"])
+            counts.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             cc = batch.column("cc").to_numpy()
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(len(cc), MINIMA).astype(np.uint8)
-            for g in np.unique(cc):
-                counts = np.zeros((MINIMA, 256), dtype=np.int64)
-                np.add.at(counts, (np.arange(MINIMA)[None, :], sig[cc == g]), 1)
-                at, byte = np.nonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(at), pa.array(byte), pa.array(counts[at, byte])], names=["cc", "at", "byte", "c"])
-
-    votes = large.select("cc", "sig").mapInArrow(tidied(tally), "cc long, at long, byte long, c long").groupBy("cc", "at", "byte").agg(F.sum("c").alias("c"))
+            sig = _bytes_of(batch.column("sig"))
+            for g in np.unique(cc).tolist():
+                if g not in counts and len(counts) == TALLIES:
+                    yield from flush()
+                np.add.at(counts.setdefault(g, np.zeros((MINIMA, 256), dtype=np.int64)), (np.arange(MINIMA)[None, :], sig[cc == g]), 1)
+        yield from flush()
+
+    # dealt by (cc, at) once for the sums and for the greatest of them
+    votes = large.select("cc", "sig").mapInArrow(tidied(tally), "cc long, at long, byte long, c long").repartition("cc", "at").groupBy("cc", "at", "byte").agg(F.sum("c").alias("c"))
     modal = votes.groupBy("cc", "at").agg(F.max(F.struct("c", "byte")).alias("m")).groupBy("cc")
     modal = modal.agg(F.expr("transform(array_sort(collect_list(struct(at, m.byte as byte))), x -> x.byte)").alias("modal"))
 
@@ -279,7 +291,8 @@ def _consensus(large: DataFrame) -> DataFrame:
     scored = large.join(modal, "cc").select("cc", "sk", agreement("sig", "modal").alias("score"))
     # a rank filter over row_number is pushed below the exchange, so a large group is cut to its leaders first
     rank = F.row_number().over(Window.partitionBy("cc").orderBy(F.desc("score"), "sk"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("cc", "sk", F.when(F.col("rank") == 1, 2).otherwise(1).alias("lead"))
+    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= LEADERS)
+    return stored(ranked.select("cc", "sk", F.when(F.col("rank") == 1, 2).otherwise(1).alias("lead")), free=(large,))
 
 
 def _in_blocks(members: DataFrame, leaders: DataFrame, payload: list[str], links, nodes: DataFrame | None = None) -> DataFrame:
@@ -308,13 +321,16 @@ def _in_blocks(members: DataFrame, leaders: DataFrame, payload: list[str], links
         return stored(by_group(rows, "task", links, "u long, v long"))
 
     def parted(apart: DataFrame) -> DataFrame:
+        apart = stored(apart.select("cc", "sk"))
+        if apart.isEmpty():
+            return apart.withColumn("parts", F.lit(0))
         minor = apart.groupBy("cc").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("parts"))
-        return stored(apart.select("cc", "sk").join(minor, "cc"))
+        return stored(apart.join(F.broadcast(minor), "cc"), free=(apart,))
 
     found = met(leaders)
     first = leaders.where("lead = 2").select("cc", F.col("sk").alias("first"))
-    apart = members.select("cc", "sk").join(first, "cc").where("sk <> first").distinct()
-    apart = parted(apart.join(found.select(F.col("u").alias("sk"), F.col("v").alias("first")).distinct(), ["sk", "first"], "left_anti"))
+    apart = members.select("cc", "sk").join(F.broadcast(first), "cc").where("sk <> first")
+    apart = parted(apart.join(found.select(F.col("u").alias("sk"), F.col("v").alias("first")), ["sk", "first"], "left_anti").select("cc", "sk", "first").distinct())
     drawn, settled = LEADERS, None
     while nodes is not None and not apart.where(F.col("parts") > MOST_PARTS).isEmpty():
         many = apart.where(F.col("parts") > MOST_PARTS)
@@ -342,15 +358,16 @@ def _in_blocks(members: DataFrame, leaders: DataFrame, payload: list[str], links
     return found.unionByName(by_group(rows, "task", links, "u long, v long"))
 
 
-def _large_groups(texts: DataFrame, sizes: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _large_groups(texts: DataFrame, members: DataFrame, big: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) for groups too large for one task; exact, on full sets."""
     blocks = F.greatest(F.ceil(F.col("cnt") / BLOCK), F.ceil(F.col("shingles") / F.lit(GROUP_SHINGLES))).cast("int")
-    leaders = stored(_consensus(texts.select("cc", "sk").join(sigs, "sk")))
-    return stored(components(_in_blocks(texts.join(sizes.select("cc", blocks.alias("blocks")), "cc"), leaders, ["text"], _block_links, nodes)))
+    big = F.broadcast(big.select("cc", blocks.alias("blocks")))
+    leaders = _consensus(members.select("cc", "sk").join(big, "cc").join(sigs, "sk"))
+    return components(_in_blocks(texts.join(big, "cc"), leaders, ["text"], _block_links, nodes))
 
 
-def _nodes(profile: DataFrame) -> list[DataFrame]:
-    """Tables (key, sk, cnt) of the nodes to compare, of two classes or more.
+def _nodes(classes: DataFrame, sigs: DataFrame | None = None) -> list[DataFrame]:
+    """Tables (key, sk, cnt) of the nodes to compare, of two classes or more; classes(sk, keys), sigs(sk, sig) or else sig of classes.
 
     Nodes of over ``LEAF`` classes branch until ``DEPTH``; only the last table
     can hold larger ones.  Leaves of equal members are compared once.  Nodes
@@ -362,15 +379,14 @@ def _nodes(profile: DataFrame) -> list[DataFrame]:
         prints = [F.expr("sum(cast(xxhash64(sk) >> 24 as long))").alias("print"), F.expr("bit_xor(xxhash64(sk))").alias("print1"), F.expr("bit_xor(xxhash64(sk, 1))").alias("print2")]
         return rows.groupBy("key").agg(F.count("*").alias("cnt"), *prints).where("cnt > 1")
 
-    rows = profile.where("sk is not null").select("sk", F.explode("keys").alias("key")).distinct()
+    rows = classes.select("sk", F.explode(F.array_distinct("keys")).alias("key"))
     tables, level = [], 0
     while True:
         counts, deepest = counted(rows), level == DEPTH
         leaf = F.lit(True) if deepest else F.col("cnt") <= LEAF
-        wanted = counts.where(leaf).groupBy("cnt", "print", "print1", "print2").agg(F.min("key").alias("key")).select("key", "cnt")
-        if not deepest:
-            wanted = wanted.unionByName(counts.where(~leaf).select("key", "cnt"))
-        kept = stored(rows.join(wanted, "key").select("key", "sk", "cnt"))
+        own = F.when(~leaf, F.col("key")).alias("own")  # null for leaves
+        wanted = counts.groupBy("cnt", "print", "print1", "print2", own).agg(F.min("key").alias("key")).select("key", "cnt")
+        kept = stored(rows.join(wanted, "key").select("key", "sk", "cnt"), free=(rows,))
         tables.append(kept.where(leaf))
         tables[-1]._stored_path = kept._stored_path
         large = kept.where(~leaf)
@@ -379,10 +395,10 @@ def _nodes(profile: DataFrame) -> list[DataFrame]:
         level += 1
         if level == 1:
             deep = large.select("sk").distinct()
-            sigs = stored(profile.select("sk", "sig").join(deep, "sk", "left_semi").dropDuplicates(["sk"]))
+            sigs = stored((classes if sigs is None else sigs).select("sk", "sig").join(deep, "sk", "left_semi"))
         ats = F.expr(f"array(pmod(xxhash64(key, {level}, 1), {MINIMA}), if(pmod(xxhash64(key, {level}, 2), 3) = 0, pmod(xxhash64(key, {level}, 3), {MINIMA}), null))")
         child = F.expr("xxhash64(key, at, substring(sig, cast(4 * at + 1 as int), 4))").alias("key")
-        rows = large.join(sigs, "sk").select("sk", "key", "sig", F.explode(F.array_compact(ats)).alias("at")).select("sk", child).distinct()
+        rows = stored(large.join(sigs, "sk").select("sk", "key", "sig", F.explode(F.array_compact(ats)).alias("at")).select("sk", child).distinct())
 
 
 def _candidates(tables: list[DataFrame], sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -395,9 +411,9 @@ def _candidates(tables: list[DataFrame], sigs: DataFrame) -> tuple[DataFrame, Da
     many = tables[-1].where(F.col("cnt") > 2 * LEAF)
     if len(tables) > DEPTH and not many.isEmpty():
         members = many.join(sigs, "sk").select(F.col("key").alias("cc"), "sk", F.ceil(F.col("cnt") / LEAF).cast("int").alias("blocks"), "n_shingles", "sig")
-        leaders = stored(_consensus(members.select("cc", "sk", "sig")))
+        leaders = _consensus(members)
         edges = edges.unionByName(_in_blocks(members, leaders, ["n_shingles", "sig"], _block_alike))
-    groups = stored(components(edges))
+    groups = components(edges)
     return groups.select(F.col("node").alias("sk"), F.col("root").alias("cc")), few.select("key", "sk")
 
 
@@ -405,26 +421,32 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The profile of docs(doc_id, text), and its classes with the root of their component."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     profile = stored(source.mapInArrow(tidied(_profile), PROFILE))
-    sigs = profile.where("sk is not null").select("sk", "n_shingles", "sig").dropDuplicates(["sk"])
-    tables = _nodes(profile)
+    alike = profile.where("sk is not null")
+    sigs = alike.select("sk", "n_shingles", "sig").dropDuplicates(["sk"])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("doc")
+    classes = stored(alike.groupBy("sk").agg(least, F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("cnt"), F.first("keys").alias("keys")))
+    tables = _nodes(classes, sigs)
+    classes = classes.drop("keys")
     groups, nodes = _candidates(tables, sigs)
-    classes = stored(profile.where("sk is not null").groupBy("sk").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("doc"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count("*").alias("cnt")))
-    members = groups.join(classes, "sk").select("cc", "sk", F.col("doc.doc_id").alias("doc_id"), F.col("doc.tie").alias("tie"), "n")
-    texts = stored(source.join(members, source.doc_id.eqNullSafe(members.doc_id) & (source.tie == members.tie)).select("cc", "sk", "text"), "zstd")
+    members = stored(groups.join(classes, "sk").select("cc", "sk", F.col("doc.doc_id").alias("doc_id"), F.col("doc.tie").alias("tie"), "n"))
+    # always by a shuffle, so that what a run costs at one size tells what it costs at another
+    texts = stored(source.join(members.hint("merge"), source.doc_id.eqNullSafe(members.doc_id) & (source.tie == members.tie)).select("cc", "sk", "text"), "zstd")
     sizes = stored(members.groupBy("cc").agg(F.count("*").alias("cnt"), F.sum("n").alias("shingles")))
+    # a row for several hundred classes or 2,000,000 shingles at least, so few enough to broadcast
     big = sizes.where((F.col("cnt") > GROUP_SETS) | ((F.col("shingles") > GROUP_SHINGLES) & (F.col("cnt") > 2)))
     if big.isEmpty():
         labels = by_group(texts, "cc", _decide, "node long, root long")
     else:
-        labels = by_group(texts.join(big, "cc", "left_anti"), "cc", _decide, "node long, root long")
-        labels = labels.unionByName(_large_groups(texts.join(big.select("cc"), "cc", "left_semi"), big, sigs.select("sk", "sig"), nodes))
-    labels = stored(labels, free=(texts, sizes, *tables))
+        labels = by_group(texts.join(F.broadcast(big), "cc", "left_anti"), "cc", _decide, "node long, root long")
+        labels = labels.unionByName(_large_groups(texts, members, big, sigs.select("sk", "sig"), nodes))
+    labels = stored(labels, free=(texts, members, sizes, *tables))
     return profile, classes.join(labels.withColumnRenamed("node", "sk").distinct(), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     profile, named = _named(docs)
+    named = stored(named.select("sk", "doc_id", "cnt", "root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     table = stored(named.join(least, "root").select("sk", "component_id", "cnt"))
     rows = profile.select("doc_id", "tie", "n_shingles", "sk")
